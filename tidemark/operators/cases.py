@@ -1,19 +1,13 @@
 """Case-based answers: the nearest stored evaluation by signal-name overlap.
 
-Two ways, with equal results:
-
-* :func:`nearest_by_vocabulary` - the fixed signal vocabulary.  A pool of any size
-  shrinks, by a map-side combined aggregate, to at most one case per subset of the
-  vocabulary (512 for nine names), so matching happens between subsets and never
-  between rows.
-* :func:`nearest_open` - any names.  Distinct sets only, joined on rare tokens
-  (length and prefix filter), so frequent names do not pair everything with
-  everything.
+Detected signals come from a fixed vocabulary.  A pool of any size shrinks, by a
+map-side combined aggregate, to at most one case per subset of the vocabulary (512 for
+nine names), so matching happens between subsets and never between rows.
 """
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import constants as C
 from tidemark.functions.sets import percent
@@ -44,7 +38,7 @@ def subset_mask(names: Column, vocabulary: Sequence[str]) -> Column:
     return mask
 
 
-def nearest_by_vocabulary(
+def nearest_case(
     queries: DataFrame,
     pool: DataFrame,
     payload: Sequence[str],
@@ -60,7 +54,7 @@ def nearest_by_vocabulary(
     and one column per payload column.
     """
     if len(vocabulary) > MAX_VOCABULARY:
-        raise ValueError("too many names for the subset table; use nearest_open")
+        raise ValueError("too many names for the table of subsets")
     known = F.array(*[F.lit(v) for v in vocabulary])
     # Among cases with the same known names, the one with the fewest unknown names is
     # at least as similar to every query set.
@@ -113,79 +107,6 @@ def nearest_by_vocabulary(
     return keyed.join(F.broadcast(matches), "_mask", "left").drop("_mask")
 
 
-def nearest_open(
-    queries: DataFrame,
-    pool: DataFrame,
-    payload: Sequence[str],
-    prefix: str = "case_",
-    names: str = "names",
-    floor: float = C.SIMILARITY_FLOOR,
-) -> DataFrame:
-    """Same result as :func:`nearest_by_vocabulary` for sets over any names.
-
-    Works on distinct sets.  Two sets of sizes a and b reach ``floor`` only when
-    floor * a <= b <= a / floor and they share at least
-    o = ceil(floor / (1 + floor) * (a + b)) names; ordering names from rare to
-    frequent, they then share one of the first a - o + 1 of the one and of the first
-    b - o + 1 of the other.  The join key is (name, own size, other size), so a
-    frequent name is a key only where it has to be.
-    """
-    if not 0 < floor <= 1:
-        raise ValueError("floor must be above 0 and at most 1")
-    query_sets = queries.select(F.array_sort(names).alias("s")).distinct()
-    # One representative per distinct set, before any pairing.
-    cases = pool.groupBy(F.array_sort(names).alias("s")).agg(
-        F.min_by(F.struct("employee", "week", *payload), F.struct("employee", "week")).alias("c")
-    )
-    frequency = (
-        query_sets.select("s").unionAll(cases.select("s"))
-        .select(F.explode("s").alias("name"))
-        .groupBy("name")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-    def keyed(sets: DataFrame, own: str, other: str) -> DataFrame:
-        ordered = (
-            sets.select("s", F.explode("s").alias("name"))
-            .join(frequency, "name")
-            .groupBy("s")
-            .agg(F.array_sort(F.collect_list(F.struct("n", "name"))).alias("t"))
-        )
-        size = F.size("t")
-        low = F.greatest(F.lit(1), F.ceil(size * floor - 1e-9).cast("int"))
-        high = F.floor(size / floor + 1e-9).cast("int")
-        sized = ordered.select(
-            "s", "t", size.alias(own), F.explode(F.sequence(low, high)).alias(other)
-        )
-        needed = F.ceil((F.col(own) + F.col(other)) * (floor / (1 + floor)) - 1e-9).cast("int")
-        return sized.select(
-            "s", own, other, F.explode(F.slice("t", 1, F.col(own) - needed + 1)).alias("k")
-        ).select("s", own, other, F.col("k.name").alias("name"))
-
-    left = keyed(query_sets, "a", "b").withColumnRenamed("s", "q")
-    right = keyed(cases.select("s"), "b", "a").withColumnRenamed("s", "p")
-    pairs = left.join(right, ["name", "a", "b"]).select("q", "p").distinct()
-    scored = (
-        pairs.join(cases, pairs.p == cases.s)
-        .withColumn("shared", F.size(F.array_intersect("q", "p")))
-        .withColumn("sim", F.col("shared") / (F.size("q") + F.size("p") - F.col("shared")))
-        .filter(F.col("sim") >= floor)
-        .select("q", "sim", "c")
-    )
-    empty = cases.filter(F.size("s") == 0).select(F.col("s").alias("q"), F.lit(1.0).alias("sim"), "c")
-    best = (
-        scored.unionByName(empty)
-        .groupBy("q")
-        .agg(F.min_by(F.struct("sim", "c"), F.struct(-F.col("sim"), "c.employee", "c.week")).alias("m"))
-        .select(
-            F.col("q").alias("_set"),
-            F.col("m.sim").alias(f"{prefix}similarity"),
-            *[F.col(f"m.c.{p}").alias(f"{prefix}{p}") for p in payload],
-        )
-    )
-    return queries.withColumn("_set", F.array_sort(names)).join(best, "_set", "left").drop("_set")
-
-
 def case_rationale(similarity: Column, rationale: Column) -> Column:
     return F.format_string(
         C.CASE_RATIONALE_FORMAT, percent(similarity), F.coalesce(rationale, F.lit(""))

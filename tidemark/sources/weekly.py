@@ -127,10 +127,15 @@ def alias_table(
     source_file: Column | None = None,
     aliases: Mapping[str, Sequence[str]] = C.COLUMN_ALIASES,
     strict_parity: bool = False,
+    ignore: Sequence[str] = ("week",),
     **options,
 ) -> DataFrame:
-    """EMPLOYEE_WEEK rows from any table whose columns go by accepted spellings."""
-    bound = resolve_headers(rows.columns, aliases, strict_parity)
+    """EMPLOYEE_WEEK rows from any table whose columns go by accepted spellings.
+
+    ``ignore`` names columns that are no metric.
+    """
+    headers = [c for c in rows.columns if c not in ignore]
+    bound = resolve_headers(headers, aliases, strict_parity)
     cells = {m: None if h is None else F.col(f"`{h}`").cast("string") for m, h in bound.items()}
     source = F.lit("") if source_file is None else source_file
     return to_employee_week(rows, cells, week, source, **options)
@@ -296,8 +301,8 @@ def land_csv_text(pasted: DataFrame, folder: str) -> None:
 
     One text per week; with a ``seq`` column the highest one counts.
     """
-    order = F.col("seq") if "seq" in pasted.columns else F.length("csv_content")
-    texts = pasted.groupBy("week").agg(F.max_by("csv_content", order).alias("value"))
+    latest = F.max_by("csv_content", "seq") if "seq" in pasted.columns else F.max("csv_content")
+    texts = pasted.groupBy("week").agg(latest.alias("value"))
     (
         texts.select("week", F.regexp_replace("value", r"(?U)^\s+|\s+\z", "").alias("value"))
         .write.mode("overwrite")
