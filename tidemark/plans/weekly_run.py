@@ -15,7 +15,7 @@ from tidemark.operators import cases, risk
 from tidemark.operators.briefing import choose_briefing
 from tidemark.operators.signals import add_details, signals_as_of
 from tidemark.operators.timeline import densify, keep_first, max_week_of
-from tidemark.schemas import EVALUATION, MODEL_RESPONSE
+from tidemark.schemas import EVALUATION_COLUMNS, MODEL_RESPONSE
 from tidemark.sources import evaluations as state_table, weekly
 
 _CARRY = (
@@ -147,7 +147,7 @@ def evaluate(
 def merged_state(state: DataFrame, new: DataFrame) -> DataFrame:
     """State as it reads after the new rows are stored."""
     kept = state.join(new.select(*state_table.KEY), state_table.KEY, "left_anti")
-    return kept.unionByName(new.select(*EVALUATION.names))
+    return kept.unionByName(new.select(*EVALUATION_COLUMNS))
 
 
 def run_weekly(

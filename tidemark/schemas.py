@@ -1,6 +1,4 @@
-"""Schemas of the tables the engine reads and writes."""
-
-from pyspark.sql import types as T
+"""Schemas of the tables the engine reads and writes, as DDL texts."""
 
 METRICS = (
     "completed_tasks",
@@ -12,7 +10,7 @@ METRICS = (
     "sentiment",
 )
 
-EMPLOYEE_WEEK = T.StructType.fromDDL(
+EMPLOYEE_WEEK = (
     "employee STRING, week INT, completed_tasks INT, response_time DOUBLE, "
     "after_hours_logins INT, sick_days INT, weekly_hours INT, task_accuracy INT, "
     "sentiment STRING, source_file STRING"
@@ -23,24 +21,35 @@ SIGNAL_DDL = (
     "severity: STRING, details: STRING>"
 )
 
-EVALUATION = T.StructType.fromDDL(
+EVALUATION = (
     "scope STRING, employee STRING, week INT, score INT, classification STRING, "
     f"rationale STRING, healthy_streak INT, signals ARRAY<{SIGNAL_DDL}>, "
     "briefing STRING, origin STRING, evaluated_at TIMESTAMP"
 )
+EVALUATION_COLUMNS = (
+    "scope",
+    "employee",
+    "week",
+    "score",
+    "classification",
+    "rationale",
+    "healthy_streak",
+    "signals",
+    "briefing",
+    "origin",
+    "evaluated_at",
+)
 
 # One stored evaluation as a JSON document.  A gap marker carries its name under
 # "signal" instead of "signal_name".
-EVALUATION_JSON = T.StructType.fromDDL(
+EVALUATION_JSON = (
     "score STRING, classification STRING, rationale STRING, healthy_streak STRING, "
     "signals ARRAY<STRUCT<signal: STRING, signal_name: STRING, "
     "weeks_detected: ARRAY<INT>, severity: STRING, details: STRING>>, "
     "briefing STRING, _corrupt_record STRING"
 )
 
-MODEL_RESPONSE = T.StructType.fromDDL(
-    "kind STRING, employee STRING, week INT, text STRING"
-)
+MODEL_RESPONSE = "kind STRING, employee STRING, week INT, text STRING"
 
 _LABELS = (
     "gen_ai_conversation_id",
@@ -58,7 +67,20 @@ _LABELS = (
     "event_name",
     "user_id",
 )
-INFERENCE_LOG = T.StructType.fromDDL(
+INFERENCE_LOG_COLUMNS = (
+    "logName",
+    "textPayload",
+    "timestamp",
+    "receiveTimestamp",
+    "severity",
+    "insertId",
+    "trace",
+    "spanId",
+    "traceSampled",
+    "resource",
+    "labels",
+)
+INFERENCE_LOG = (
     "logName STRING, textPayload STRING, timestamp TIMESTAMP, "
     "receiveTimestamp TIMESTAMP, severity STRING, insertId STRING, trace STRING, "
     "spanId STRING, traceSampled BOOLEAN, resource STRUCT<type: STRING, "
@@ -67,19 +89,19 @@ INFERENCE_LOG = T.StructType.fromDDL(
     + ">"
 )
 
-COMPLETION = T.StructType.fromDDL(
+COMPLETION = (
     "parts ARRAY<STRUCT<type: STRING, content: STRING, mime_type: STRING, "
     "uri: STRING, data: BINARY, id: STRING, name: STRING, arguments: STRING, "
     "response: STRING>>, role STRING, index BIGINT"
 )
 
-FEEDBACK = T.StructType.fromDDL(
+FEEDBACK = (
     "score DOUBLE, text STRING, log_type STRING, service_name STRING, "
     "user_id STRING, session_id STRING"
 )
 
 _MESSAGE = "role: STRING, parts: ARRAY<STRUCT<text: STRING>>"
-EVAL_DATASET = T.StructType.fromDDL(
+EVAL_DATASET = (
     "eval_cases ARRAY<STRUCT<eval_case_id: STRING, "
     f"prompt: STRUCT<{_MESSAGE}>, "
     "agent_data: STRUCT<turns: ARRAY<STRUCT<turn_index: INT, "

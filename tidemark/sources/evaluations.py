@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.cleaning import capitalise, safe_int
 from tidemark.functions.model_text import whole_number
-from tidemark.schemas import EVALUATION, EVALUATION_JSON, SIGNAL_DDL
+from tidemark.schemas import EVALUATION, EVALUATION_COLUMNS, EVALUATION_JSON, SIGNAL_DDL
 
 KEY = ["scope", "employee", "week"]
 _MAX_TOUCHED = 20_000
@@ -26,7 +26,7 @@ def read_state(spark: SparkSession, path: str, scope: str | None = None) -> Data
     """Stored evaluations, of one scope or of all; empty when nothing is stored yet."""
     if not _exists(spark, path):
         return empty_state(spark)
-    state = spark.read.schema(EVALUATION).parquet(path).select(*EVALUATION.names)
+    state = spark.read.schema(EVALUATION).parquet(path).select(*EVALUATION_COLUMNS)
     return state if scope is None else state.filter(F.col("scope") == scope)
 
 
@@ -36,7 +36,7 @@ def upsert_state(spark: SparkSession, path: str, new: DataFrame) -> None:
     Only the (scope, week) partitions that get rows are read and rewritten.  Their list
     is the one thing the driver sees: weeks are bounded and scopes are few.
     """
-    new = new.select(*EVALUATION.names)
+    new = new.select(*EVALUATION_COLUMNS)
     if _exists(spark, path):
         touched = new.select("scope", "week").distinct().limit(_MAX_TOUCHED + 1).collect()
         if len(touched) > _MAX_TOUCHED:

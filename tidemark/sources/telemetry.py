@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from tidemark.schemas import COMPLETION, INFERENCE_LOG
+from tidemark.schemas import COMPLETION, INFERENCE_LOG, INFERENCE_LOG_COLUMNS
 
 MAX_BAD_RECORDS = 1000
 INFERENCE_LOG_NAME = "gen_ai.client.inference.operation.details"
@@ -11,13 +11,13 @@ _CORRUPT = "_corrupt_record"
 
 def read_logs(spark: SparkSession, path: str, days: Column | None = None) -> DataFrame:
     """Inference logs partitioned by day; ``days`` is a condition on column ``day``."""
-    logs = spark.read.schema(INFERENCE_LOG.add("day", "date")).parquet(path)
+    logs = spark.read.schema(f"{INFERENCE_LOG}, day DATE").parquet(path)
     return logs if days is None else logs.filter(days)
 
 
 def append_logs(logs: DataFrame, path: str) -> None:
     (
-        logs.select(*INFERENCE_LOG.names[:11])
+        logs.select(*INFERENCE_LOG_COLUMNS)
         .withColumn("day", F.to_date("timestamp"))
         .write.mode("append")
         .partitionBy("day")
@@ -37,7 +37,7 @@ def read_completions(
     :func:`assert_few_bad` after the action.  ``check="count"`` counts them first, in a
     scan of its own, and raises above ``max_bad_records``.
     """
-    schema = COMPLETION.add(_CORRUPT, "string")
+    schema = f"{COMPLETION}, {_CORRUPT} STRING"
     raw = (
         spark.read.schema(schema)
         .option("mode", "PERMISSIVE")
