@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.functions.screening import blocked_by, screen
+from tidemark.functions.screening import blocked_by, screen, with_blocked_by
 from tidemark.operators import briefing
 
 SUPPORTIVE = (
@@ -48,6 +48,17 @@ def test_passed(spark, text):
     assert scan(spark, text, screen(F.col("t"))) == text
 
 
+def test_scan_of_rows(spark):
+    """The scan with word hints equals running every pattern, odd letters included."""
+    odd = ["\u017furveillance", "term\u0131nate", "TERM\u0130NATE", "terminate\u212a", "\u212a terminate", "Con\u017fequence"]
+    texts = [t for t, _ in BLOCKED] + PASSED + odd + [None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, text STRING")
+    plain = {r.i: r.b for r in frame.select("i", blocked_by(F.col("text")).alias("b")).collect()}
+    assert {r.i: r.blocked_by for r in with_blocked_by(frame).collect()} == plain
+    assert plain[len(BLOCKED) + len(PASSED)] == C.DENY_PATTERNS[3]
+    assert set(C.DENY_PATTERN_WORDS) == set(C.DENY_PATTERNS)
+
+
 def test_extra_pattern(spark):
     assert scan(spark, "put on a PIP", screen(F.col("t"), (*C.DENY_PATTERNS, r"\bpip\b"))) == C.SAFE_BRIEFING
 

@@ -113,6 +113,26 @@ DENY_PATTERNS = (
     r"google\.api_core\.exceptions\.",
 )
 
+# Lower-case text that every match of the pattern contains.
+DENY_PATTERN_WORDS = dict(
+    zip(
+        DENY_PATTERNS,
+        (
+            "performance improvement plan",
+            "disciplinar",
+            "monitor",
+            "surveillance",
+            "terminat",
+            "consequence",
+            "warning letter",
+            "error:",
+            "exception:",
+            "traceback (most recent call last)",
+            "google.api_core.exceptions.",
+        ),
+    )
+)
+
 # Briefing sections and the phrases that show them.
 BRIEFING_SECTIONS = (
     (

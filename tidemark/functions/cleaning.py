@@ -1,4 +1,4 @@
-"""Typed values out of text cells, and guarded arithmetic."""
+"""Typed values out of text cells."""
 
 from pyspark.sql import Column, functions as F
 
@@ -45,18 +45,6 @@ def cell_or_default(cell: Column, default: str | None) -> Column:
     return filled if default is None else F.coalesce(filled, F.lit(default))
 
 
-def relative_rise(value: Column, base: Column) -> Column:
-    """(value - base) / base for a positive base, NULL when it is not a number."""
-    change = F.when(base > 0, (value - base) / base)
-    return F.when(~F.isnan(change), change)
-
-
-def relative_drop(value: Column, base: Column) -> Column:
-    """(base - value) / base for a positive base, NULL when it is not a number."""
-    change = F.when(base > 0, (base - value) / base)
-    return F.when(~F.isnan(change), change)
-
-
 def preview(text: Column, length: int = 2000) -> Column:
     """First characters of a report, followed by three dots."""
     return F.concat(F.substring(text, 1, length), F.lit("..."))

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import constants as C
-from tidemark.functions.screening import screen
+from tidemark.functions.screening import safe_text, with_blocked_by
 from tidemark.operators.cases import case_briefing
 from tidemark.operators.risk import is_flagged
 
@@ -23,10 +23,13 @@ def choose_briefing(
         case_briefing(F.col(f"{prefix}similarity"), F.col(f"{prefix}briefing")),
     )
     candidate = F.coalesce(F.col(text), from_case, F.lit(C.SAFE_BRIEFING))
-    return rows.withColumn(
-        "briefing",
-        F.when(is_flagged(F.col("classification")), screen(candidate, patterns)),
+    chosen = rows.withColumn(
+        "_candidate", F.when(is_flagged(F.col("classification")), candidate)
     )
+    scanned = with_blocked_by(chosen, "_candidate", "_blocked", patterns)
+    return scanned.withColumn(
+        "briefing", safe_text(F.col("_candidate"), F.col("_blocked"))
+    ).drop("_candidate", "_blocked")
 
 
 def shown_briefing(briefing: Column) -> Column:

@@ -5,141 +5,147 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark import constants as C
-from tidemark.functions.cleaning import relative_drop, relative_rise
-from tidemark.functions.names import slug
 from tidemark.operators.timeline import employee_order, with_missing_weeks
 from tidemark.schemas import SIGNAL_DDL
 
 
 @dataclass(frozen=True)
 class Rule:
-    """How one signal is flagged and graded.
+    """How one signal is flagged and graded, as SQL expressions on a timeline row.
 
-    ``worst`` is the measure kept over the confirmed weeks, with ``keep`` saying
-    whether its largest or smallest value counts; ``grade`` maps it to high/medium.
+    ``worst`` is the measure kept over the confirmed weeks, ``keep`` says whether its
+    largest or smallest value counts, ``high`` and ``medium`` are conditions on it.
     """
 
     name: str
-    flag: Column
-    worst: Column
+    flag: str
+    worst: str
     keep: str
-    high: tuple[str, float]
-    medium: tuple[str, float]
+    high: str
+    medium: str
 
-    def severity(self, worst: Column) -> Column:
+    @property
+    def key(self) -> str:
+        return self.name.lower().replace(" ", "_").replace("-", "_")
+
+    def severity(self, worst: str) -> str:
         return (
-            F.when(_compare(worst, *self.high), "high")
-            .when(_compare(worst, *self.medium), "medium")
-            .otherwise("low")
+            f"CASE WHEN {worst} {self.high} THEN 'high' "
+            f"WHEN {worst} {self.medium} THEN 'medium' ELSE 'low' END"
         )
 
 
-def _compare(value: Column, op: str, cut: float) -> Column:
-    return {">=": value >= cut, ">": value > cut, "<": value < cut}[op]
+def _relative(difference: str, base: str) -> str:
+    """Change relative to a positive base; NULL when it is not a number."""
+    return f"nullif(IF({base} > 0, ({difference}) / {base}, NULL), double('NaN'))"
 
 
-def _cuts(op: str, cuts: tuple) -> dict:
-    return {"high": (op, cuts[0]), "medium": (op, cuts[1])}
+def _cuts(op: str, cuts: tuple) -> tuple[str, str]:
+    return f"{op} {cuts[0]}", f"{op} {cuts[1]}"
 
 
-def rules() -> list[Rule]:
-    """The eight signals, in name order."""
-    tasks, resp, after = F.col("completed_tasks"), F.col("response_time"), F.col("after_hours_logins")
-    sick, hours, accuracy = F.col("sick_days"), F.col("weekly_hours"), F.col("task_accuracy")
-    base_sick = F.col("base_sick")
-    drop = relative_drop(tasks, F.col("base_tasks"))
-    rise = relative_rise(resp, F.col("base_response"))
-    tone = F.lower(F.trim(F.col("sentiment")))
-    hours_or_default = F.coalesce(F.nullif(hours, F.lit(0)), F.lit(C.HOURS_WHEN_ZERO))
-    accuracy_or_default = F.coalesce(
-        F.nullif(accuracy, F.lit(0)), F.lit(C.ACCURACY_WHEN_ZERO)
-    )
-    return [
-        Rule(C.BURNOUT, hours > C.HIGH_HOURS_FLAG, hours_or_default, "max",
-             **_cuts(">", C.HIGH_HOURS_CUTS)),
-        Rule(C.TASKS, drop >= C.TASK_DROP_FLAG, drop, "max",
-             **_cuts(">=", C.TASK_DROP_CUTS)),
-        Rule(C.AFTER_HOURS, after > C.AFTER_HOURS_FLAG, after, "max",
-             **_cuts(">=", C.AFTER_HOURS_CUTS)),
-        Rule(C.SICK, sick > base_sick + C.SICK_DAYS_MARGIN, sick - base_sick, "max",
-             **_cuts(">=", C.SICK_RISE_CUTS)),
-        Rule(C.LOW_ACTIVITY, hours < C.LOW_HOURS_FLAG, hours_or_default, "min",
-             **_cuts("<", C.LOW_HOURS_CUTS)),
-        Rule(C.QUALITY, accuracy < C.ACCURACY_FLAG, accuracy_or_default, "min",
-             **_cuts("<", C.ACCURACY_CUTS)),
-        Rule(C.RESPONSE, rise > C.RESPONSE_RISE_FLAG, rise, "max",
-             **_cuts(">=", C.RESPONSE_RISE_CUTS)),
-        # Always medium: a flag counts 1, which is at least 1 and never 2.
-        Rule(C.WITHDRAWN, tone == C.WITHDRAWN_WORD, F.lit(1), "max",
-             **_cuts(">=", (2, 1))),
-    ]
-
-
-def _key(name: str) -> str:
-    return name.lower().replace(" ", "_").replace("-", "_")
+_DROP = _relative("base_tasks - completed_tasks", "base_tasks")
+_RISE = _relative("response_time - base_response", "base_response")
+_HOURS = f"coalesce(nullif(weekly_hours, 0), {C.HOURS_WHEN_ZERO})"
+_ACCURACY = f"coalesce(nullif(task_accuracy, 0), {C.ACCURACY_WHEN_ZERO})"
+
+# The eight signals, in name order.
+RULES = (
+    Rule(C.BURNOUT, f"weekly_hours > {C.HIGH_HOURS_FLAG}", _HOURS, "max",
+         *_cuts(">", C.HIGH_HOURS_CUTS)),
+    Rule(C.TASKS, f"{_DROP} >= {C.TASK_DROP_FLAG}D", _DROP, "max",
+         *_cuts(">=", tuple(f"{c}D" for c in C.TASK_DROP_CUTS))),
+    Rule(C.AFTER_HOURS, f"after_hours_logins > {C.AFTER_HOURS_FLAG}", "after_hours_logins", "max",
+         *_cuts(">=", C.AFTER_HOURS_CUTS)),
+    Rule(C.SICK, f"sick_days > base_sick + {C.SICK_DAYS_MARGIN}", "sick_days - base_sick", "max",
+         *_cuts(">=", C.SICK_RISE_CUTS)),
+    Rule(C.LOW_ACTIVITY, f"weekly_hours < {C.LOW_HOURS_FLAG}", _HOURS, "min",
+         *_cuts("<", C.LOW_HOURS_CUTS)),
+    Rule(C.QUALITY, f"task_accuracy < {C.ACCURACY_FLAG}", _ACCURACY, "min",
+         *_cuts("<", C.ACCURACY_CUTS)),
+    Rule(C.RESPONSE, f"{_RISE} > {C.RESPONSE_RISE_FLAG}D", _RISE, "max",
+         *_cuts(">=", tuple(f"{c}D" for c in C.RESPONSE_RISE_CUTS))),
+    # Always medium: a flag counts 1, which is at least 1 and never 2.
+    Rule(C.WITHDRAWN, f"lower(trim(sentiment)) = '{C.WITHDRAWN_WORD}'", "1", "max",
+         *_cuts(">=", (2, 1))),
+)
 
 
 def weekly_flags(timeline: DataFrame) -> DataFrame:
     """One boolean column per signal; none in week 1, in gaps or without baseline."""
-    counted = ~F.col("data_missing") & (F.col("week") != 1) & F.col("has_baseline")
+    counted = "NOT data_missing AND week <> 1 AND has_baseline"
     return timeline.withColumns(
-        {
-            f"flag_{_key(r.name)}": counted & F.coalesce(r.flag, F.lit(False))
-            for r in rules()
-        }
+        {f"flag_{r.key}": F.expr(f"{counted} AND coalesce({r.flag}, false)") for r in RULES}
     )
 
 
+def _compact(entries: list[str]) -> Column:
+    """Array of the entries that are not NULL."""
+    return F.expr(f"array_compact(array({', '.join(entries)}))")
+
+
 def flags_long(timeline: DataFrame) -> DataFrame:
     """(employee, week, signal_name), one row per raised flag."""
-    raised = F.array_compact(
-        F.array(*[F.when(F.col(f"flag_{_key(r.name)}"), F.lit(r.name)) for r in rules()])
-    )
+    raised = _compact([f"IF(flag_{r.key}, '{r.name}', NULL)" for r in RULES])
     return weekly_flags(timeline).select(
         "employee", "week", F.explode(raised).alias("signal_name")
     )
 
 
+def with_runs(timeline: DataFrame) -> DataFrame:
+    """Adds, per signal, whether the flag and its neighbours are raised.
+
+    ``now_*``: this week and the week before.  ``run_*``: this week and either
+    neighbour.  The timeline is dense, so the neighbouring row is the neighbouring week.
+    """
+    order = employee_order()
+    flagged = weekly_flags(timeline)
+    beside = {}
+    for r in RULES:
+        beside[f"prev_{r.key}"] = F.lag(f"flag_{r.key}", 1, False).over(order)
+        beside[f"next_{r.key}"] = F.lead(f"flag_{r.key}", 1, False).over(order)
+    runs = {}
+    for r in RULES:
+        runs[f"now_{r.key}"] = F.expr(f"flag_{r.key} AND prev_{r.key}")
+        runs[f"run_{r.key}"] = F.expr(f"flag_{r.key} AND (prev_{r.key} OR next_{r.key})")
+    return flagged.withColumns(beside).withColumns(runs)
+
+
 def confirmed_weeks(timeline: DataFrame) -> DataFrame:
     """(employee, signal_name, week, confirm_week) of flags in a run of two or more.
 
     ``confirm_week`` is the first week from which the flag counts: its own week when
-    the week before is flagged too, else the next.  The timeline is dense, so the
-    neighbouring row is the neighbouring week.
+    the week before is flagged too, else the next.
     """
-    order = employee_order()
-    names = [r.name for r in rules()]
-    flagged = weekly_flags(timeline)
-    flagged = flagged.withColumns(
-        {
-            f"{side}_{_key(n)}": F.coalesce(
-                move(f"flag_{_key(n)}").over(order), F.lit(False)
-            )
-            for n in names
-            for side, move in (("prev", F.lag), ("next", F.lead))
-        }
-    )
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(f"flag_{_key(n)}") & (F.col(f"prev_{_key(n)}") | F.col(f"next_{_key(n)}")),
-                    F.struct(
-                        F.lit(n).alias("signal_name"),
-                        F.when(F.col(f"prev_{_key(n)}"), F.col("week"))
-                        .otherwise(F.col("week") + 1)
-                        .alias("confirm_week"),
-                    ),
-                )
-                for n in names
-            ]
-        )
+    hits = _compact(
+        [
+            f"IF(run_{r.key}, named_struct('signal_name', '{r.name}', "
+            f"'confirm_week', IF(now_{r.key}, week, week + 1)), NULL)"
+            for r in RULES
+        ]
     )
-    return flagged.select("employee", "week", F.explode(hits).alias("hit")).select(
+    return with_runs(timeline).select("employee", "week", F.explode(hits).alias("hit")).select(
         "employee", "hit.signal_name", "week", "hit.confirm_week"
     )
 
 
+def _entry(kind: str, name: str, weeks: str, severity: str, details: str = "NULL") -> str:
+    return (
+        f"CAST(named_struct('kind', '{kind}', 'signal_name', '{name}', 'weeks_detected', {weeks}, "
+        f"'severity', {severity}, 'details', {details}) AS {SIGNAL_DDL})"
+    )
+
+
+def _as_of_entry(rule: Rule) -> str:
+    """Signal entry as of the row's week, NULL when nothing is confirmed by then."""
+    k = rule.key
+    pick = "greatest" if rule.keep == "max" else "least"
+    weeks = f"IF(now_{k}, array_append(weeks_{k}, week), weeks_{k})"
+    worst = f"IF(now_{k}, {pick}(past_{k}, worst_{k}), past_{k})"
+    found = _entry("signal", rule.name, weeks, rule.severity(worst))
+    return f"IF(now_{k} OR size(weeks_{k}) > 0, {found}, NULL)"
+
+
 def signals_as_of(timeline: DataFrame) -> DataFrame:
     """Confirmed signals of every employee as of every week, with their severity.
 
@@ -149,70 +155,31 @@ def signals_as_of(timeline: DataFrame) -> DataFrame:
     when the week before is flagged.  Worst values are running maxima and minima, and
     everything stays in one partitioning by employee.
     """
-    order = employee_order()
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    all_rules = rules()
-    flagged = with_missing_weeks(weekly_flags(timeline))
-
-    neighbours, confirmed, running = {}, {}, {}
-    for rule in all_rules:
-        k = _key(rule.name)
-        flag, prev = F.col(f"flag_{k}"), F.col(f"prev_{k}")
-        neighbours[f"prev_{k}"] = F.coalesce(F.lag(f"flag_{k}").over(order), F.lit(False))
-        neighbours[f"next_{k}"] = F.coalesce(F.lead(f"flag_{k}").over(order), F.lit(False))
-        confirmed[f"now_{k}"] = flag & prev
-        confirmed[f"run_{k}"] = F.when(flag & (prev | F.col(f"next_{k}")), F.col("week"))
-        confirmed[f"worst_{k}"] = F.when(flag & (prev | F.col(f"next_{k}")), rule.worst)
-        extreme = F.max if rule.keep == "max" else F.min
-        running[f"weeks_{k}"] = F.collect_list(f"run_{k}").over(before)
-        running[f"past_{k}"] = extreme(f"worst_{k}").over(before)
-
-    rows = flagged.withColumns(neighbours).withColumns(confirmed).withColumns(running)
-    found = [_as_of_signal(rule) for rule in all_rules]
-    no_baseline = _signal("no_baseline", C.BASELINE_MISSING, F.array().cast("array<int>"), "low")
-    gap = _signal(
-        "gap",
-        C.GAP_MARKER,
-        F.lit(None),
-        "low",
-        F.format_string(C.GAP_DETAILS_FORMAT, F.array_join("missing_weeks", ", ")),
-    )
-    signals = F.array_compact(
-        F.array(
-            F.when(~F.col("has_baseline"), no_baseline),
-            *found,
-            F.when(F.size("missing_weeks") > 0, gap),
-        )
+    before = employee_order().rowsBetween(W.unboundedPreceding, -1)
+    worst, running = {}, {}
+    for r in RULES:
+        worst[f"worst_{r.key}"] = F.expr(f"IF(run_{r.key}, {r.worst}, NULL)")
+        hit = F.expr(f"IF(run_{r.key}, week, NULL)")
+        extreme = F.max if r.keep == "max" else F.min
+        running[f"weeks_{r.key}"] = F.collect_list(hit).over(before)
+        running[f"past_{r.key}"] = extreme(f"worst_{r.key}").over(before)
+    rows = with_missing_weeks(with_runs(timeline)).withColumns(worst).withColumns(running)
+
+    no_baseline = _entry("no_baseline", C.BASELINE_MISSING, "array()", "'low'")
+    details = f"format_string('{C.GAP_DETAILS_FORMAT}', array_join(missing_weeks, ', '))"
+    gap = _entry("gap", C.GAP_MARKER, "NULL", "'low'", details)
+    signals = _compact(
+        [
+            f"IF(has_baseline, NULL, {no_baseline})",
+            *[_as_of_entry(r) for r in RULES],
+            f"IF(size(missing_weeks) > 0, {gap}, NULL)",
+        ]
     )
     return rows.select(
         "employee", "week", "data_missing", "missing_weeks", signals.alias("signals")
     )
 
 
-def _as_of_signal(rule: Rule) -> Column:
-    k = _key(rule.name)
-    now, past, current = F.col(f"now_{k}"), F.col(f"past_{k}"), F.col(f"worst_{k}")
-    weeks = F.when(now, F.array_append(f"weeks_{k}", F.col("week"))).otherwise(
-        F.col(f"weeks_{k}")
-    )
-    pick = F.greatest if rule.keep == "max" else F.least
-    worst = F.when(now, pick(past, current)).otherwise(past)
-    return F.when(
-        F.size(weeks) > 0,
-        _signal("signal", rule.name, weeks, rule.severity(worst)),
-    )
-
-
-def _signal(kind: str, name: str, weeks: Column, severity, details: Column | None = None) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        F.lit(name).alias("signal_name"),
-        weeks.cast("array<int>").alias("weeks_detected"),
-        (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"),
-        (F.lit(None) if details is None else details).cast("string").alias("details"),
-    ).cast(SIGNAL_DDL)
-
-
 def explode_signals(evaluated: DataFrame) -> DataFrame:
     """One row per (employee, week, signal entry)."""
     return evaluated.select("employee", "week", F.explode("signals").alias("s")).select(
@@ -259,7 +226,3 @@ def add_details(signals: Column, answers: Column) -> Column:
             ).alias("details"),
         ),
     )
-
-
-def employee_slug() -> Column:
-    return slug(F.col("employee"))

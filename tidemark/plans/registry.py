@@ -265,12 +265,14 @@ def set_similarity(spark, sf_dir):
 
 # Stands in for the deny-list on the corpus: words and a two-word span that occur there.
 CORPUS_PATTERNS = (r"\bthe thing\b", r"\bund\b.*\bder\b", r"^Re\b", r"\bdes\b|\bles\b")
+CORPUS_WORDS = {CORPUS_PATTERNS[0]: "the thing", CORPUS_PATTERNS[1]: "und", CORPUS_PATTERNS[2]: "re"}
 
 
 @register("X18")
 def blocked_documents(spark, sf_dir):
     texts = d.table(spark, sf_dir, "documents")
-    return texts.select("doc_id", screening.blocked_by(F.col("text"), CORPUS_PATTERNS).alias("blocked_by"))
+    scanned = screening.with_blocked_by(texts, patterns=CORPUS_PATTERNS, words=CORPUS_WORDS)
+    return scanned.select("doc_id", "blocked_by")
 
 
 _PHRASES = (
@@ -288,19 +290,16 @@ def screened_texts(spark, sf_dir):
         F.array(*[F.lit(p) for p in _PHRASES]), (F.col("doc_id") % len(_PHRASES) + 1).cast("int")
     )
     texts = d.table(spark, sf_dir, "documents").withColumn("full", F.concat("text", F.lit("\n"), phrase))
-    text = F.col("full")
-    return texts.select(
-        "doc_id", screening.blocked_by(text).alias("blocked_by"),
-        F.md5(screening.screen(text).cast("binary")).alias("text_md5"),
-    )
+    scanned = screening.with_blocked_by(texts, "full")
+    shown = screening.safe_text(F.col("full"), F.col("blocked_by"))
+    return scanned.select("doc_id", "blocked_by", F.md5(shown.cast("binary")).alias("text_md5"))
 
 
 @register("X18")
 def screened_conversations(spark, sf_dir):
     turns = d.table(spark, sf_dir, "conversations")
-    return turns.select(
-        "conv_id", "turn", screening.blocked_by(F.col("text"), CORPUS_PATTERNS).alias("blocked_by")
-    )
+    scanned = screening.with_blocked_by(turns, patterns=CORPUS_PATTERNS, words=CORPUS_WORDS)
+    return scanned.select("conv_id", "turn", "blocked_by")
 
 
 @register("P18")

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.cleaning import capitalise, safe_int
 from tidemark.functions.model_text import whole_number
+from tidemark.session import scratch_dir
 from tidemark.schemas import EVALUATION, EVALUATION_COLUMNS, EVALUATION_JSON, SIGNAL_DDL
 
 KEY = ["scope", "employee", "week"]
@@ -33,15 +34,20 @@ def read_state(spark: SparkSession, path: str, scope: str | None = None) -> Data
 def upsert_state(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Replaces or adds evaluations by (scope, employee, week).
 
-    Only the (scope, week) partitions that get rows are read and rewritten.  Their list
-    is the one thing the driver sees: weeks are bounded and scopes are few.
+    The update is computed once, into a staging table in the shared folder; the state
+    it may have been computed from is read no more when its files are replaced.  Only the
+    (scope, week) partitions that get rows are read and rewritten.  Their list is the
+    one thing the driver sees: weeks are bounded and scopes are few.
     """
-    new = new.select(*EVALUATION_COLUMNS)
+    staging = scratch_dir(spark, "update")
+    new.select(*EVALUATION_COLUMNS).write.parquet(staging)
+    new = spark.read.schema(EVALUATION).parquet(staging)
     if _exists(spark, path):
         touched = new.select("scope", "week").distinct().limit(_MAX_TOUCHED + 1).collect()
         if len(touched) > _MAX_TOUCHED:
             raise ValueError("more weeks in one update than a state table may hold")
         if not touched:
+            _drop(spark, staging)
             return
         hit = F.lit(False)
         for scope in {r.scope for r in touched}:
@@ -56,6 +62,13 @@ def upsert_state(spark: SparkSession, path: str, new: DataFrame) -> None:
         .partitionBy("scope", "week")
         .parquet(path)
     )
+    _drop(spark, staging)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """Removes a staging table this module wrote."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def _spread(spark: SparkSession) -> int:
