@@ -78,6 +78,9 @@ def test_observation_metrics(spark):
 
 
 def test_extracted_answer(spark):
-    m = value(spark, observation.metrics_from_answer(F.col("c")),
-              c='ok: {"employee_name": "mEENA", "tasks_completed": "4", "sentiment": "POSITIVE"} bye')
+    frame = spark.createDataFrame(
+        [(1, 'ok: {"employee_name": "mEENA", "tasks_completed": "4", "sentiment": "POSITIVE"} bye'), (2, "no")],
+        "i INT, text STRING")
+    m, none = (r.metrics for r in observation.with_metrics_from_answer(frame).orderBy("i").collect())
+    assert none is None
     assert (m.name, m.tasks_completed, m.weekly_hours, m.task_accuracy, m.sentiment) == ("Meena", 4, 40, 95, "Positive")

@@ -119,11 +119,14 @@ def test_parsed_answers(spark):
         ('{"classification": "Watch"}', (True, 1, "Watch")), ('{"score": "high"}', (False, None, "")),
         ("not json", (False, None, None)), ("", (False, None, None)), ('Here: {"score": 5}', (False, None, None)),
         ("[1, 2]", (False, None, None)), ('{"score": 5', (False, None, None)),
+        ('{"score": 5} done', (False, None, None)), ('{"score": 5}, {"score": 6}', (False, None, None)),
+        ("{'score': 5}", (False, None, None)), ("null", (False, None, None)), ("{}", (True, 1, "")),
+        ('{"score": {"a": 1}}', (False, None, None)), ('{"score": 5, "more": [1]}', (True, 5, "")),
     ]
     frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i INT, t STRING")
-    got = {r.i: r.a for r in frame.select("i", risk.parse_risk_answer(F.col("t")).alias("a")).collect()}
+    got = {r.i: r.answer for r in risk.with_risk_answer(frame, "t").collect()}
     for i, (text, (ok, score, cls)) in enumerate(texts):
-        assert got[i].ok == ok, text
+        assert (got[i] is not None) == ok, text
         if ok:
             assert (got[i].score, got[i].classification) == (score, cls)
 

@@ -101,6 +101,8 @@ def test_week_limit(spark):
         TL.densify(frame, TL.max_week_of(frame)).collect()
     vanished = spark.createDataFrame([record("a", 0), record("a", 1)], EMPLOYEE_WEEK)
     assert TL.densify(vanished, TL.max_week_of(vanished)).count() == 1
+    later = spark.createDataFrame([record("a", 1), record("a", 7)], EMPLOYEE_WEEK)
+    assert rows(TL.densify(later, 5), "week", "data_missing") == [(1, False)] + [(w, True) for w in (2, 3, 4, 5)]
 
 
 def flags_of(m, base):

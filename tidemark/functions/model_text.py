@@ -1,12 +1,10 @@
 """Values out of text a model answered with."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.cleaning import strip
 
-RISK_ANSWER = "score STRING, classification STRING, rationale STRING"
 TREND_ANSWER = "ARRAY<STRUCT<signal_name: STRING, details: STRING>>"
-GRADE_ANSWER = "score STRING, explanation STRING"
 
 
 def strip_fences(text: Column) -> Column:
@@ -21,11 +19,21 @@ def json_block(text: Column) -> Column:
     return F.coalesce(F.nullif(block, F.lit("")), text)
 
 
-def is_json_object(text: Column) -> Column:
-    """True when the text parses as one JSON object."""
-    return F.coalesce(
-        F.get_json_object(text, "$").isNotNull() & text.startswith("{"), F.lit(False)
+def with_json_object(rows: DataFrame, text: Column, fields: str, out: str) -> DataFrame:
+    """Adds the text's one JSON object as a struct, NULL for anything else.
+
+    Parsed as the only element of an array: Spark would read an object and ignore what
+    follows it.  A column of its own, so that the text is parsed once per row however
+    many fields are used.
+    """
+    elements = F.from_json(
+        F.concat(F.lit("["), text, F.lit("]")),
+        f"ARRAY<STRUCT<{fields}>>",
+        {"allowSingleQuotes": "false"},
     )
+    return rows.withColumn("_elements", elements).withColumn(
+        out, F.when(F.size("_elements") == 1, F.get("_elements", F.lit(0)))
+    ).drop("_elements")
 
 
 def whole_number(text: Column) -> Column:

@@ -1,6 +1,6 @@
 """Metrics out of free-text observations and out of extracted JSON."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.constants import (
     OBSERVATION_WORDS,
@@ -9,12 +9,20 @@ from tidemark.constants import (
     OBSERVED_SENTIMENT,
 )
 from tidemark.functions.cleaning import capitalise, safe_double, safe_int, strip
-from tidemark.functions.model_text import json_block
+from tidemark.functions.model_text import json_block, with_json_object
 
-EXTRACTED = (
-    "employee_name STRING, tasks_completed STRING, avg_response_time_hours STRING, "
-    "after_hours_logins STRING, sick_days STRING, weekly_hours STRING, "
-    "task_accuracy STRING, sentiment STRING"
+_EXTRACTED = ", ".join(
+    f"{name}: STRING"
+    for name in (
+        "employee_name",
+        "tasks_completed",
+        "avg_response_time_hours",
+        "after_hours_logins",
+        "sick_days",
+        "weekly_hours",
+        "task_accuracy",
+        "sentiment",
+    )
 )
 _LINK = r"[\s:=]*(?:of|was|is|at|to|time|rate|around|about)?[\s:=]*"
 
@@ -41,43 +49,50 @@ def metrics_from_text(text: Column) -> Column:
     whole, decimal = r"\d+", r"\d+(?:\.\d+)?"
     name = _found(text, r"^\s*([^\W\d]+)")
     tone = _found(text, r"\b(positive|neutral|negative|withdrawn)\b")
+    latency = _found(text, rf"\b(?:{_words('avg_response_time')}){_LINK}({decimal})")
+
+    def number(digits: Column, default, kind: str = "int") -> Column:
+        other = default if isinstance(default, Column) else F.lit(default)
+        return F.coalesce(digits.try_cast(kind), other)
+
     every_day = text.rlike(r"(?i)\bworked\s+everyday\b")
     return F.struct(
         capitalise(F.coalesce(name, F.lit("Unknown"))).alias("name"),
-        safe_int(_found(text, rf"({whole})\s+tasks?\b"), 0).alias("tasks_completed"),
-        safe_double(
-            _found(text, rf"\b(?:{_words('avg_response_time')}){_LINK}({decimal})"), 0.0
-        ).alias("avg_response_time"),
-        F.coalesce(
-            safe_int(_before_or_after(text, "after_hours_logins", whole)),
-            F.when(every_day, F.lit(7)),
-            F.lit(0),
+        number(_found(text, rf"({whole})\s+tasks?\b"), 0).alias("tasks_completed"),
+        number(latency, 0.0, "double").alias("avg_response_time"),
+        number(
+            _before_or_after(text, "after_hours_logins", whole),
+            F.when(every_day, F.lit(7)).otherwise(F.lit(0)),
         ).alias("after_hours_logins"),
-        safe_int(_before_or_after(text, "sick_days", whole), 0).alias("sick_days"),
-        safe_int(
+        number(_before_or_after(text, "sick_days", whole), 0).alias("sick_days"),
+        number(
             _found(text, rf"\b(?:{_words('weekly_hours')})\s+({whole})\s*hours?\b"),
             OBSERVED_HOURS,
         ).alias("weekly_hours"),
-        safe_int(
+        number(
             _before_or_after(text, "task_accuracy", whole), OBSERVED_ACCURACY
         ).alias("task_accuracy"),
         capitalise(F.coalesce(tone, F.lit(OBSERVED_SENTIMENT))).alias("sentiment"),
     )
 
 
-def metrics_from_answer(answer: Column) -> Column:
-    """One struct of typed metrics out of an extractor's JSON answer."""
-    doc = F.from_json(strip(json_block(answer)), EXTRACTED)
-    get = doc.getField
-    return F.struct(
-        capitalise(strip(F.coalesce(get("employee_name"), F.lit("Unknown")))).alias("name"),
-        safe_int(get("tasks_completed"), 0).alias("tasks_completed"),
-        safe_double(get("avg_response_time_hours"), 0.0).alias("avg_response_time"),
-        safe_int(get("after_hours_logins"), 0).alias("after_hours_logins"),
-        safe_int(get("sick_days"), 0).alias("sick_days"),
-        safe_int(get("weekly_hours"), OBSERVED_HOURS).alias("weekly_hours"),
-        safe_int(get("task_accuracy"), OBSERVED_ACCURACY).alias("task_accuracy"),
+def with_metrics_from_answer(rows: DataFrame, text: str = "text", out: str = "metrics") -> DataFrame:
+    """Adds a struct of typed metrics out of an extractor's JSON answer; NULL without one."""
+    parsed = with_json_object(rows, strip(json_block(F.col(text))), _EXTRACTED, "_doc")
+
+    def given(name: str) -> Column:
+        return F.col(f"_doc.{name}")
+
+    metrics = F.struct(
+        capitalise(strip(F.coalesce(given("employee_name"), F.lit("Unknown")))).alias("name"),
+        safe_int(given("tasks_completed"), 0).alias("tasks_completed"),
+        safe_double(given("avg_response_time_hours"), 0.0).alias("avg_response_time"),
+        safe_int(given("after_hours_logins"), 0).alias("after_hours_logins"),
+        safe_int(given("sick_days"), 0).alias("sick_days"),
+        safe_int(given("weekly_hours"), OBSERVED_HOURS).alias("weekly_hours"),
+        safe_int(given("task_accuracy"), OBSERVED_ACCURACY).alias("task_accuracy"),
         capitalise(
-            strip(F.coalesce(get("sentiment"), F.lit(OBSERVED_SENTIMENT)))
+            strip(F.coalesce(given("sentiment"), F.lit(OBSERVED_SENTIMENT)))
         ).alias("sentiment"),
     )
+    return parsed.withColumn(out, F.when(F.col("_doc").isNotNull(), metrics)).drop("_doc")

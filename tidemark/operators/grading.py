@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.cleaning import strip
-from tidemark.functions.model_text import GRADE_ANSWER, json_block, strip_fences, whole_number
+from tidemark.functions.model_text import json_block, whole_number, with_json_object
 
 
 def call_outcomes(calls: DataFrame, *by: str) -> DataFrame:
@@ -24,14 +24,15 @@ def turn_counts(turns: DataFrame, key: str = "conv_id") -> DataFrame:
 
 def parse_grades(verdicts: DataFrame, text: str = "text") -> DataFrame:
     """Adds grade (1..5, else NULL) and explanation from a JSON verdict."""
-    answer = F.from_json(strip(json_block(strip_fences(F.col(text)))), GRADE_ANSWER)
-    score = whole_number(answer.getField("score"))
-    return verdicts.withColumns(
+    fields = "score: STRING, explanation: STRING"
+    parsed = with_json_object(verdicts, strip(json_block(F.col(text))), fields, "_doc")
+    scored = parsed.withColumn("grade", whole_number(F.col("_doc.score")))
+    return scored.withColumns(
         {
-            "grade": F.when(score.between(1, 5), score),
-            "explanation": answer.getField("explanation"),
+            "grade": F.when(F.col("grade").between(1, 5), F.col("grade")),
+            "explanation": F.col("_doc.explanation"),
         }
-    )
+    ).drop("_doc")
 
 
 def grade_summary(graded: DataFrame, metric: str = "metric") -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import constants as C
-from tidemark.functions.model_text import RISK_ANSWER, is_json_object, strip_fences, whole_number
+from tidemark.functions.model_text import strip_fences, whole_number, with_json_object
 from tidemark.operators.cases import case_rationale
 
 
@@ -26,22 +26,26 @@ def is_flagged(classification: Column) -> Column:
     return F.upper(F.trim(classification)).isin(*C.ELEVATED_CLASSES)
 
 
-def parse_risk_answer(text: Column) -> Column:
-    """struct(ok, score, classification, rationale) of a model's risk answer.
+def with_risk_answer(rows: DataFrame, text: str = "text", out: str = "answer") -> DataFrame:
+    """Adds struct(score, classification, rationale) of a model's risk answer.
 
-    ``ok`` is false for text that is no JSON object and for a score that is no number;
-    an absent score counts 1.
+    NULL for text that is no JSON object and for a score that is no number; an absent
+    score counts 1.
     """
-    clean = strip_fences(text)
-    answer = F.from_json(clean, RISK_ANSWER)
-    written = answer.getField("score")
-    score = F.when(written.isNull(), F.lit(C.STATUS_SCORE)).otherwise(whole_number(written))
-    return F.struct(
-        (is_json_object(clean) & score.isNotNull()).alias("ok"),
-        score.alias("score"),
-        F.coalesce(answer.getField("classification"), F.lit("")).alias("classification"),
-        F.coalesce(answer.getField("rationale"), F.lit("")).alias("rationale"),
+    fields = "score: STRING, classification: STRING, rationale: STRING"
+    parsed = with_json_object(rows, strip_fences(F.col(text)), fields, "_doc")
+    written = F.col("_doc.score")
+    parsed = parsed.withColumn(
+        "_score",
+        F.when(written.isNull(), F.lit(C.STATUS_SCORE)).otherwise(whole_number(written)),
+    )
+    answer = F.struct(
+        F.col("_score").alias("score"),
+        F.coalesce("_doc.classification", F.lit("")).alias("classification"),
+        F.coalesce("_doc.rationale", F.lit("")).alias("rationale"),
     )
+    valid = F.col("_doc").isNotNull() & F.col("_score").isNotNull()
+    return parsed.withColumn(out, F.when(valid, answer)).drop("_doc", "_score")
 
 
 def base_scores(rows: DataFrame, answer: str = "risk_text", prefix: str = "case_") -> DataFrame:
@@ -49,8 +53,8 @@ def base_scores(rows: DataFrame, answer: str = "risk_text", prefix: str = "case_
 
     A valid model answer wins, else the nearest case, else the fixed default.
     """
-    parsed = rows.withColumn("_a", parse_risk_answer(F.col(answer)))
-    ok = F.coalesce(F.col("_a.ok"), F.lit(False))
+    parsed = with_risk_answer(rows, answer, "_a")
+    ok = F.col("_a").isNotNull()
     has_case = F.col(f"{prefix}similarity").isNotNull()
 
     def pick(model: Column, case: Column, default) -> Column:

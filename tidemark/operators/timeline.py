@@ -67,8 +67,8 @@ def densify(records: DataFrame, max_week: Column | int) -> DataFrame:
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     first_week = F.col("_first_week")
     spans = (
-        records.filter(F.col("week") >= 1)
-        .withColumn("_max", last_week)
+        records.withColumn("_max", last_week)
+        .filter((F.col("week") >= 1) & (F.col("week") <= F.col("_max")))
         .withColumn("_next", F.lead("week").over(order))
         .withColumn("_first_week", F.first("week").over(whole))
         .withColumns(

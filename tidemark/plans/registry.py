@@ -160,17 +160,11 @@ def score_classes(spark, sf_dir):
 @register("X12", "X13", "X14")
 def parsed_risk_answers(spark, sf_dir):
     answers = d.risk_answers(spark, sf_dir)
-    parsed = answers.withColumn("a", risk.parse_risk_answer(model_text.json_block(F.col("text"))))
-    whole = answers.withColumn("a", risk.parse_risk_answer(F.col("text")))
-    both = parsed.withColumn("source", F.lit("block")).unionByName(
-        whole.withColumn("source", F.lit("fenced"))
-    )
-    ok = F.col("a.ok")
-    return both.select(
-        "employee", "week", "source", ok.alias("ok"),
-        F.when(ok, F.col("a.score")).alias("score"),
-        F.when(ok, F.col("a.classification")).alias("classification"),
-        F.when(ok, F.col("a.rationale")).alias("rationale"),
+    block = model_text.json_block(F.col("text"))
+    both = F.explode(F.create_map(F.lit("fenced"), "text", F.lit("block"), block))
+    texts = answers.select("employee", "week", both.alias("source", "text"))
+    return risk.with_risk_answer(texts).select(
+        "employee", "week", "source", F.col("answer").isNotNull().alias("ok"), "answer.*"
     )
 
 
@@ -208,15 +202,9 @@ def score_recurrence_true_count(spark, sf_dir):
 
 @register("P22")
 def default_scores(spark, sf_dir):
-    answers = d.risk_answers(spark, sf_dir).withColumn("a", risk.parse_risk_answer(F.col("text")))
-    ok = F.col("a.ok")
-    rows = answers.select(
-        "employee", "week",
-        F.when(ok, F.col("a.score")).alias("score"),
-        F.when(ok, F.col("a.classification")).alias("classification"),
-        F.when(ok, F.col("a.rationale")).alias("rationale"),
-        F.when(ok & (F.col("a.classification") == "Healthy"), 1).when(ok, 0).alias("healthy_streak"),
-    )
+    answers = risk.with_risk_answer(d.risk_answers(spark, sf_dir)).select("employee", "week", "answer.*")
+    healthy = F.col("classification") == "Healthy"
+    rows = answers.withColumn("healthy_streak", F.when(healthy, 1).when(~healthy, 0))
     return risk.default_scores(rows)
 
 
@@ -386,9 +374,8 @@ def extracted_metrics(spark, sf_dir):
         )
     )
     answer = F.concat(F.lit("Sure: "), doc, F.lit(" - anything else?"))
-    return rows.select("employee", "week", observation.metrics_from_answer(answer).alias("m")).select(
-        "employee", "week", "m.*"
-    )
+    texts = rows.select("employee", "week", answer.alias("text"))
+    return observation.with_metrics_from_answer(texts).select("employee", "week", "metrics.*")
 
 
 @register("X1")

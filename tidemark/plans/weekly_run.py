@@ -101,11 +101,10 @@ def evaluate(
             {
                 "stored": F.coalesce("stored", F.lit(False)),
                 "in_history": F.coalesce("in_history", F.lit(True)),
-                "signals": add_details(
-                    F.col("signals"), F.from_json(strip_fences(F.col("trend_text")), TREND_ANSWER)
-                ),
+                "details": F.from_json(strip_fences(F.col("trend_text")), TREND_ANSWER),
             }
         )
+        .withColumn("signals", add_details(F.col("signals"), F.col("details")))
         .withColumn("names", signal_names(F.col("signals")))
     )
     known = state.filter(F.col("scope") == scope).withColumn("names", signal_names(F.col("signals")))
@@ -123,13 +122,13 @@ def evaluate(
             "base_rationale": F.when(keep, F.col("st_rationale")).otherwise(F.col("base_rationale")),
         }
     )
-    folded = choose_briefing(risk.fold_scores(scored, streak_mode, carry=_CARRY))
-    is_due = ~F.col("stored") | (
-        (F.upper(F.coalesce("classification", F.lit(""))) != "HEALTHY")
-        & (F.coalesce("stored_briefing", F.lit("")) == "")
-        & F.col("briefing").isNotNull()
+    folded = risk.fold_scores(scored, streak_mode, carry=_CARRY)
+    # Filtered before the texts are screened, on what decides that there is a text.
+    lacks_briefing = risk.is_flagged(F.col("classification")) & (
+        F.coalesce("stored_briefing", F.lit("")) == ""
     )
-    return folded.filter(is_due).select(
+    due = folded.filter(~F.col("stored") | lacks_briefing)
+    return choose_briefing(due).select(
         F.lit(scope).alias("scope"),
         "employee",
         "week",
