@@ -171,14 +171,17 @@ def test_nearest_case_against_brute_force(spark):
 
     q = spark.createDataFrame(queries, "id INT, names ARRAY<STRING>")
     p = spark.createDataFrame(pool, "employee STRING, week INT, names ARRAY<STRING>, score INT")
-    got = {r.id: (r.case_similarity, r.case_score) for r in cases.nearest_case(q, p, ["score"]).collect()}
-    assert got == {i: best(n) for i, n in queries}
-    none = cases.nearest_case(q, p.limit(0), ["score"])
-    assert none.filter("case_score IS NOT NULL").count() == 0 and none.count() == 80
+    searches = [cases.Search("all_", F.lit(True), ("score",)), cases.Search("odd_", F.col("score") % 2 == 1, ("score",))]
+    found = cases.nearest_cases(q, p, searches).collect()
+    assert {r.id: (r.all_similarity, r.all_score) for r in found} == {i: best(n) for i, n in queries}
+    pool[:] = [r for r in pool if r[3] % 2 == 1]
+    assert {r.id: (r.odd_similarity, r.odd_score) for r in found} == {i: best(n) for i, n in queries}
+    none = cases.nearest_cases(q, p.limit(0), searches)
+    assert none.filter("all_score IS NOT NULL").count() == 0 and none.count() == 80
 
 
 def test_pools(spark):
     frame = spark.createDataFrame(
         [("model", "text"), ("case", None), ("default", ""), ("model", "x " + C.SAFE_BRIEFING)], "origin STRING, briefing STRING")
-    assert cases.case_pool(frame).count() == 2
-    assert rows(cases.briefing_pool(frame), "briefing") == [("text",)]
+    assert frame.filter(cases.case_search().eligible).count() == 2
+    assert rows(frame.filter(cases.briefing_search().eligible), "briefing") == [("text",)]

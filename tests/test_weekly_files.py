@@ -87,6 +87,14 @@ def test_pasted_text_replaces_a_week_and_rows_are_appended(spark, tmp_path):
     assert rows(after, "employee", "week", "completed_tasks") == [("Cy", 3, 1), ("New", 2, 5)]
 
 
+def test_people_with_one_first_name(spark, tmp_path):
+    (tmp_path / "week1.csv").write_text("name,tasks\nAnn Lee,1\n Ann  Ray ,2\n  ,3\n")
+    folder = str(tmp_path)
+    assert {r[0] for r in rows(weekly.scan_employee_weeks(spark, folder), "employee")} == {"Ann", "Unknown"}
+    full = weekly.scan_employee_weeks(spark, folder, full_names=True)
+    assert rows(full, "employee") == [("Ann  Ray",), ("Ann Lee",), ("Unknown",)]
+
+
 def test_target_week_and_missing_as_null(spark, tmp_path):
     (tmp_path / "week7.csv").write_text(HEADER + "\nBo,,,,,,,\n")
     got = rows(weekly.scan_employee_weeks(spark, str(tmp_path), target_week=3, missing_as_null=True), "week", "completed_tasks", "response_time")

@@ -6,6 +6,7 @@ nine names), so matching happens between subsets and never between rows.
 """
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,15 +16,28 @@ from tidemark.functions.sets import percent
 MAX_VOCABULARY = 12
 
 
-def case_pool(state: DataFrame) -> DataFrame:
-    """Records a score may be taken from: those a model wrote."""
-    return state.filter(F.col("origin") == "model")
+@dataclass(frozen=True)
+class Search:
+    """One question to the pool: which records count, and what to take from the best.
+
+    Results get ``<prefix>similarity`` and ``<prefix><name>`` columns.
+    """
+
+    prefix: str
+    eligible: Column
+    payload: tuple[str, ...]
+
+
+def case_search(*more: str) -> Search:
+    """Scores may be taken from records a model wrote."""
+    payload = ("score", "classification", "rationale", *more)
+    return Search("case_", F.col("origin") == "model", payload)
 
 
-def briefing_pool(state: DataFrame) -> DataFrame:
-    """Records a briefing may be taken from: a real text, not the safe one."""
-    text = F.col("briefing")
-    return state.filter((F.coalesce(text, F.lit("")) != "") & ~text.contains(C.SAFE_BRIEFING_MARK))
+def briefing_search() -> Search:
+    """Briefings may be taken from records with a real text, not the safe one."""
+    text = F.coalesce("briefing", F.lit(""))
+    return Search("past_", (text != "") & ~text.contains(C.SAFE_BRIEFING_MARK), ("briefing",))
 
 
 def subset_mask(names: Column, vocabulary: Sequence[str]) -> Column:
@@ -38,69 +52,89 @@ def subset_mask(names: Column, vocabulary: Sequence[str]) -> Column:
     return mask
 
 
-def nearest_case(
+def nearest_cases(
     queries: DataFrame,
     pool: DataFrame,
-    payload: Sequence[str],
-    prefix: str = "case_",
+    searches: Sequence[Search],
     names: str = "names",
     vocabulary: Sequence[str] = C.SIGNAL_VOCABULARY,
     floor: float = C.SIMILARITY_FLOOR,
 ) -> DataFrame:
-    """``queries`` plus the payload of the most similar case, NULL below ``floor``.
+    """``queries`` plus, per search, the payload of the most similar record.
 
-    Query sets hold vocabulary names only; pool sets may hold others, which count in
-    the union.  Ties go to the first (employee, week).  Adds ``<prefix>similarity``
-    and one column per payload column.
+    Both sides hold their signal names in ``names``; query sets hold vocabulary names
+    only, pool sets may hold others, which count in the union.  Below ``floor`` the new
+    columns are NULL; ties go to the first (employee, week).  The pool is read once for
+    all searches.
     """
     if len(vocabulary) > MAX_VOCABULARY:
         raise ValueError("too many names for the table of subsets")
     known = F.array(*[F.lit(v) for v in vocabulary])
-    # Among cases with the same known names, the one with the fewest unknown names is
+    # Among records with the same known names, the one with the fewest unknown names is
     # at least as similar to every query set.
     best_per_subset = (
-        pool.select(
-            subset_mask(F.col(names), vocabulary).alias("mask"),
-            F.size(F.array_except(F.col(names), known)).alias("unknown"),
-            "employee",
-            "week",
-            F.struct(*payload).alias("payload"),
+        pool.withColumns(
+            {
+                "_mask": subset_mask(F.col(names), vocabulary),
+                "_unknown": F.size(F.array_except(F.col(names), known)),
+            }
         )
-        .groupBy("mask")
+        .groupBy("_mask")
         .agg(
-            F.min_by(
-                F.struct("unknown", "employee", "week", "payload"),
-                F.struct("unknown", "employee", "week"),
-            ).alias("c")
+            *[
+                F.min(
+                    F.when(
+                        search.eligible,
+                        F.struct(
+                            F.col("_unknown").alias("unknown"),
+                            F.col("employee").alias("first_employee"),
+                            F.col("week").alias("first_week"),
+                            F.struct(*search.payload).alias("payload"),
+                        ),
+                    )
+                ).alias(search.prefix)
+                for search in searches
+            ]
         )
     )
     cases = best_per_subset.agg(
-        F.collect_list(F.struct("mask", "c.unknown", "c.employee", "c.week", "c.payload"))
+        F.collect_list(F.struct("_mask", *[search.prefix for search in searches]))
     ).scalar()
 
-    def ranked(case: Column) -> Column:
-        mask = F.col("mask")
-        shared = F.bit_count(mask.bitwiseAND(case.getField("mask")))
-        union = F.bit_count(mask.bitwiseOR(case.getField("mask"))) + case.getField("unknown")
-        similarity = F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
-        return F.struct(
-            (-similarity).alias("rank"),
-            case.getField("employee").alias("employee"),
-            case.getField("week").alias("week"),
-            case.getField("payload").alias("payload"),
+    def best(search: Search) -> Column:
+        def ranked(case: Column) -> Column:
+            found, mask, other = case.getField(search.prefix), F.col("_mask"), case.getField("_mask")
+            shared = F.bit_count(mask.bitwiseAND(other))
+            union = F.bit_count(mask.bitwiseOR(other)) + found.getField("unknown")
+            similarity = F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
+            return F.struct(
+                (-similarity).alias("rank"),
+                found.getField("first_employee").alias("employee"),
+                found.getField("first_week").alias("week"),
+                found.getField("payload").alias("payload"),
+            )
+
+        eligible = F.filter("cases", lambda case: case.getField(search.prefix).isNotNull())
+        near = F.filter(
+            F.transform(eligible, ranked), lambda case: -case.getField("rank") >= floor
         )
+        return F.array_min(near).alias(search.prefix)
 
     # One row per possible subset: at most 2 ** len(vocabulary) rows.
     matches = (
         queries.sparkSession.range(1 << len(vocabulary))
-        .select(F.col("id").cast("int").alias("mask"))
-        .withColumn("cases", cases)
-        .select("mask", F.array_min(F.transform("cases", ranked)).alias("best"))
-        .filter(-F.col("best.rank") >= floor)
+        .select(F.col("id").cast("int").alias("_mask"), cases.alias("cases"))
+        .select("_mask", *[best(search) for search in searches])
         .select(
-            F.col("mask").alias("_mask"),
-            (-F.col("best.rank")).alias(f"{prefix}similarity"),
-            *[F.col(f"best.payload.{p}").alias(f"{prefix}{p}") for p in payload],
+            "_mask",
+            *[
+                column
+                for s in searches
+                for column in (
+                    (-F.col(f"{s.prefix}.rank")).alias(f"{s.prefix}similarity"),
+                    *[F.col(f"{s.prefix}.payload.{p}").alias(f"{s.prefix}{p}") for p in s.payload],
+                )
+            ],
         )
     )
     keyed = queries.withColumn("_mask", subset_mask(F.col(names), vocabulary))

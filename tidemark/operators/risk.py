@@ -23,7 +23,7 @@ def badge(classification: Column, unknown: str = "[?]") -> Column:
 
 def is_flagged(classification: Column) -> Column:
     """Watch or above, in any letter case."""
-    return F.upper(F.trim(classification)).isin(*C.ELEVATED_CLASSES)
+    return F.upper(classification).isin(*C.ELEVATED_CLASSES)
 
 
 def with_risk_answer(rows: DataFrame, text: str = "text", out: str = "answer") -> DataFrame:

@@ -216,9 +216,7 @@ def nearest_case(spark, sf_dir):
         .withColumn("names", sets.signal_names(F.col("signals")))
         .select("employee", "week", "names")
     )
-    found = cases.nearest_case(
-        queries, cases.case_pool(state), ["score", "classification", "rationale", "employee", "week"]
-    )
+    found = cases.nearest_cases(queries, state, [cases.case_search("employee", "week")])
     return found.select(
         "employee", "week",
         F.array_join("names", "|").alias("names"),
@@ -236,7 +234,7 @@ def nearest_briefing(spark, sf_dir):
     state = d.stored_evaluations(spark, sf_dir).withColumn("names", sets.signal_names(F.col("signals")))
     queries = state.select("employee", "week", "classification", F.array_intersect(
         "names", F.array(*[F.lit(n) for n in C.SIGNAL_VOCABULARY])).alias("names"))
-    found = cases.nearest_case(queries, cases.briefing_pool(state), ["briefing"], prefix="past_")
+    found = cases.nearest_cases(queries, state, [cases.briefing_search()])
     chosen = briefing.choose_briefing(found.withColumn("briefing_text", F.lit(None).cast("string")))
     return chosen.select("employee", "week", "briefing")
 

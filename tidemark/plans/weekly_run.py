@@ -108,10 +108,7 @@ def evaluate(
         .withColumn("names", signal_names(F.col("signals")))
     )
     known = state.filter(F.col("scope") == scope).withColumn("names", signal_names(F.col("signals")))
-    rows = cases.nearest_case(
-        rows, cases.case_pool(known), ["score", "classification", "rationale"]
-    )
-    rows = cases.nearest_case(rows, cases.briefing_pool(known), ["briefing"], prefix="past_")
+    rows = cases.nearest_cases(rows, known, (cases.case_search(), cases.briefing_search()))
     scored = risk.base_scores(rows)
     keep = F.col("stored")
     scored = scored.withColumns(

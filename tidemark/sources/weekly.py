@@ -20,6 +20,7 @@ from tidemark.functions.cleaning import (
     first_token,
     safe_double,
     safe_int,
+    strip,
 )
 from tidemark.schemas import EMPLOYEE_WEEK
 
@@ -245,6 +246,7 @@ def scan_employee_weeks(
     missing_as_null: bool = False,
     multi_line: bool = False,
     files: Sequence[str] | None = None,
+    full_names: bool = False,
 ) -> DataFrame:
     """EMPLOYEE_WEEK rows of every weekly file, with the row order in ``_row_order``.
 
@@ -252,6 +254,7 @@ def scan_employee_weeks(
     exact column set only (no hours, accuracy, sentiment; empty cells fall through to
     the next spelling).  ``target_week`` overrides the week of the file name.
     ``multi_line`` accepts line ends inside quotes, at the cost of splitting big files.
+    ``full_names`` keeps people apart who share a first name.
     """
     paths = list_files(spark, folder, (".csv", ".txt")) if files is None else list(files)
     union = None
@@ -269,8 +272,11 @@ def scan_employee_weeks(
             bound = resolve_headers(names, strict_parity=strict_parity)
             cells = {m: None if h is None else F.col(f"`{h}`") for m, h in bound.items()}
         week = F.col("__week_number__") if target_week is None else F.lit(target_week)
+        key = None
+        if full_names and cells.get("name") is not None:
+            key = F.coalesce(F.nullif(strip(cells["name"]), F.lit("")), F.lit("Unknown"))
         rows = to_employee_week(
-            raw, cells, week, F.col("__source_file__"), missing_as_null, extra=(ROW_ORDER,)
+            raw, cells, week, F.col("__source_file__"), missing_as_null, key, extra=(ROW_ORDER,)
         )
         union = rows if union is None else union.unionByName(rows)
     if union is None:
