@@ -489,12 +489,12 @@ ORACLES["weekly_files_strict"] = _with(
 ORACLES["pasted_weeks"] = _with(
     *_EW_GAPS,
     body="""SELECT week, count(*) AS employees, CAST(sum(completed_tasks) AS BIGINT) AS tasks, min(employee) AS first_name
-      FROM ew WHERE week > 2 GROUP BY week
-    UNION ALL SELECT r_regionkey + 1, 1, r_regionkey + 5, split_part(r_name, ' ', 1) FROM region WHERE r_regionkey < 2""",
+      FROM ew WHERE week < 3 GROUP BY week
+    UNION ALL SELECT r_regionkey + 3, 1, r_regionkey + 5, split_part(r_name, ' ', 1) FROM region""",
 )
 ORACLES["state_upsert"] = _with(
     *_STATE,
-    "m AS (SELECT *, u % 3 = 0 AND week >= 4 AS changed FROM state)",
+    "m AS (SELECT *, week >= 4 AS changed FROM state)",
     body=f"""SELECT 'main' AS scope, employee, week, CASE WHEN changed THEN 10 ELSE score END AS score,
       CASE WHEN changed THEN 'Silent Exit' ELSE classification END AS classification, healthy_streak, origin,
       {_NAMES} AS names FROM m
@@ -572,7 +572,7 @@ ORACLES["report_previews"] = (
 ORACLES["evaluations_to_do"] = _with(
     *_STATE, TL,
     body="""SELECT employee, week FROM spine
-    EXCEPT SELECT employee, week FROM state WHERE u % 3 = 0 AND week <= 2""",
+    EXCEPT SELECT employee, week FROM state WHERE week <= 2""",
 )
 ORACLES["briefings_to_repair"] = _with(
     *_STATE,
@@ -586,9 +586,9 @@ ORACLES["recent_history"] = _with(
 # --- evaluation run -------------------------------------------------------------
 
 
-def _run(stored: str) -> tuple[str, ...]:
+def _run(stored: str, earlier: str = "week <= 2") -> tuple[str, ...]:
     return (
-        "earlier AS (SELECT * FROM state WHERE u % 3 = 0 AND week <= 2)",
+        f"earlier AS (SELECT * FROM state WHERE {earlier})",
         f"kept AS (SELECT * FROM earlier WHERE {stored})",
         "run_pool AS (SELECT *, score AS c_score, classification AS c_class, rationale AS c_rationale FROM earlier WHERE origin = 'model')",
         "run_briefings AS (SELECT *, briefing AS c_briefing FROM earlier WHERE coalesce(briefing, '') <> '')",
@@ -636,6 +636,13 @@ ORACLES["evaluation_run_recomputed"] = _with(
     *_STATE, ANSWERS, *_DETECT, MISSING, ENTRIES, NAMED, *_run("week < 2"), *_fold(_STORED_GROWTH),
     body=_run_body("employee, week, score, classification, healthy_streak, origin"), recursive=True,
 )
+ORACLES["realtime_files"] = _with(
+    *_STATE, ANSWERS, *_DETECT, MISSING, ENTRIES, NAMED, *_run("true", "false"), *_fold(_STORED_GROWTH),
+    body="SELECT 'realtime' AS scope, r.* FROM ("
+    + _run_body("employee, week, score, classification, rationale, healthy_streak, origin, names")
+    + ") r",
+    recursive=True,
+)
 ORACLES["history_summaries"] = _with(
     *_STATE,
     """h AS (SELECT s.employee, s.week, count(p.week) AS weeks,
@@ -734,12 +741,12 @@ ORACLES["routed_logs"] = _with(
 ORACLES["stored_completions"] = _with(
     LOGS,
     body="""SELECT 'logs' AS what, count(*) AS n, count(DISTINCT trace) AS traces FROM logs WHERE ts >= 1704153600
-    UNION ALL SELECT 'messages', count(*), count(DISTINCT CASE WHEN conv_id % 11 <> 10 THEN md5(text) END) FROM conversations""",
+    UNION ALL SELECT 'messages', 5 * count(*), count(DISTINCT CASE WHEN conv_id % 11 <> 10 THEN md5(text) END) FROM conversations""",
 )
 ORACLES["feedback_rows"] = """
 SELECT CAST(1 + quality * 3 + toxic AS DOUBLE) AS score, CASE WHEN toxic = 1 THEN 'rude' ELSE '' END AS text,
   'feedback' AS log_type, 'engine' AS service_name, 'u' || doc_id AS user_id, true AS has_session
-FROM labels WHERE doc_id % 4 <> 0 AND doc_id % 5 <> 0"""
+FROM labels WHERE quality + toxic > 0 AND doc_id % 5 <> 0"""
 
 # --- counters, grades, cases ----------------------------------------------------
 
@@ -757,12 +764,11 @@ ORACLES["grade_summary"] = _with(
 )
 ORACLES["grade_comparison"] = _with(
     GRADED,
-    "base AS (SELECT * FROM graded WHERE case_id % 3 <> 0)",
-    """cand AS (SELECT case_id, metric, CASE WHEN grade IS NULL THEN 5 ELSE CAST(least(grade + case_id % 2, 5) AS INTEGER) END AS grade
-      FROM graded WHERE case_id % 4 <> 0)""",
+    """cand AS (SELECT doc_id AS case_id, CASE WHEN lang = 'en' THEN 'quality' ELSE 'tone' END AS metric,
+      CAST(least(1 + floor(n_chars / 500), 5) AS INTEGER) AS grade FROM documents)""",
     body="""SELECT coalesce(b.case_id, c.case_id) AS case_id, coalesce(b.metric, c.metric) AS metric,
       b.grade AS base_grade, c.grade AS candidate_grade, c.grade - b.grade AS difference
-    FROM base b FULL JOIN cand c ON b.case_id = c.case_id AND b.metric = c.metric""",
+    FROM graded b FULL JOIN cand c ON b.case_id = c.case_id AND b.metric = c.metric""",
 )
 ORACLES["evaluation_cases"] = """
 SELECT conv_id || '-' || turn AS case_id, CASE WHEN conv_id % 2 = 0 THEN 'prompt' ELSE 'turns' END AS shape,

@@ -21,6 +21,7 @@ from tidemark.plans import driver_tables as d, weekly_run as run
 from tidemark.schemas import EVALUATION_JSON
 from tidemark.session import scratch_dir
 from tidemark.sources import evalset, evaluations as ev, reports, telemetry, weekly
+from tidemark.streaming import realtime
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -444,9 +445,8 @@ def pasted_weeks(spark, sf_dir):
     weekly.append_rows(_metric_rows(spark, sf_dir), folder)
     pasted = (
         d.table(spark, sf_dir, "region")
-        .filter("r_regionkey < 2")
         .select(
-            (F.col("r_regionkey") + 1).alias("week"),
+            (F.col("r_regionkey") + 3).alias("week"),
             F.concat(
                 F.lit("\n name,tasks\n".replace(" ", "")), "r_name", F.lit(" x,"),
                 (F.col("r_regionkey") + 5).cast("string"), F.lit("\n\n"),
@@ -470,7 +470,7 @@ def state_upsert(spark, sf_dir):
     both = state.unionByName(state.filter("week <= 2").withColumn("scope", F.lit("realtime")))
     ev.upsert_state(spark, path, both)
     changed = (
-        state.filter((d.user_number(F.col("employee")) % 3 == 0) & (F.col("week") >= 4))
+        state.filter(F.col("week") >= 4)
         .withColumn("score", F.lit(10))
         .withColumn("classification", F.lit("Silent Exit"))
     )
@@ -649,6 +649,24 @@ def evaluation_run_recomputed(spark, sf_dir):
     return rows.select("employee", "week", "score", "classification", "healthy_streak", "origin")
 
 
+@register("T1", "T2", "S8", "S10", "A1")
+def realtime_files(spark, sf_dir):
+    """State after the stream has taken the weekly files that arrived in its folder."""
+    incoming, store, state, checkpoint = (
+        scratch_dir(spark, name) for name in ("incoming", "store", "state", "stream")
+    )
+    weekly.append_rows(_metric_rows(spark, sf_dir), incoming)
+    stream = realtime.start(
+        spark, incoming, store, state, checkpoint, d.risk_answers(spark, sf_dir),
+        clock=lambda: d.AS_OF, max_files=100_000,
+    )
+    stream.awaitTermination()
+    return ev.read_state(spark, state, "realtime").select(
+        "scope", "employee", "week", "score", "classification", "rationale", "healthy_streak", "origin",
+        _signal_names().alias("names"),
+    )
+
+
 @register("X20", "G4", "A10")
 def history_summaries(spark, sf_dir):
     rows = prompts.history_summary(d.stored_evaluations(spark, sf_dir))
@@ -722,8 +740,7 @@ def stored_completions(spark, sf_dir):
     """The view over log and message files that were written and read back."""
     logs_path, files = scratch_dir(spark, "logs"), scratch_dir(spark, "messages")
     telemetry.append_logs(d.inference_logs(spark, sf_dir), logs_path)
-    messages = d.completions(spark, sf_dir)
-    messages.filter(F.col("file_path").contains("output")).drop("file_path").write.json(files)
+    d.completions(spark, sf_dir).drop("file_path").write.json(files)
     stored, _ = telemetry.read_completions(spark, files)
     logs = telemetry.read_logs(spark, logs_path, F.col("day") >= "2024-01-02")
     return logs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("trace").alias("traces")).withColumn(
@@ -745,7 +762,7 @@ def feedback_rows(spark, sf_dir):
         F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("user_id"),
         F.to_json(
             F.struct(
-                F.when(F.col("doc_id") % 4 != 0, "feedback").otherwise("trace").alias("log_type"),
+                F.when(F.col("quality") + F.col("toxic") > 0, "feedback").otherwise("trace").alias("log_type"),
                 F.when(F.col("doc_id") % 5 != 0, "engine").otherwise("other").alias("service_name"),
             )
         ).alias("payload"),
@@ -784,10 +801,14 @@ def grade_summary(spark, sf_dir):
 
 @register("A15", "A14")
 def grade_comparison(spark, sf_dir):
-    graded = grading.parse_grades(d.verdicts(spark, sf_dir))
-    base = graded.filter("case_id % 3 != 0")
-    candidate = graded.filter("case_id % 4 != 0").withColumn(
-        "grade", F.least(F.col("grade") + F.col("case_id") % 2, F.lit(5)).cast("int")
+    """Grades of the labelled documents against grades of all documents by length."""
+    base = grading.parse_grades(d.verdicts(spark, sf_dir))
+    texts = d.table(spark, sf_dir, "documents")
+    by_length = F.least(F.lit(1) + F.floor(F.col("n_chars") / 500), F.lit(5)).cast("string")
+    verdict = F.concat(F.lit('{"score": "'), by_length, F.lit('"}'))
+    metric = F.when(F.col("lang") == "en", "quality").otherwise("tone")
+    candidate = grading.parse_grades(
+        texts.select(F.col("doc_id").alias("case_id"), metric.alias("metric"), verdict.alias("text"))
     )
     return grading.compare_grades(base, candidate)
 

@@ -15,7 +15,8 @@ from tidemark.operators import cases, risk
 from tidemark.operators.briefing import choose_briefing
 from tidemark.operators.signals import add_details, signals_as_of
 from tidemark.operators.timeline import densify, keep_first, max_week_of
-from tidemark.schemas import EVALUATION_COLUMNS, MODEL_RESPONSE
+from tidemark.schemas import EMPLOYEE_WEEK, EVALUATION_COLUMNS, MODEL_RESPONSE
+from tidemark.session import drop_dir, scratch_dir
 from tidemark.sources import evaluations as state_table, weekly
 
 _CARRY = (
@@ -159,18 +160,23 @@ def run_weekly(
 ) -> str | None:
     """Reads a folder of weekly files, evaluates what is missing and stores it.
 
-    Returns None, or in words why nothing was done.
+    The files are parsed once, into a table of first records in the shared folder; the
+    last week and the run itself read that.  Returns None, or in words why nothing was
+    done.
     """
     problem = weekly.input_problem(spark, folder)
     if problem:
         return problem
     rows = weekly.scan_employee_weeks(spark, folder, strict=strict)
-    if rows.isEmpty():
-        return weekly.input_problem(spark, folder, rows)
-    records = keep_first(rows, F.col(weekly.ROW_ORDER)).drop(weekly.ROW_ORDER)
+    staging = scratch_dir(spark, "records")
+    keep_first(rows, F.col(weekly.ROW_ORDER)).drop(weekly.ROW_ORDER).write.parquet(staging)
+    records = spark.read.schema(EMPLOYEE_WEEK).parquet(staging)
+    problem = weekly.input_problem(spark, folder, records)
+    if problem:
+        return problem
     new = evaluate(
         records,
-        max_week_of(rows.select("week")),
+        max_week_of(records.select("week")),
         state_table.read_state(spark, state_path),
         no_responses(spark) if responses is None else responses,
         scope,
@@ -179,4 +185,5 @@ def run_weekly(
         recompute_from,
     )
     state_table.upsert_state(spark, state_path, new)
+    drop_dir(spark, staging)
     return None

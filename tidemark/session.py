@@ -36,3 +36,9 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Removes a scratch folder this library wrote."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)

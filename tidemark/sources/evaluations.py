@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.cleaning import capitalise, safe_int
 from tidemark.functions.model_text import whole_number
-from tidemark.session import scratch_dir
 from tidemark.schemas import EVALUATION, EVALUATION_COLUMNS, EVALUATION_JSON, SIGNAL_DDL
+from tidemark.session import drop_dir, scratch_dir
 
 KEY = ["scope", "employee", "week"]
 _MAX_TOUCHED = 20_000
@@ -47,7 +47,7 @@ def upsert_state(spark: SparkSession, path: str, new: DataFrame) -> None:
         if len(touched) > _MAX_TOUCHED:
             raise ValueError("more weeks in one update than a state table may hold")
         if not touched:
-            _drop(spark, staging)
+            drop_dir(spark, staging)
             return
         hit = F.lit(False)
         for scope in {r.scope for r in touched}:
@@ -62,13 +62,7 @@ def upsert_state(spark: SparkSession, path: str, new: DataFrame) -> None:
         .partitionBy("scope", "week")
         .parquet(path)
     )
-    _drop(spark, staging)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    """Removes a staging table this module wrote."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    drop_dir(spark, staging)
 
 
 def _spread(spark: SparkSession) -> int:
