@@ -42,7 +42,7 @@ def _mean_cents(cents: Column, count: Column) -> Column:
 def employee_weeks(spark: SparkSession, sf_dir: str, with_gaps: bool = False) -> DataFrame:
     """EMPLOYEE_WEEK rows out of events; ``with_gaps`` keeps weeks with a signup only."""
     kind = F.col("event_type")
-    cents = F.round(F.col("value") * 100).cast("long")
+    cents = F.floor(F.col("value") * 100 + 0.5)
     hour = F.hour("ts")
     counts = (
         events_by_week(spark, sf_dir)

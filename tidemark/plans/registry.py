@@ -601,7 +601,7 @@ def report_rows(spark, sf_dir):
 
 @register("J3", "U1", "T2")
 def evaluations_to_do(spark, sf_dir):
-    expected = d.timeline(spark, sf_dir).select("employee", "week")
+    expected = tl.expected_weeks(d.employee_weeks(spark, sf_dir, True), d.max_week(spark, sf_dir))
     return run.missing_evaluations(expected, d.earlier_state(spark, sf_dir), "main")
 
 
