@@ -152,21 +152,14 @@ def report_lines(latest: DataFrame, state: DataFrame) -> DataFrame:
     Sections: 1 team table, 2 cards and briefings, 3 stored evaluations.  Sorting by
     (section, employee, ord) gives the report; rows stay spread over the cluster.
     """
-    latest = latest.select(
-        "employee", "score", "classification", "rationale", "signals", "briefing"
-    )
-    team = latest.select(
-        F.lit(1).alias("section"),
-        "employee",
-        F.array(
-            F.format_string(
-                "%-12s %5d  %-14s  %s",
-                "employee",
-                "score",
-                F.coalesce("classification", F.lit("")),
-                signal_text(F.col("signals")),
-            )
-        ).alias("lines"),
+    team = F.array(
+        F.format_string(
+            "%-12s %5d  %-14s  %s",
+            "employee",
+            "score",
+            F.coalesce("classification", F.lit("")),
+            signal_text(F.col("signals")),
+        )
     )
     marks = F.transform(
         listed_signals(F.col("signals")),
@@ -187,8 +180,16 @@ def report_lines(latest: DataFrame, state: DataFrame) -> DataFrame:
         F.split(shown_briefing(F.col("briefing")), "\n"),
         F.array(F.lit(_RULE)),
     )
-    cards = latest.filter(is_flagged(F.col("classification"))).select(
-        F.lit(2).alias("section"), "employee", card.alias("lines")
+    # Both sections of an employee from one row, so the newest rows are found once.
+    parts = F.array(
+        F.struct(F.lit(1).alias("section"), team.alias("lines")),
+        F.when(
+            is_flagged(F.col("classification")),
+            F.struct(F.lit(2).alias("section"), card.alias("lines")),
+        ),
+    )
+    own = latest.select("employee", F.explode(F.array_compact(parts)).alias("part")).select(
+        "part.section", "employee", "part.lines"
     )
     stored = state.groupBy("employee").agg(
         F.transform(
@@ -201,8 +202,6 @@ def report_lines(latest: DataFrame, state: DataFrame) -> DataFrame:
             ),
         ).alias("lines")
     ).select(F.lit(3).alias("section"), "employee", "lines")
-    return (
-        team.unionByName(cards)
-        .unionByName(stored)
-        .select("section", "employee", F.posexplode("lines").alias("ord", "line"))
+    return own.unionByName(stored).select(
+        "section", "employee", F.posexplode("lines").alias("ord", "line")
     )
