@@ -53,6 +53,15 @@ def test_scan_of_a_folder(spark, tmp_path):
     assert {"employee_name", "Sick", "Name", "__week_number__"} <= set(raw.columns) and raw.count() == 26
 
 
+def test_files_laid_out_alike_share_a_scan(spark, tmp_path):
+    (tmp_path / "week1.csv").write_text("name,tasks,qq1\nBo,1,9\n")
+    (tmp_path / "week2.csv").write_text("Employee Name,Completed-Tasks,qq2\nBo,2,9\n")
+    (tmp_path / "week3.csv").write_text("tasks,name,tasks\n7,Bo,3\n")
+    scanned = weekly.scan_employee_weeks(spark, str(tmp_path))
+    assert rows(scanned, "employee", "week", "completed_tasks") == [("Bo", 1, 1), ("Bo", 2, 2), ("Bo", 3, 3)]
+    assert scanned._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
+
+
 def test_week_numbers(spark):
     frame = spark.createDataFrame([("week1",), ("data",), ("week1_2024",), ("w0",)], "s STRING")
     assert [r.w for r in frame.select(weekly.week_from_stem(F.col("s")).alias("w")).collect()] == [1, 1, 12024, 0]

@@ -233,6 +233,19 @@ def scan_raw(spark: SparkSession, folder: str, multi_line: bool = False) -> Data
     return union
 
 
+def _layout(header: Sequence[str], strict: bool, strict_parity: bool) -> tuple:
+    """Column positions of each metric, so that files spelled differently but laid out
+    alike are read in one scan.  Of a repeated name the last column counts."""
+    position = {h: i for i, h in enumerate(header) if h}
+    if strict:
+        return tuple(
+            (metric, tuple(position[a] for a in spellings if a in position))
+            for metric, spellings in C.STRICT_COLUMNS.items()
+        )
+    bound = resolve_headers(list(position), strict_parity=strict_parity)
+    return tuple((m, () if h is None else (position[h],)) for m, h in bound.items())
+
+
 def empty_employee_weeks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], EMPLOYEE_WEEK)
 
@@ -257,23 +270,20 @@ def scan_employee_weeks(
     ``full_names`` keeps people apart who share a first name.
     """
     paths = list_files(spark, folder, (".csv", ".txt")) if files is None else list(files)
-    union = None
+    layouts: dict[tuple, list[str]] = {}
     for header, group in header_groups(spark, paths).items():
-        raw = _scan_group(spark, header, group, multi_line)
-        names = [h for h in dict.fromkeys(header) if h]
-        if strict:
-            cells = {
-                m: F.coalesce(*[F.nullif(F.col(f"`{a}`"), F.lit("")) for a in spellings if a in names])
-                if any(a in names for a in spellings)
-                else None
-                for m, spellings in C.STRICT_COLUMNS.items()
-            }
-        else:
-            bound = resolve_headers(names, strict_parity=strict_parity)
-            cells = {m: None if h is None else F.col(f"`{h}`") for m, h in bound.items()}
+        layout = (len(header), _layout(header, strict, strict_parity))
+        layouts.setdefault(layout, []).extend(group)
+    union = None
+    for (width, places), group in layouts.items():
+        raw = _scan_group(spark, tuple(f"c{i}" for i in range(width)), group, multi_line)
+        cells = {
+            metric: F.coalesce(*[F.nullif(F.col(f"c{i}"), F.lit("")) for i in found]) if found else None
+            for metric, found in places
+        }
         week = F.col("__week_number__") if target_week is None else F.lit(target_week)
         key = None
-        if full_names and cells.get("name") is not None:
+        if full_names and cells["name"] is not None:
             key = F.coalesce(F.nullif(strip(cells["name"]), F.lit("")), F.lit("Unknown"))
         rows = to_employee_week(
             raw, cells, week, F.col("__source_file__"), missing_as_null, key, extra=(ROW_ORDER,)
