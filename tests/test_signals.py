@@ -58,7 +58,7 @@ BOUNDARIES = [
     (C.QUALITY, "acc", 95, [(85, None), (84, "low"), (80, "low"), (79, "medium"), (70, "medium"), (69, "high"), (0, "low")]),
     (C.LOW_ACTIVITY, "hours", 40, [(30, None), (29, "low"), (25, "low"), (24, "medium"), (20, "medium"), (19, "high"), (0, "low")]),
     (C.BURNOUT, "hours", 40, [(50, None), (51, "low"), (55, "low"), (56, "medium"), (60, "medium"), (61, "high")]),
-    (C.WITHDRAWN, "tone", "Neutral", [("Negative", None), (" withdrawn ", "medium"), ("Withdrawn", "medium")]),
+    (C.WITHDRAWN, "tone", "Neutral", [("Negative", None), (" withdrawn ", "medium"), ("\tWithDrawn\n", "medium"), ("Withdrawn", "medium")]),
 ]
 
 

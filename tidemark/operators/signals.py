@@ -66,7 +66,7 @@ RULES = (
     Rule(C.RESPONSE, f"{_RISE} > {C.RESPONSE_RISE_FLAG}D", _RISE, "max",
          *_cuts(">=", tuple(f"{c}D" for c in C.RESPONSE_RISE_CUTS))),
     # Always medium: a flag counts 1, which is at least 1 and never 2.
-    Rule(C.WITHDRAWN, f"lower(trim(sentiment)) = '{C.WITHDRAWN_WORD}'", "1", "max",
+    Rule(C.WITHDRAWN, f"lower(btrim(sentiment, ' \\t\\r\\n')) = '{C.WITHDRAWN_WORD}'", "1", "max",
          *_cuts(">=", (2, 1))),
 )
 
