@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_tree, poisson_mix, quality_fm, rules, sketch_dedup
+from tidemark.llm import bpe_tree, katz, poisson_mix, quality_fm, rules, sketch_dedup
 from tidemark.llm.common import held_out, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -34,6 +34,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= quality_fm.THRESHOLD).cast("int"))
 
 
+@register("op2_katz_backoff")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = held_out(F.col("doc_id"), 7)
+    scored = katz.score(table(spark, sf_dir, "documents"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @register("op3_sketch_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.classes(table(spark, sf_dir, "documents")).drop("fp")
