@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_tree, katz, poisson_mix, quality_fm, rules, sketch_dedup
-from tidemark.llm.common import held_out, table
+from tidemark.llm import bpe_tree, katz, multi_index, poisson_mix, quality_fm, rules, sketch_dedup, style_tree, tool_links, warc
+from tidemark.llm.common import held_out, shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -46,6 +46,71 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.classes(table(spark, sf_dir, "documents")).drop("fp")
 
 
+@register("op4_style_tree")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(table(spark, sf_dir, "pages"))
+
+
+_SCHEMAS = {
+    "lookup": {
+        "type": "object",
+        "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}},
+        "required": ["query", "limit"],
+        "additionalProperties": False,
+    }
+}
+
+
+@register(
+    "op5_tool_links",
+    """
+    WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+               WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    u AS (SELECT conv_id, turn, conv_id || '-' || turn AS call_id,
+                 CASE WHEN length(text) % 7 = 0 THEN 'unlisted' ELSE 'lookup' END AS name,
+                 length(text) % 50 AS n, to_json(text)::VARCHAR AS query
+          FROM m WHERE role = 'user'),
+    c AS (SELECT *, count(*) OVER k AS copies, row_number() OVER (k ORDER BY turn, name, query, n) AS nth
+          FROM u WINDOW k AS (PARTITION BY conv_id, call_id)),
+    r AS (SELECT conv_id, turn, conv_id || '-' || (turn - 1) AS call_id, text FROM m WHERE role = 'assistant'),
+    a AS (SELECT *, count(*) OVER k AS copies, row_number() OVER (k ORDER BY turn, text) AS nth
+          FROM r WINDOW k AS (PARTITION BY conv_id, call_id)),
+    f AS (SELECT conv_id, min(turn) AS first_turn FROM u GROUP BY conv_id)
+    SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id,
+           coalesce(c.turn, a.turn) AS turn,
+           CASE WHEN c.conv_id IS NOT NULL THEN (c.turn <> first_turn)::INT END AS level,
+           coalesce(c.copies, a.copies) AS copies,
+           CASE WHEN c.conv_id IS NULL THEN 'no_call' WHEN c.name = 'unlisted' THEN 'no_schema'
+                WHEN n = 0 THEN 'invalid' WHEN a.conv_id IS NULL THEN 'no_result' ELSE 'ok' END AS status,
+           '{"arguments":' || CASE WHEN c.conv_id IS NULL THEN '{}' ELSE '{"limit":' || n || ',"query":' || query || '}' END
+             || ',"id":"' || coalesce(c.call_id, a.call_id) || '","name":' || coalesce('"' || name || '"', 'null')
+             || ',"result":' || coalesce(to_json(a.text)::VARCHAR, 'null') || '}' AS line
+    FROM (SELECT * FROM c WHERE nth = 1) c
+    FULL JOIN (SELECT * FROM a WHERE nth = 1) a ON c.conv_id = a.conv_id AND c.call_id = a.call_id
+    LEFT JOIN f ON c.conv_id = f.conv_id
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as calls of a lookup tool that build on the conversation's first, answers as results."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    text, size = F.coalesce(F.col("text"), F.lit("")), F.length(F.coalesce("text", F.lit("")))
+    name = lambda turn: F.concat_ws("-", F.col("conv_id"), turn)
+    asked = turns.where("role = 'user'")
+    first = asked.groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
+    calls = asked.join(first, "conv_id").select(
+        "conv_id",
+        name(F.col("turn")).alias("call_id"),
+        "turn",
+        F.when(size % 7 == 0, "unlisted").otherwise("lookup").alias("name"),
+        F.to_json(F.struct(text.alias("query"), (size % 50).alias("limit"))).alias("arguments"),
+        F.array(name(F.col("first_turn"))).alias("depends_on"),
+    )
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", text.alias("content")
+    )
+    return tool_links.link(calls, results, _SCHEMAS)
+
+
 @register("op6_bpe_tree")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(
@@ -53,6 +118,28 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "op7_warc",
+    """
+    WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS g FROM pages),
+    f AS (SELECT g, min(page_id) AS m FROM d WHERE n >= 100 GROUP BY g),
+    x AS (SELECT *, n >= 100 AND m IS NOT NULL AND (page_id IS NULL OR page_id > m) AS again FROM d LEFT JOIN f USING (g))
+    SELECT page_id, n AS payload_bytes, g AS payload_digest,
+           CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN m END AS refers_to
+    FROM x
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).drop("url")
+
+
+@register("op8_multi_index")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 _STOP_SQL = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
 
 
