@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as contract
-from tidemark.plans.registry import COVERS
+from tidemark.plans.registry import COVERS, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
@@ -26,7 +26,7 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
     frame = contract.queries()[name](spark, SF_DIR)
     columns = sorted(frame.columns)
