@@ -13,9 +13,11 @@ probability (1 - 0.85^5)^26 < 4e-7.
 Verification: documents with equal shingle sets are one class.  In a bucket all classes
 are checked against its leader, the class that meets most others over all bands (the
 middle of a group), so a bucket of any size costs one check a class.  After connecting
-what was confirmed, classes of one bucket that are still in different components are
-checked pair by pair, so no link between candidates is lost and none is counted that a
-path already implies.  Checks compare full shingle sets.
+what was confirmed, members of one leader that are still in different components are
+compared with each other inside tasks, in blocks of ``BLOCK`` x ``BLOCK`` of them (against
+the leader's largest component, only those outside it): sets are held relative to the
+leader's, so a block is one small matrix product and only links leave the task.  So no link
+between candidates is lost, and no pairs are emitted.  All checks are on full shingle sets.
 
 Defined cases: null or empty texts have no shingles and link with nothing; fewer words
 than the shingle length make one shingle; a null doc_id links with nothing, has a null
@@ -32,13 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, stored
+from tidemark.llm.common import release, shuffle_partitions, stored
 from tidemark.llm.components import components
 
 WORDS = 3
 PERCENT = 85
 BANDS = 26
 ROWS = 5
+BLOCK = 1024
 _MEMO = 300_000
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -130,9 +133,10 @@ def sketches(documents: DataFrame) -> DataFrame:
     )
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    # Nearly all pairs share few leaders a: their rows arrive sorted by a, whose set is kept.
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b), whether their full sets are linked, and b relative to a: the places of
+    a's shingles that b has (bits) and b's other shingles (extras)."""
+    # Many pairs share a leader a: their rows arrive sorted by a, whose set is kept.
     joined = (
         pairs.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -142,16 +146,93 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         shingles, last, known = Shingles(), None, None
         for frame in batches:
-            good = []
+            linked, bits, extras, sizes = [], [], [], []
             for a, text_a, text_b in zip(frame["a"], frame["text_a"], frame["text_b"]):
                 if a != last:
                     last, known = a, shingles(text_a.encode())
                 other = shingles(text_b.encode())
-                both = len(np.intersect1d(known, other, assume_unique=True))
-                good.append(100 * both >= PERCENT * (len(known) + len(other) - both))
-            yield frame.loc[good, ["a", "b"]]
+                there = np.isin(known, other, assume_unique=True)
+                both = int(there.sum())
+                linked.append(_similar(both, len(known), len(other)))
+                sizes.append(len(other))
+                bits.append(np.packbits(there).tobytes())
+                extras.append(np.setdiff1d(other, known, assume_unique=True).tobytes())
+            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "linked": linked, "n": sizes, "bits": bits, "extras": extras})
+
+    return joined.mapInPandas(run, "a binary, b binary, linked boolean, n long, bits binary, extras binary")
+
+
+def _similar(both, n, m):
+    return 100 * both >= PERCENT * (n + m - both)
+
+
+def _links_between(odd: pd.DataFrame, every: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+    """Linked pairs of two blocks of one leader's members in different components."""
+    shared = np.zeros((len(odd), len(every)), dtype=np.float32)
+    x, y = (np.unpackbits(np.frombuffer(b"".join(f["bits"]), np.uint8).reshape(len(f), -1), axis=1).astype(np.float32) for f in (odd, every))
+    shared += x @ y.T
+    left, right = ([np.frombuffer(e, np.uint64) for e in f["extras"]] for f in (odd, every))
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for at in range(0, len(common), 4096):
+        some = common[at : at + 4096]
+        grids = []
+        for rows in (left, right):
+            grid = np.zeros((len(rows), len(some)), dtype=np.float32)
+            for k, row in enumerate(rows):
+                grid[k, np.isin(some, row, assume_unique=True)] = 1
+            grids.append(grid)
+        shared += grids[0] @ grids[1].T
+    n, m = odd["n"].to_numpy(), every["n"].to_numpy()
+    good = _similar(np.rint(shared).astype(np.int64), n[:, None], m[None, :])
+    good &= odd["component"].to_numpy()[:, None] != every["component"].to_numpy()[None, :]
+    return [(odd["b"].iat[i], every["b"].iat[j]) for i, j in zip(*np.nonzero(good))]
+
+
+def _links_apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between members of one leader that are in different components, in blocks of BLOCK x BLOCK."""
+    placed = members.join(found.select(F.col("v").alias("b"), "component"), "b", "left").withColumn(
+        "component", F.coalesce("component", "b")
+    )
+    sizes = placed.groupBy("a", "component").count()
+    groups = (
+        sizes.groupBy("a")
+        .agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.max("count").alias("most"), F.sum("count").alias("size"))
+        .where("size > most")
+        .select(
+            "a",
+            "major",
+            F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"),
+            F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("odd_blocks"),
+        )
+    )
+    apart = stored(placed.drop("linked").join(groups, "a"), "apart")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
+    columns = ["a", "i", "j", "odd", "b", "component", "n", "bits", "extras"]
+    odd = apart.where("component <> major").withColumn("odd", F.lit(True)).withColumn("i", place("odd_blocks")).withColumn("j", spread("blocks"))
+    every = apart.withColumn("odd", F.lit(False)).withColumn("j", place("blocks")).withColumn("i", spread("odd_blocks"))
+    partitions = shuffle_partitions(members.sparkSession)
+    dealt = odd.select(columns).union(every.select(columns)).repartition(partitions, "a", "i", "j").sortWithinPartitions("a", "i", "j", "odd")
+
+    def run(batches):
+        def out(group: pd.DataFrame):
+            first = ~group["odd"].to_numpy(dtype=bool)
+            every, odd = group[first], group[~first]
+            return _links_between(odd, every) if len(odd) and len(every) else []
+
+        held = None
+        for frame in batches:
+            if held is not None:
+                frame = pd.concat([held, frame], ignore_index=True)
+            new = (frame[["a", "i", "j"]] != frame[["a", "i", "j"]].shift()).any(axis=1).to_numpy()
+            starts = np.flatnonzero(new)
+            links = [x for s, e in zip(starts[:-1], starts[1:]) for x in out(frame.iloc[s:e])]
+            held = frame.iloc[starts[-1] :] if len(starts) else None
+            yield pd.DataFrame(links, columns=["a", "b"])
+        if held is not None and len(held):
+            yield pd.DataFrame(out(held), columns=["a", "b"])
 
-    return joined.mapInPandas(run, "a binary, b binary")
+    return dealt.mapInPandas(run, "a binary, b binary")
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -164,18 +245,17 @@ def classes(documents: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("doc_id", "fp", "n_shingles", "bands")).alias("s"))
     )
     spread = sets.select(
-        "set_id", F.col("s.n_shingles").alias("n"), "s.doc_id", "s.fp", F.posexplode("s.bands").alias("band", "key")
+        "set_id", "s.doc_id", "s.fp", F.posexplode("s.bands").alias("band", "key")
     )
     shared = spread.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(spread.join(shared, ["band", "key"]), "members")
 
     degree = members.groupBy("set_id").agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, "set_id")
-    leaders = ranked.groupBy("band", "key").agg(F.max(F.struct("degree", "set_id", "n")).alias("l"))
-    close = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)  # noqa: E731  else no link is possible
+    leaders = ranked.groupBy("band", "key").agg(F.max(F.struct("degree", "set_id")).alias("l"))
     pairs = (
         members.join(leaders, ["band", "key"])
-        .where((F.col("l.set_id") != F.col("set_id")) & close(F.col("l.n"), F.col("n")))
+        .where(F.col("l.set_id") != F.col("set_id"))
         .select(F.col("l.set_id").alias("a"), F.col("set_id").alias("b"))
         .distinct()
     )
@@ -190,23 +270,10 @@ def classes(documents: DataFrame) -> DataFrame:
         "texts",
     )
     release(spark)
-    first = stored(_confirmed(pairs, texts), "links")
+    compared = stored(_compared(pairs, texts), "compared")
+    first = compared.where("linked").select("a", "b")
     found = stored(components(first), "components")
-
-    # Classes of one bucket that are still apart.
-    placed = members.join(found.withColumnRenamed("v", "set_id"), "set_id", "left").select(
-        "band", "key", "set_id", "n", F.coalesce("component", "set_id").alias("component")
-    )
-    apart = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rest = stored(placed.join(apart.drop("lo", "hi"), ["band", "key"]), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    left = (
-        x.join(y, ["band", "key"])
-        .where((F.col("x.component") < F.col("y.component")) & close(F.col("x.n"), F.col("y.n")))
-        .select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
-        .distinct()
-    )
-    second = stored(_confirmed(left, texts), "links")
+    second = stored(_links_apart(compared, found), "links")
     if not second.isEmpty():
         found = stored(components(first.union(second)), "components")
 
