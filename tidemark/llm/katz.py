@@ -27,20 +27,21 @@ Only N, V and the counts of counts reach the driver.
 
 Words are compared as words.  Histories of backed-off tokens are joined by a 64-bit hash.
 
-Defined cases: null is the empty text (its end mark is its only token); rows that repeat an
-id and text are counted and scored once each; one id may have several texts; a null id is
-an id of its own; without training texts every token is the unknown symbol with
+Defined cases: null is the empty text (its end mark is its only token); every row is
+counted and scored by itself, whatever ids it shares or lacks; without training texts every token is the unknown symbol with
 probability 1; an empty table gives an empty result.
 """
 
 import math
 import pickle
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +49,13 @@ from tidemark.llm.common import release, shuffle_partitions, stored
 
 END, START = b" ", b"  "
 CUT = 5  # counts above it are not discounted
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_500_000
 
 _OUT = (
-    "kind string, bucket int, data binary, doc_id long, fp long, h long, tokens long, known long, n_rows long, "
-    "base double, score double, n1 long, n2 long, n3 long, n4 long, n5 long, n6 long, large long, p double"
+    "kind string, bucket int, data binary, block long, n int, doc_id long, h long, tokens long, known long, "
+    "base long, score long, n1 int, n2 int, n3 int, n4 int, n5 int, n6 int, large long, p double"
 )
+_UNIT = 1e9  # sums by document are kept in billionths: whole numbers add up alike in any order
 _COLUMNS = [part.split()[0] for part in _OUT.split(", ")]
 
 
@@ -79,31 +81,35 @@ def _ranges(counts: np.ndarray) -> np.ndarray:
 class _Block:
     """Tokens of some documents."""
 
-    def __init__(self):
-        self.ids: dict[bytes, int] = {END: 0, START: 1}
+    def __init__(self, number: int):
+        self.number = number
+        self.ids: defaultdict[bytes, int] = defaultdict(None, {END: 0, START: 1})
+        self.ids.default_factory = self.ids.__len__
         self.parts: list[np.ndarray] = []
-        self.docs: list[tuple[int | None, int, bool]] = []
+        self.docs: list[tuple[int | None, bool]] = []
         self.size = 0
 
     def add(self, doc_id, text: bytes, learn: bool) -> None:
-        ids = self.ids
-        tokens = [ids.setdefault(w, len(ids)) for w in text.lower().split()]
-        tokens.append(0)
-        self.parts.append(np.array(tokens, dtype=np.int64))
-        self.docs.append((doc_id, xxhash.xxh32_intdigest(text), learn))
+        tokens = text.lower().split()
+        tokens.append(END)
+        self.parts.append(np.fromiter(map(self.ids.__getitem__, tokens), dtype=np.int32, count=len(tokens)))
+        self.docs.append((doc_id, learn))
         self.size += len(tokens)
 
     def close(self, grid: tuple[int, int]):
         self.words = list(self.ids)
         crc = np.array([zlib.crc32(w) for w in self.words], dtype=np.int64)
         self.row, self.column = crc % grid[0], (crc >> 16) % grid[1]
-        self.w = np.concatenate(self.parts)
-        self.d = np.repeat(np.arange(len(self.docs)), [len(p) for p in self.parts])
+        self.ids.default_factory = None
+        sizes = [len(p) for p in self.parts]
+        self.w = np.concatenate(self.parts).astype(np.int64)
+        self.parts.clear()
+        self.d = np.repeat(np.arange(len(self.docs)), sizes)
         self.h = np.empty_like(self.w)
         self.h[1:] = self.w[:-1]
         self.h[np.concatenate([[0], np.flatnonzero(self.d[1:] != self.d[:-1]) + 1])] = 1
         self.bucket = self.row[self.h] * grid[1] + self.column[self.w]
-        self.learn = np.array([x[2] for x in self.docs])
+        self.learn = np.array([learn for _, learn in self.docs])
         return self
 
     def word_rows(self, grid: tuple[int, int], buckets: int):
@@ -131,9 +137,10 @@ class _Block:
             code, times = np.unique((self.h[at] * n + self.w[at]) * docs + self.d[at], return_counts=True)
             pair, doc = code // docs, code % docs
             pair, per_pair = np.unique(pair, return_counts=True)
+            ended = np.unique(doc[np.repeat(pair % n == 0, per_pair)])  # a document's id goes where its end mark goes
+            ids = [self.docs[k][0] for k in ended]
             words, local = np.unique(np.concatenate([pair // n, pair % n]), return_inverse=True)
             there, doc = np.unique(doc, return_inverse=True)
-            ids = np.array([self.docs[k][0] if self.docs[k][0] is not None else 0 for k in there], dtype=np.int64)
             yield int(self.bucket[at[0]]), _pack(
                 [self.words[k] for k in words],
                 h=_small(local[: len(pair)]),
@@ -141,10 +148,12 @@ class _Block:
                 per_pair=_small(per_pair),
                 doc=_small(doc),
                 times=_small(times),
-                ids=np.diff(ids, prepend=0),
-                none=np.array([self.docs[k][0] is None for k in there]),
-                fp=np.array([self.docs[k][1] for k in there], dtype=np.uint32),
+                block=np.array(self.number),
+                there=_small(np.diff(there, prepend=0)),
                 learn=self.learn[there],
+                ended=_small(np.searchsorted(there, ended)),
+                ids=np.diff(np.array([0 if i is None else i for i in ids], dtype=np.int64), prepend=0),
+                none=np.array([i is None for i in ids], dtype=bool),
             )
 
 
@@ -155,14 +164,16 @@ def _blocks(documents: DataFrame, learn: Column, grid: tuple[int, int], buckets:
             rows = list(block.pair_rows(grid) if pairs else block.word_rows(grid, buckets))
             return pd.DataFrame({"bucket": [b for b, _ in rows], "data": [x for _, x in rows]})
 
-        block = _Block()
+        number = TaskContext.get().partitionId() << 24  # the same if the task runs again
+        block = _Block(number)
         for frame in batches:
             none = frame["doc_id"].isna()
             for doc_id, text, learned, null in zip(frame["doc_id"], frame["text"], frame["learn"], none):
                 block.add(None if null else int(doc_id), text.encode(), bool(learned))
                 if block.size >= BLOCK_TOKENS:
                     yield out(block)
-                    block = _Block()
+                    number += 1
+                    block = _Block(number)
         if block.size:
             yield out(block)
 
@@ -171,12 +182,27 @@ def _blocks(documents: DataFrame, learn: Column, grid: tuple[int, int], buckets:
     )
 
 
-def _frame(columns: dict) -> pd.DataFrame:
-    """All columns, those not given filled with zeros."""
-    n = next(len(v) for v in columns.values() if isinstance(v, np.ndarray))
-    blank = {"kind": "", "bucket": np.int32(0), "data": b"", "base": 0.0, "score": 0.0, "p": 0.0}
-    frame = pd.DataFrame({c: columns.get(c, blank.get(c, np.int64(0))) for c in _COLUMNS}, index=range(n))
-    return frame.astype({"doc_id": "Int64"})
+_TYPES = {"kind": object, "data": object, "p": np.float64, "doc_id": "Int64"} | dict.fromkeys(("bucket", "n", "n1", "n2", "n3", "n4", "n5", "n6"), np.int32)
+
+
+def _frame(pieces: list[dict]) -> pd.DataFrame:
+    """Pieces (column: array, or one value for all rows) one after the other; what a piece lacks is 0."""
+    sizes = [next(len(v) for v in piece.values() if hasattr(v, "shape") and len(v.shape)) for piece in pieces]
+    columns = {}
+    for name in _COLUMNS:
+        kind = _TYPES.get(name, np.int64)
+        blank = "" if name == "kind" else b"" if name == "data" else 0
+        if name == "doc_id":
+            values = pd.array(np.zeros(sum(sizes), dtype=np.int64), dtype="Int64")
+        else:
+            values = np.full(sum(sizes), blank, dtype=kind)
+        at = 0
+        for piece, size in zip(pieces, sizes):
+            if name in piece:
+                values[at : at + size] = piece[name]
+            at += size
+        columns[name] = values
+    return pd.DataFrame(columns)
 
 
 def _word_counts(documents: DataFrame, learn: Column, grid: tuple[int, int], buckets: int) -> DataFrame:
@@ -266,29 +292,32 @@ def _pair_sums(blocks: DataFrame, need: DataFrame, unigrams: Unigrams) -> DataFr
             place = np.array([ids[w] for w in words], dtype=np.int64)
             parts.append((place[x["h"]] * size + place[x["w"]], x))
         pairs, where = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-        c2, at, entries = np.zeros(len(pairs), dtype=np.int64), 0, []
-        for p, x in parts:
-            pair = np.repeat(where[at : at + len(p)], x["per_pair"])
-            at += len(p)
-            c2 += np.bincount(pair, weights=x["times"] * x["learn"][x["doc"]], minlength=len(pairs)).astype(np.int64)
-            entries.append(pair)
+        where = where.astype(np.int32)
+        starts = np.cumsum([0, *(len(p) for p, _ in parts)])
+        parts = [x for _, x in parts]
+        c2 = np.zeros(len(pairs), dtype=np.int64)
+        for at, x in zip(starts, parts):
+            first = np.cumsum(x["per_pair"].astype(np.int64)) - x["per_pair"]
+            own = where[at : at + len(x["h"])]  # distinct within a block
+            c2[own] += np.add.reduceat(x["times"] * x["learn"][x["doc"]].astype(np.int64), first)
         h, w = pairs // size, pairs % size
         p1, names = unigrams(c1), list(ids)
         log_p1 = np.log10(p1)
-        hashed = {k: np.uint64(xxhash.xxh3_64_intdigest(names[k])).astype(np.int64) for k in np.unique(h)}
+        hashed = np.zeros(size, dtype=np.uint64)
+        kinds = np.unique(h)
+        hashed[kinds] = np.fromiter((xxhash.xxh3_64_intdigest(names[k]) for k in kinds), dtype=np.uint64, count=len(kinds))
+        hashed = hashed.view(np.int64)
 
         seen = c2 > 0
         frames = []
         words, local = np.unique(np.concatenate([h[seen], w[seen]]), return_inverse=True)
         middle = int(seen.sum())
         frames.append(
-            _frame(
-                {
-                    "kind": "pairs",
-                    "bucket": np.array([key[0]], dtype=np.int32),
-                    "data": _pack([names[k] for k in words], h=_small(local[:middle]), w=_small(local[middle:]), count=_small(c2[seen])),
-                }
-            )
+            {
+                "kind": "pairs",
+                "bucket": np.array([key[0]], dtype=np.int32),
+                "data": _pack([names[k] for k in words], h=_small(local[:middle]), w=_small(local[middle:]), count=_small(c2[seen])),
+            }
         )
         if middle:
             kinds, group = np.unique(h[seen], return_inverse=True)
@@ -296,34 +325,32 @@ def _pair_sums(blocks: DataFrame, need: DataFrame, unigrams: Unigrams) -> DataFr
             sums = {f"n{r}": np.bincount(group, weights=count == r).astype(np.int64) for r in range(1, CUT + 2)}
             sums["large"] = np.bincount(group, weights=np.where(count > CUT, count, 0)).astype(np.int64)
             sums["p"] = np.bincount(group, weights=p1[w[seen]])
-            frames.append(_frame({"kind": "hist", "h": np.array([hashed[k] for k in kinds]), **sums}))
+            frames.append({"kind": "hist", "h": hashed[kinds], **sums})
 
         # A pair's share of a document's sums; alpha of a seen history comes later.
         back = ~seen & (c1[h] > 0)
         logs = np.where(seen, np.log10(np.maximum(c2, 1)) - np.log10(c1[h] + 1.0), log_p1[w])
         base = np.log10(c1[w] + 1.0)
-        for (_, x), pair in zip(parts, entries):
-            doc, times, n = x["doc"], x["times"].astype(np.float64), len(x["fp"])
-            fold = lambda v: np.bincount(doc, weights=times * v, minlength=n)
-            whole = lambda v: np.rint(fold(v)).astype(np.int64)
-            ids_ = pd.array(np.cumsum(x["ids"]), dtype="Int64")
-            ids_[x["none"]] = pd.NA
-            fp = x["fp"].astype(np.int64)
-            c = c2[pair]
+        for at, x in zip(starts, parts):
+            pair = np.repeat(where[at : at + len(x["h"])], x["per_pair"])
+            doc, times, n = x["doc"], x["times"].astype(np.float64), len(x["there"])
+            whole = lambda v: np.rint(np.bincount(doc, weights=times * v, minlength=n)).astype(np.int64)
+            ids_ = pd.array(np.zeros(n, dtype=np.int64), dtype="Int64")
+            ids_[:] = pd.NA
+            ids_[x["ended"]] = pd.array(np.where(x["none"], 0, np.cumsum(x["ids"])), dtype="Int64")
+            ids_[x["ended"][x["none"]]] = pd.NA
+            row, c, block = np.cumsum(x["there"].astype(np.int32), dtype=np.int32), c2[pair], np.int64(x["block"])
             frames.append(
-                _frame(
-                    {"kind": "doc", "doc_id": ids_, "fp": fp, "tokens": whole(1.0), "known": whole(c1[w[pair]] > 0), "n_rows": whole(w[pair] == ids.get(END, -1)), "base": fold(base[pair]), "score": fold(logs[pair])}
-                    | {f"n{r}": whole(c == r) for r in range(1, CUT + 1)}
-                )
+                {"kind": "doc", "block": block, "n": row, "doc_id": ids_, "tokens": whole(1.0), "known": whole(c1[w[pair]] > 0), "base": whole(base[pair] * _UNIT), "score": whole(logs[pair] * _UNIT)}
+                | {f"n{r}": whole(c == r) for r in range(1, CUT + 1)}
             )
             off = np.flatnonzero(back[pair])
             if len(off):
                 code, group = np.unique(h[pair[off]] * n + doc[off], return_inverse=True)
-                d = code % n
                 frames.append(
-                    _frame({"kind": "back", "doc_id": ids_[d], "fp": fp[d], "h": np.array([hashed[k] for k in code // n]), "tokens": np.rint(np.bincount(group, weights=times[off])).astype(np.int64)})
+                    {"kind": "back", "block": block, "n": row[code % n], "h": hashed[code // n], "tokens": np.rint(np.bincount(group, weights=times[off])).astype(np.int64)}
                 )
-        return pd.concat(frames, ignore_index=True)
+        return _frame(frames)
 
     grouped = blocks.groupBy("bucket").cogroup(need.select("bucket", "data").groupBy("bucket"))
     return stored(grouped.applyInPandas(run, _OUT), "pair-sums", "kind")
@@ -332,12 +359,12 @@ def _pair_sums(blocks: DataFrame, need: DataFrame, unigrams: Unigrams) -> DataFr
 def score(documents: DataFrame, learn: Column, buckets: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row.
 
-    ``learn`` is a condition on the rows to learn from.  ``buckets`` (about half the
-    shuffle partitions by default) should grow with the corpus: a bucket is held in memory.
+    ``learn`` is a condition on the rows to learn from.  ``buckets`` (the shuffle partitions
+    by default) should grow with the corpus: a bucket is held in memory.
     """
     spark = documents.sparkSession
-    buckets = buckets or max(4, shuffle_partitions(spark) // 2)
-    columns = max(1, math.isqrt(buckets))
+    buckets = buckets or shuffle_partitions(spark)
+    columns = max(1, math.isqrt(buckets) * 2 // 3)
     grid = (-(-buckets // columns), columns)
 
     words = _word_counts(documents, learn, grid, buckets)
@@ -360,24 +387,24 @@ def score(documents: DataFrame, learn: Column, buckets: int | None = None) -> Da
     )
     backed = (
         sums.where("kind = 'back'")
-        .select("doc_id", "fp", "h", "tokens")
+        .select("block", "n", "h", "tokens")
         .join(alpha, "h")
-        .select("doc_id", "fp", (F.col("tokens") * F.col("alpha")).alias("score"))
-        .groupBy("doc_id", "fp")
-        .agg(F.sum("score").alias("score"))
+        .groupBy("block", "n")
+        .agg(F.sum(F.col("tokens") * F.col("alpha")).alias("score"))
+    )
+    own = F.col("score") / _UNIT + sum((F.col(f"n{r}") * math.log10(d) for r, d in enumerate(d2, 1)), F.lit(0.0))
+    parts = (
+        sums.where("kind = 'doc'")
+        .groupBy("block", "n")
+        .agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("tokens", "known", "base", "score", *n[:CUT])])
+        .select("block", "n", "doc_id", "tokens", "known", "base", own.alias("score"))
     )
-    own = F.col("score") + sum((F.col(f"n{r}") * math.log10(d) for r, d in enumerate(d2, 1)), F.lit(0.0))
-    parts = sums.where("kind = 'doc'").select("doc_id", "fp", "tokens", "known", "n_rows", "base", own.alias("score"))
-    zero = F.lit(0).cast("long")
-    every = parts.union(backed.select("doc_id", "fp", zero, zero, zero, F.lit(0.0), "score"))
-    whole = every.groupBy("doc_id", "fp").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "n_rows", "base", "score")])
-    rows = whole.select("*", F.explode(F.array_repeat(F.lit(1), F.col("n_rows").cast("int"))))  # rows alike
     floor = math.log10(stat["tokens"] + stat["known"] + 1)
-    return rows.select(
+    return parts.join(backed.withColumnRenamed("score", "more"), ["block", "n"], "left").select(
         "doc_id",
-        (F.col("tokens") / F.col("n_rows")).cast("long").alias("n_tokens"),
-        (F.col("known") / F.col("n_rows")).cast("long").alias("n_known"),
+        F.col("tokens").alias("n_tokens"),
+        F.col("known").alias("n_known"),
         F.lit(stat["tokens"]).cast("long").alias("train_tokens"),
-        ((F.col("base") - F.col("tokens") * floor) / F.col("n_rows")).alias("base_score"),
-        (F.col("score") / F.col("n_rows")).alias("score"),
+        (F.col("base") / _UNIT - F.col("tokens") * floor).alias("base_score"),
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
