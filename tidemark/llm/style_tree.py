@@ -11,8 +11,9 @@ and l styles of shares p_i:
                                         g = 0.9; of a leaf its content importance
 
 Menus and notices look and read alike on every page and score near 0, articles near 1.
-A branch seen on ``MIN_PAGES`` pages or more is removed below ``LOW``; inside an article
-element only below ``FIXED`` (the same words nearly everywhere).  Elements whose tag, role
+A branch seen on ``MIN_PAGES`` pages or more is removed if it and all branches in it are
+below ``LOW``; inside an article element only below ``FIXED`` (the same words nearly
+everywhere).  Elements whose tag, role
 or class says that they are menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or comments go by that, on any page; a page with article or main
 elements yields what is in them.
@@ -79,12 +80,12 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Node:
-    __slots__ = ("tag", "name", "noise", "main", "children", "path")
+    __slots__ = ("tag", "name", "noise", "main", "children", "path", "score")
 
     def __init__(self, tag: str, name: str, noise: bool, main: bool):
         self.tag, self.name, self.noise, self.main = tag, name, noise, main
         self.children: list = []  # nodes and texts
-        self.path = 0
+        self.path, self.score = 0, None
 
 
 def _node(tag: str, attributes: str) -> Node:
@@ -223,26 +224,29 @@ class Extractor:
     def __init__(self, tree: dict[int, tuple[int, int, float, float]]):
         self.tree = tree
 
-    def importance(self, node: Node) -> tuple[int, float | None]:
-        """(pages, importance) of a branch; None without content."""
+    def importance(self, node: Node) -> tuple[float, float] | None:
+        """Importance of a branch and the highest within it; None without content."""
         if node.noise:
-            return 0, None
-        scores = []
+            return None
+        scores, peak = [], 0.0
         for part in _parts(node):
             if isinstance(part, list):
                 known = self.tree.get(_hash("#text", node.path))
                 if _text(part):
                     scores.append(known[3] if known else 1.0)
+                    peak = max(peak, scores[-1])
             else:
                 part.path = _hash(part.name, node.path)
-                score = self.importance(part)[1]
-                if score is not None:
-                    scores.append(score)
+                if (below := self.importance(part)) is not None:
+                    scores.append(below[0])
+                    peak = max(peak, below[1])
         if not scores:
-            return 0, None
-        pages, styles, presentation, _ = self.tree.get(node.path, (1, 1, 1.0, 1.0))
+            return None
+        _, styles, presentation, _ = self.tree.get(node.path, (1, 1, 1.0, 1.0))
         weight = GAMMA**styles
-        return pages, (1 - weight) * presentation + weight * sum(scores) / len(scores)
+        own = (1 - weight) * presentation + weight * sum(scores) / len(scores)
+        node.score = own, max(own, peak)
+        return node.score
 
     def __call__(self, page: str) -> str:
         root = parse(page)
@@ -251,7 +255,7 @@ class Extractor:
         for node in mains:  # what holds an article is no notice, whatever its class
             node.main = True
         out: list[str] = []
-        self.importance(root)  # sets paths
+        self.importance(root)  # sets paths and scores
         for node in mains or [root]:
             self._collect(node, bool(mains), out)
         return "\n".join(out)
@@ -301,8 +305,8 @@ class Extractor:
         pages, _, _, content = self.tree.get(path, (1, 1, 1.0, 1.0))
         if pages < MIN_PAGES:
             return False
-        score = content if node is None else self.importance(node)[1]
-        return score is not None and score < (FIXED if inside else LOW)
+        highest = (content, content) if node is None else node.score
+        return highest is not None and highest[1] < (FIXED if inside else LOW)
 
 
 def _host(url):
