@@ -83,4 +83,4 @@ def test_extracted_answer(spark):
         "i INT, text STRING")
     m, none = (r.metrics for r in observation.with_metrics_from_answer(frame).orderBy("i").collect())
     assert none is None
-    assert (m.name, m.tasks_completed, m.weekly_hours, m.task_accuracy, m.sentiment) == ("Meena", 4, 40, 95, "Positive")
+    assert (m.name, m.tasks_completed, m.weekly_hours, m.task_accuracy, m.sentiment) == ("Greta", 4, 40, 95, "Positive")

@@ -1,12 +1,14 @@
+import pytest
+
 from tidemark.session import scratch_dir
 
 
 class Session:
-    """A session that only knows its settings."""
+    """A session that only knows its master and settings."""
 
-    def __init__(self, **conf):
-        self.settings = conf
-        self.conf = self
+    def __init__(self, master="local", **conf):
+        self.settings, self.master = conf, master
+        self.conf = self.sparkContext = self
 
     def get(self, key, default=None):
         return self.settings.get(key, default)
@@ -18,8 +20,15 @@ def test_shared_folder_is_used_where_it_is_set():
     assert first.startswith("s3a://shared/folder/x-") and first != second
 
 
-def test_local_folder_only_without_setting():
-    assert "tidemark-" in scratch_dir(Session(), "x")
+@pytest.mark.parametrize("master", ["local", "local[8]"])
+def test_local_folder_only_without_setting(master):
+    assert "tidemark-" in scratch_dir(Session(master), "x")
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_the_setting(master):
+    with pytest.raises(ValueError):
+        scratch_dir(Session(master), "x")
 
 
 def test_settings(spark):

@@ -42,7 +42,7 @@ def test_sample_weeks(spark, tmp_path):
         for r in S.explode_signals(S.signals_as_of(timeline)).collect()
     }
     assert got == set(CONFIRMED)
-    assert ("Karthik", 3, "Declining Task Completion") in rows(S.flags_long(timeline))  # exactly 0.20
+    assert ("Oskar", 3, "Declining Task Completion") in rows(S.flags_long(timeline))  # exactly 0.20
     joined = S.confirmed_as_of_join(timeline, S.confirmed_weeks(timeline))
     assert {(r.as_of_week, r.employee, r.signal_name, tuple(r.weeks_detected)) for r in joined.collect()} == {
         c[:4] for c in CONFIRMED

@@ -66,37 +66,37 @@ def test_run_over_a_folder(spark, tmp_path):
     path = str(tmp_path / "state")
     docs = []
     for week, score in enumerate([5, 6, 5, 5], start=1):
-        docs.append(answer("risk", "Ravi", week, json.dumps({"score": score, "classification": "Watch" if score < 6 else "At Risk", "rationale": "r"})))
-    docs += [answer("risk", "Priya", w, '{"score": 2, "classification": "Healthy", "rationale": "fine"}') for w in (1, 2, 3, 4)]
-    docs.append(answer("briefing", "Ravi", 4, "Talk about workload."))
-    docs.append(answer("briefing", "Ravi", 3, "Plan termination of the contract."))
-    docs.append(answer("trend", "Ravi", 4, '```json\n[{"signal_name": "Response Time Spike", "details": "slower"}]\n```'))
+        docs.append(answer("risk", "Tomas", week, json.dumps({"score": score, "classification": "Watch" if score < 6 else "At Risk", "rationale": "r"})))
+    docs += [answer("risk", "Ines", w, '{"score": 2, "classification": "Healthy", "rationale": "fine"}') for w in (1, 2, 3, 4)]
+    docs.append(answer("briefing", "Tomas", 4, "Talk about workload."))
+    docs.append(answer("briefing", "Tomas", 3, "Plan termination of the contract."))
+    docs.append(answer("trend", "Tomas", 4, '```json\n[{"signal_name": "Response Time Spike", "details": "slower"}]\n```'))
     responses = spark.createDataFrame(docs, MODEL_RESPONSE)
     assert weekly_run.run_weekly(spark, str(folder), path, responses, as_of=AS_OF) is None
     state = ev.read_state(spark, path).cache()
     assert state.count() == 24
-    ravi = {r.week: r for r in state.filter("employee = 'Ravi'").collect()}
+    tomas = {r.week: r for r in state.filter("employee = 'Tomas'").collect()}
     # Two elevated weeks before week 3: one more point there and in week 4.
-    assert [ravi[w].score for w in (1, 2, 3, 4)] == [5, 6, 6, 6]
-    assert ravi[4].classification == "At Risk" and "from 5 to 6" in ravi[4].rationale
-    assert ravi[4].briefing == "Talk about workload." and ravi[3].briefing == C.SAFE_BRIEFING
-    assert {s.signal_name: s.details for s in ravi[4].signals} == {"Declining Task Completion": None, "Response Time Spike": "slower"}
-    priya = {r.week: r for r in state.filter("employee = 'Priya'").collect()}
-    assert [priya[w].healthy_streak for w in (1, 2, 3, 4)] == [1, 2, 4, 7] and priya[4].briefing is None
+    assert [tomas[w].score for w in (1, 2, 3, 4)] == [5, 6, 6, 6]
+    assert tomas[4].classification == "At Risk" and "from 5 to 6" in tomas[4].rationale
+    assert tomas[4].briefing == "Talk about workload." and tomas[3].briefing == C.SAFE_BRIEFING
+    assert {s.signal_name: s.details for s in tomas[4].signals} == {"Declining Task Completion": None, "Response Time Spike": "slower"}
+    ines = {r.week: r for r in state.filter("employee = 'Ines'").collect()}
+    assert [ines[w].healthy_streak for w in (1, 2, 3, 4)] == [1, 2, 4, 7] and ines[4].briefing is None
     # No answer and no stored case: the default, with no streak.
-    assert rows(state.filter("employee = 'Meena'"), "score", "classification", "origin")[0] == (4, "Watch", "default")
+    assert rows(state.filter("employee = 'Greta'"), "score", "classification", "origin")[0] == (4, "Watch", "default")
     state.unpersist()
 
     # A later week reuses what is stored; a new case answers for those without a model.
-    (folder / "week5.csv").write_text("name,tasks,latency\nRavi,9,1.5\nMeena,10,0.4\n")
+    (folder / "week5.csv").write_text("name,tasks,latency\nTomas,9,1.5\nGreta,10,0.4\n")
     weekly_run.run_weekly(spark, str(folder), path, as_of=AS_OF + dt.timedelta(days=7))
     later = ev.read_state(spark, path)
     assert later.count() == 30
     assert later.filter(F.col("evaluated_at") == F.lit(AS_OF)).count() == 24
-    meena = later.filter("employee = 'Meena' AND week = 5").first()
-    # The first stored case with no signals is Priya's first week.
-    assert (meena.origin, meena.score, meena.healthy_streak) == ("case", 2, 0)
-    gap = later.filter("employee = 'Divya' AND week = 5").first()
+    greta = later.filter("employee = 'Greta' AND week = 5").first()
+    # The first stored case with no signals is Ines's first week.
+    assert (greta.origin, greta.score, greta.healthy_streak) == ("case", 2, 0)
+    gap = later.filter("employee = 'Lena' AND week = 5").first()
     assert [s.kind for s in gap.signals] == ["gap"]
 
 
@@ -138,8 +138,8 @@ def test_files_arriving_one_by_one(spark, tmp_path):
     assert arrive(1, 2).count() == 12
     got = arrive(3, 4)
     assert got.count() == 24 and rows(got.select("scope").distinct()) == [("realtime",)]
-    ravi = got.filter("employee = 'Ravi' AND week = 4").first()
-    assert [(s.signal_name, s.weeks_detected, s.severity) for s in ravi.signals] == [
+    tomas = got.filter("employee = 'Tomas' AND week = 4").first()
+    assert [(s.signal_name, s.weeks_detected, s.severity) for s in tomas.signals] == [
         ("Declining Task Completion", [2, 3, 4], "high"), ("Response Time Spike", [2, 3, 4], "high")]
     # A batch that is run again changes nothing.
     before = rows(got, "employee", "week", "score")

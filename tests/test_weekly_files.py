@@ -32,11 +32,11 @@ def test_header_value_default(spark):
 
 def test_other_spellings(spark):
     raw = spark.createDataFrame(
-        [("Arjun", "8", "1.5", "2", "0", 1), ("Arjun", "6", "2.5", "1", "1", 2)],
+        [("Nora", "8", "1.5", "2", "0", 1), ("Nora", "6", "2.5", "1", "1", 2)],
         "name STRING, completed_tasks STRING, avg_response_time STRING, after_hours_logins STRING, sick_days STRING, week INT",
     )
     got = rows(weekly.alias_table(raw, F.col("week")))
-    assert got[0][:6] == ("Arjun", 1, 8, 1.5, 2, 0)
+    assert got[0][:6] == ("Nora", 1, 8, 1.5, 2, 0)
     assert got[0][6:9] == (None, None, None)
 
 

@@ -14,7 +14,6 @@ from tidemark.operators.timeline import densify, max_week_of
 from tidemark.schemas import SIGNAL_DDL
 
 AS_OF = dt.datetime(2024, 2, 5)
-HISTORY_TURNS = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -236,11 +235,13 @@ def inference_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored messages with ``file_path``: each message is the output of its own turn
-    and an input of the next four turns (a bounded context), all by row-wise steps."""
+    and an input of every later turn of its conversation."""
     turns = table(spark, sf_dir, "conversations")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
+    turns = turns.join(last, "conv_id")
     conv, turn = F.col("conv_id"), F.col("turn")
     targets = F.transform(
-        F.sequence(F.lit(0), F.lit(HISTORY_TURNS)),
+        F.sequence(F.lit(0).cast("long"), F.col("last_turn") - turn),
         lambda i: F.when(i == 0, _file(conv, turn, "output")).otherwise(
             _file(conv, turn + i, "input")
         ),

@@ -541,7 +541,7 @@ ORACLES["employee_status"] = _with(
 )
 ORACLES["briefing_lookup"] = _with(
     *_STATE, LATEST,
-    """req AS (SELECT DISTINCT c_custkey % 400 AS k, CASE WHEN c_custkey % 2 = 0 THEN 'main' ELSE 'realtime' END AS scope FROM customer)""",
+    """req AS (SELECT DISTINCT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'main' ELSE 'realtime' END AS scope FROM customer)""",
     body=f"""SELECT ' USER_' || k || ' ' AS name, scope, l.briefing IS NOT NULL AS found,
       coalesce(l.briefing, {_q(C.BRIEFING_NOT_FOUND_TEXT)}) AS briefing
     FROM req LEFT JOIN latest l ON l.u = req.k AND scope = 'main'""",
@@ -700,7 +700,7 @@ PARTS = """parts AS (
   FROM refs r
   JOIN conversations m ON m.conv_id = r.conv_id AND (
     (r.message_type = 'output' AND m.turn = r.turn)
-    OR (r.message_type = 'input' AND m.turn < r.turn AND m.turn >= r.turn - 4))
+    OR (r.message_type = 'input' AND m.turn < r.turn))
   JOIN (SELECT unnest([0, 1]) AS part_idx) p ON m.conv_id % 11 <> 10 AND (p.part_idx = 0 OR m.turn % 4 = 2))"""
 SPAN = """span_copies AS (
   SELECT *, row_number() OVER (PARTITION BY conversation_id, trace, span_id, message_type, m_role, message_idx, part_idx
@@ -741,7 +741,8 @@ ORACLES["routed_logs"] = _with(
 ORACLES["stored_completions"] = _with(
     LOGS,
     body="""SELECT 'logs' AS what, count(*) AS n, count(DISTINCT trace) AS traces FROM logs WHERE ts >= 1704153600
-    UNION ALL SELECT 'messages', 5 * count(*), count(DISTINCT CASE WHEN conv_id % 11 <> 10 THEN md5(text) END) FROM conversations""",
+    UNION ALL SELECT 'messages', sum(1 + last_turn - turn)::BIGINT, count(DISTINCT CASE WHEN conv_id % 11 <> 10 THEN md5(text) END)
+      FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations)""",
 )
 ORACLES["feedback_rows"] = """
 SELECT CAST(1 + quality * 3 + toxic AS DOUBLE) AS score, CASE WHEN toxic = 1 THEN 'rude' ELSE '' END AS text,

@@ -447,6 +447,7 @@ def pasted_weeks(spark, sf_dir):
         d.table(spark, sf_dir, "region")
         .select(
             (F.col("r_regionkey") + 3).alias("week"),
+            F.lit(1).alias("seq"),
             F.concat(
                 F.lit("\n name,tasks\n".replace(" ", "")), "r_name", F.lit(" x,"),
                 (F.col("r_regionkey") + 5).cast("string"), F.lit("\n\n"),
@@ -551,7 +552,7 @@ def employee_status(spark, sf_dir):
 def briefing_lookup(spark, sf_dir):
     state = d.stored_evaluations(spark, sf_dir)
     requests = d.table(spark, sf_dir, "customer").select(
-        F.concat(F.lit(" USER_"), (F.col("c_custkey") % 400).cast("string"), F.lit(" ")).alias("name"),
+        F.concat(F.lit(" USER_"), F.col("c_custkey").cast("string"), F.lit(" ")).alias("name"),
         F.when(F.col("c_custkey") % 2 == 0, "main").otherwise("realtime").alias("scope"),
     ).distinct()
     return readmodels.latest_briefing(state, requests)

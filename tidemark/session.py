@@ -29,11 +29,14 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared folder the session names.
 
-    ``spark.checkpoint.dir`` is the shared folder of the cluster.  Only where it is
-    unset (local tests) a local temporary folder is used.
+    ``spark.checkpoint.dir`` is the shared folder of the cluster; without it a cluster
+    gets an error, and a local session a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

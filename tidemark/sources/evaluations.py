@@ -8,7 +8,6 @@ from tidemark.schemas import EVALUATION, EVALUATION_COLUMNS, EVALUATION_JSON, SI
 from tidemark.session import drop_dir, scratch_dir
 
 KEY = ["scope", "employee", "week"]
-_MAX_TOUCHED = 20_000
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -37,15 +36,13 @@ def upsert_state(spark: SparkSession, path: str, new: DataFrame) -> None:
     The update is computed once, into a staging table in the shared folder; the state
     it may have been computed from is read no more when its files are replaced.  Only the
     (scope, week) partitions that get rows are read and rewritten.  Their list is the
-    one thing the driver sees: weeks are bounded and scopes are few.
+    one thing the driver sees, as it is when it lists the folders they are.
     """
     staging = scratch_dir(spark, "update")
     new.select(*EVALUATION_COLUMNS).write.parquet(staging)
     new = spark.read.schema(EVALUATION).parquet(staging)
     if _exists(spark, path):
-        touched = new.select("scope", "week").distinct().limit(_MAX_TOUCHED + 1).collect()
-        if len(touched) > _MAX_TOUCHED:
-            raise ValueError("more weeks in one update than a state table may hold")
+        touched = new.select("scope", "week").distinct().collect()
         if not touched:
             drop_dir(spark, staging)
             return

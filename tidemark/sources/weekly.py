@@ -7,7 +7,7 @@ reads all files that share a header in one scan.  No data row passes through it.
 import csv
 import logging
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -150,21 +150,20 @@ def week_from_stem(stem: Column) -> Column:
     return F.coalesce(F.regexp_replace(stem, r"\D", "").try_cast("int"), F.lit(1))
 
 
-def list_files(spark: SparkSession, folder: str, suffixes: Iterable[str] = (".csv",)) -> list[str]:
-    """Data files of a folder and of its ``week=N`` folders, sorted; [] without folder."""
+def list_files(spark: SparkSession, folder: str) -> list[str]:
+    """Data files, sorted; [] without folder: ``*.csv`` of the folder, and what was landed in its ``week=N`` folders."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return []
-    ends = tuple(suffixes)
     found = []
     for status in fs.listStatus(root):
         path = status.getPath()
         if status.isDirectory() and path.getName().startswith("week="):
-            inner = [s.getPath() for s in fs.listStatus(path)]
+            inner, ends = [s.getPath() for s in fs.listStatus(path)], (".csv", ".txt")
         else:
-            inner = [path] if status.isFile() else []
+            inner, ends = [path] if status.isFile() else [], (".csv",)
         found += [p.toString() for p in inner if p.getName().endswith(ends) and p.getName()[0] not in "._"]
     return sorted(found)
 
@@ -225,7 +224,7 @@ def _scan_group(spark: SparkSession, header: tuple[str, ...], paths: list[str],
 
 def scan_raw(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame | None:
     """Union of all files with their own column names plus week and file; None if empty."""
-    groups = header_groups(spark, list_files(spark, folder, (".csv", ".txt")))
+    groups = header_groups(spark, list_files(spark, folder))
     union = None
     for header, paths in groups.items():
         rows = _scan_group(spark, header, paths, multi_line)
@@ -269,7 +268,7 @@ def scan_employee_weeks(
     ``multi_line`` accepts line ends inside quotes, at the cost of splitting big files.
     ``full_names`` keeps people apart who share a first name.
     """
-    paths = list_files(spark, folder, (".csv", ".txt")) if files is None else list(files)
+    paths = list_files(spark, folder) if files is None else list(files)
     layouts: dict[tuple, list[str]] = {}
     for header, group in header_groups(spark, paths).items():
         layout = (len(header), _layout(header, strict, strict_parity))
@@ -302,7 +301,7 @@ def input_problem(spark: SparkSession, folder: str, rows: DataFrame | None = Non
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return f"Data folder '{folder}' does not exist. Please create it and add weekly CSV files."
-    if not list_files(spark, folder, (".csv", ".txt")):
+    if not list_files(spark, folder):
         return f"No CSV files found in {folder}. Run stopped."
     if rows is not None and rows.isEmpty():
         return "No valid employee data found in CSV files."
@@ -313,12 +312,11 @@ def input_problem(spark: SparkSession, folder: str, rows: DataFrame | None = Non
 
 
 def land_csv_text(pasted: DataFrame, folder: str) -> None:
-    """Writes pasted CSV texts (week, csv_content) as that week's file, replacing it.
+    """Writes pasted CSV texts (week, seq, csv_content) as that week's file, replacing it.
 
-    One text per week; with a ``seq`` column the highest one counts.
+    ``seq`` is the order of arrival: of several texts for a week the last one counts.
     """
-    latest = F.max_by("csv_content", "seq") if "seq" in pasted.columns else F.max("csv_content")
-    texts = pasted.groupBy("week").agg(latest.alias("value"))
+    texts = pasted.groupBy("week").agg(F.max_by("csv_content", "seq").alias("value"))
     (
         texts.select("week", F.regexp_replace("value", r"(?U)^\s+|\s+\z", "").alias("value"))
         .write.mode("overwrite")
