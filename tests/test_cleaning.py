@@ -79,7 +79,7 @@ def test_observation_metrics(spark):
 
 def test_extracted_answer(spark):
     frame = spark.createDataFrame(
-        [(1, 'ok: {"employee_name": "mEENA", "tasks_completed": "4", "sentiment": "POSITIVE"} bye'), (2, "no")],
+        [(1, 'ok: {"employee_name": "gRETA", "tasks_completed": "4", "sentiment": "POSITIVE"} bye'), (2, "no")],
         "i INT, text STRING")
     m, none = (r.metrics for r in observation.with_metrics_from_answer(frame).orderBy("i").collect())
     assert none is None
