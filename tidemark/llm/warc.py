@@ -160,7 +160,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     shard = F.when(F.col("page_id").isNull(), 0).otherwise(place("page_id"))
     rows = pages.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
     both = rows.union(marks.select("page_id", F.lit(0), F.lit(None), F.lit(None), "digest", "refers_to")).withColumn("shard", shard)
-    ordered = both.repartition(len(starts) + 1, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+    ordered = both.repartitionById(len(starts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "url", "html")
 
     def run(batches):
         roller = None
