@@ -31,6 +31,10 @@ HEADLINE = (
     "grade_summary",
     "weekly_files",
     "state_upsert",
+    "realtime_files",
+    "model_prompts",
+    "evaluation_run_recomputed",
+    "report_file",
 )
 
 
