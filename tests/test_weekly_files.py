@@ -156,3 +156,9 @@ def test_database_options(monkeypatch, spark):
 
 def test_sample_is_complete():
     assert sum(len(t.splitlines()) for t in WEEKS.values()) == 24
+
+
+def test_only_csv_files_of_the_folder_count(spark, tmp_path):
+    (tmp_path / "notes2024.txt").write_text("name,tasks\nBob,1\n")
+    (tmp_path / "week1.csv").write_text("name,tasks\nAnn,1\n")
+    assert rows(weekly.scan_employee_weeks(spark, str(tmp_path)), "employee", "week") == [("Ann", 1)]

@@ -53,7 +53,7 @@ def _signal_names(column: str = "signals") -> Column:
 # --- employee weeks and timelines -----------------------------------------------
 
 
-@register("A2", "O2", "X7")
+@register("X7")
 def employee_week_metrics(spark, sf_dir):
     return _rounded(d.employee_weeks(spark, sf_dir))
 
@@ -75,7 +75,7 @@ def first_record_per_week(spark, sf_dir):
     return tl.keep_first(events, F.col("event_id"))
 
 
-@register("J1", "U1")
+@register("J1", "U1", "A2", "O2")
 def dense_timeline(spark, sf_dir):
     return d.timeline(spark, sf_dir).select(
         "employee", "week", "data_missing", "completed_tasks", "sick_days", "weekly_hours", "sentiment"
@@ -736,9 +736,9 @@ def routed_logs(spark, sf_dir):
     return routed.select("insertId", "logName")
 
 
-@register("S13", "S14", "S17", "J8")
+@register("S13", "S14")
 def stored_completions(spark, sf_dir):
-    """The view over log and message files that were written and read back."""
+    """Log and message files that were written and read back, counted."""
     logs_path, files = scratch_dir(spark, "logs"), scratch_dir(spark, "messages")
     telemetry.append_logs(d.inference_logs(spark, sf_dir), logs_path)
     d.completions(spark, sf_dir).drop("file_path").write.json(files)
