@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -9,7 +10,7 @@ from samples import write_weeks
 from tidemark import constants as C
 from tidemark.plans import weekly_run
 from tidemark.schemas import EVALUATION, MODEL_RESPONSE
-from tidemark.sources import evaluations as ev
+from tidemark.sources import evaluations as ev, weekly
 from tidemark.streaming import realtime
 
 AS_OF = dt.datetime(2024, 3, 1)
@@ -130,9 +131,7 @@ def test_files_arriving_one_by_one(spark, tmp_path):
     def arrive(*weeks):
         for w in weeks:
             (tmp_path / "in" / f"week{w}.csv").write_text((write_weeks_to / f"week{w}.csv").read_text())
-        query = realtime.start(spark, incoming, store, path, checkpoint, clock=lambda: AS_OF)
-        query.awaitTermination(120)
-        assert query.exception() is None
+        realtime.run(spark, incoming, store, path, checkpoint, as_of=AS_OF)
         return ev.read_state(spark, path)
 
     assert arrive(1, 2).count() == 12
@@ -144,9 +143,57 @@ def test_files_arriving_one_by_one(spark, tmp_path):
     # A batch that is run again changes nothing.
     before = rows(got, "employee", "week", "score")
     files = [f"{incoming}/week3.csv", f"{incoming}/week4.csv"]
-    realtime.evaluate_batch(spark, files, 1, store, path, None, "realtime", AS_OF)
+    realtime.land_batch(spark, files, 1, store)
+    realtime.evaluate_landed(spark, store, path, as_of=AS_OF)
     assert rows(ev.read_state(spark, path), "employee", "week", "score") == before
     # A back-filled file does not recompute stored later weeks.
     (tmp_path / "in" / "week2b.csv").write_text("name,tasks\nZoe,4\n")
     late = arrive()
     assert late.count() == 28 and rows(late.filter("employee <> 'Zoe'"), "employee", "week", "score") == before
+
+
+def test_batch_size_changes_nothing(spark, tmp_path):
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+    write_weeks(incoming)
+    lines = (incoming / "week2.csv").read_text().splitlines()
+    (incoming / "week2.csv").write_text("\n".join(lines[:3]) + "\n")
+    (incoming / "a_week2.csv").write_text("\n".join(lines[:1] + lines[3:]) + "\n")
+    (incoming / "notes2024.txt").write_text("name,tasks\nBob,1\n")
+    got = []
+    for size in (1, 2, 1000):
+        store, path, checkpoint = (str(tmp_path / f"{n}{size}") for n in ("store", "state", "check"))
+        realtime.run(spark, str(incoming), store, path, checkpoint, as_of=AS_OF, max_files=size, report_path=str(tmp_path / f"report{size}"))
+        got.append(rows(ev.read_state(spark, path)))
+    assert len(got[0]) == 24 and got[0] == got[1] == got[2]
+    text = spark.read.text(str(tmp_path / "report1")).collect()
+    assert any("TEAM SUMMARY" in r[0] for r in text)
+
+
+def test_pasted_week_replaces_what_landed(spark, tmp_path):
+    incoming, store, path, checkpoint = (str(tmp_path / n) for n in ("in", "store", "state", "check"))
+    os.mkdir(incoming)
+    (tmp_path / "in" / "week1.csv").write_text("name,tasks\nAnn,5\n")
+
+    def paste(text, seq):
+        weekly.land_csv_text(spark.createDataFrame([(1, seq, text)], "week INT, seq INT, csv_content STRING"), incoming)
+        realtime.start(spark, incoming, store, checkpoint).awaitTermination()
+        both = realtime.landed_rows(spark, store), weekly.scan_employee_weeks(spark, incoming)
+        return [rows(found, "employee", "completed_tasks") for found in both]
+
+    realtime.start(spark, incoming, store, checkpoint).awaitTermination()
+    assert paste("name,tasks\nZoe,5", 1) == [[("Zoe", 5)]] * 2
+    assert paste('name,tasks,tone\nAna,9,"good\nvery"', 2) == [[("Ana", 9)]] * 2
+    realtime.evaluate_landed(spark, store, path, as_of=AS_OF)
+    assert rows(ev.read_state(spark, path), "employee", "week") == [("Ana", 1)]
+    realtime.evaluate_landed(spark, store, path, as_of=AS_OF + dt.timedelta(1), recompute_from=1)
+    assert ev.read_state(spark, path).first().evaluated_at == AS_OF + dt.timedelta(1)
+
+
+def test_several_answers_need_an_order(spark):
+    two = [answer("risk", "a", 1, "x"), answer("risk", "a", 1, "b")]
+    frame = spark.createDataFrame(two, MODEL_RESPONSE)
+    with pytest.raises(Exception, match="seq"):
+        weekly_run.responses_per_week(frame).collect()
+    ordered = frame.withColumn("seq", F.when(F.col("text") == "b", 2).otherwise(1))
+    assert rows(weekly_run.responses_per_week(ordered), "risk_text", "trend_text") == [("b", None)]

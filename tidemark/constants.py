@@ -63,9 +63,6 @@ SIMILARITY_FLOOR = 0.5
 DEFAULT_SCORE, DEFAULT_CLASS = 4, WATCH
 STATUS_SCORE, STATUS_CLASS = 1, HEALTHY
 
-# Bound on the week number, hence on rows per employee.
-MAX_WEEKS = 520
-
 # Fixed texts.
 DEFAULT_RATIONALE = (
     "Evaluation could not be completed via APIs. Defaulted to Watch classification "

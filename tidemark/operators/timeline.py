@@ -1,13 +1,12 @@
 """Dense employee timelines.
 
-After :func:`keep_first` an employee has at most one row per week, and weeks are
-bounded by ``MAX_WEEKS``; every window below therefore works on a bounded group,
-whatever share of the raw rows one name holds.
+After :func:`keep_first` an employee has at most one row per week; every window below
+therefore works on as many rows as there are weeks, whatever share of the raw rows one
+name holds.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.constants import MAX_WEEKS
 from tidemark.schemas import METRICS
 
 _BASE_COLUMNS = {
@@ -35,14 +34,17 @@ def keep_first(rows: DataFrame, order: Column) -> DataFrame:
     )
 
 
-def max_week_of(weeks: DataFrame, max_weeks: int = MAX_WEEKS) -> Column:
+def max_week_of(weeks: DataFrame, max_weeks: int | None = None) -> Column:
     """Largest week as a scalar subquery, NULL on no rows.
 
-    ``weeks`` needs a ``week`` column only; pass the narrowest source there is.  A
-    week above ``max_weeks`` (a year in a file name, say) is an error, because every
-    employee would get that many rows.
+    ``weeks`` needs a ``week`` column only; pass the narrowest source there is.  Every
+    employee gets as many rows as the last week says; with ``max_weeks`` a higher week
+    (a year in a file name, say) is an error.
     """
-    checked = weeks.agg(F.max("week").alias("w")).select(
+    last = weeks.agg(F.max("week").cast("int").alias("w"))
+    if max_weeks is None:
+        return last.scalar()
+    checked = last.select(
         F.when(
             F.col("w") > max_weeks,
             F.raise_error(

@@ -486,6 +486,19 @@ ORACLES["weekly_files_strict"] = _with(
       round(response_time, 6) AS response_time, after_hours_logins, sick_days, CAST(NULL AS INTEGER) AS weekly_hours,
       CAST(NULL AS INTEGER) AS task_accuracy, CAST(NULL AS VARCHAR) AS sentiment, source_file FROM ew""",
 )
+ORACLES["weekly_files_of_one_week"] = _with(
+    *_EW_GAPS,
+    body="SELECT employee, 9 AS week, count(*) AS n, CAST(sum(completed_tasks) AS BIGINT) AS tasks FROM ew GROUP BY employee",
+)
+ORACLES["pasted_stream"] = _with(
+    *_EW_GAPS,
+    """landed AS (SELECT employee, week FROM ew WHERE week < 3 OR week > 7
+      UNION ALL SELECT split_part(r_name, ' ', 1), r_regionkey + 3 FROM region)""",
+    """weeks AS (SELECT CAST(unnest(range(1, (SELECT max(week) FROM landed) + 1)) AS INTEGER) AS week)""",
+    body=f"""SELECT e.employee, w.week, {C.DEFAULT_SCORE} AS score, {_q(C.DEFAULT_CLASS)} AS classification,
+      'default' AS origin, (SELECT count(*) FROM landed l WHERE l.employee = e.employee AND l.week <= w.week) < w.week AS has_gap
+    FROM (SELECT DISTINCT employee FROM landed) e, weeks w""",
+)
 ORACLES["pasted_weeks"] = _with(
     *_EW_GAPS,
     body="""SELECT week, count(*) AS employees, CAST(sum(completed_tasks) AS BIGINT) AS tasks, min(employee) AS first_name

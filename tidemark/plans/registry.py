@@ -407,7 +407,7 @@ def _metric_rows(spark, sf_dir):
     )
 
 
-@register("S1", "S3", "S10", "S12", "U4", "X1", "W6")
+@register("S1", "S3", "S10", "U4", "X1", "W6")
 def weekly_files(spark, sf_dir):
     """Two files per week with different headers, read back in one scan, first row kept."""
     folder = scratch_dir(spark, "weekly")
@@ -438,23 +438,34 @@ def weekly_files_strict(spark, sf_dir):
     return _rounded(weekly.scan_employee_weeks(spark, folder, strict=True).drop(weekly.ROW_ORDER))
 
 
+def _pasted(spark, sf_dir):
+    return d.table(spark, sf_dir, "region").select(
+        (F.col("r_regionkey") + 3).alias("week"),
+        F.lit(1).alias("seq"),
+        F.concat(
+            F.lit("\nname,tasks\n"), "r_name", F.lit(" x,"),
+            (F.col("r_regionkey") + 5).cast("string"), F.lit("\n\n"),
+        ).alias("csv_content"),
+    )
+
+
+@register("S12")
+def weekly_files_of_one_week(spark, sf_dir):
+    """A folder read as one given week, whatever its file names say."""
+    folder = scratch_dir(spark, "target")
+    weekly.append_rows(_metric_rows(spark, sf_dir), folder)
+    rows = weekly.scan_employee_weeks(spark, folder, target_week=9)
+    return rows.groupBy("employee", "week").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("completed_tasks").alias("tasks")
+    )
+
+
 @register("S9", "S3")
 def pasted_weeks(spark, sf_dir):
     """CSV texts pasted for a week replace what the week held before."""
     folder = scratch_dir(spark, "pasted")
     weekly.append_rows(_metric_rows(spark, sf_dir), folder)
-    pasted = (
-        d.table(spark, sf_dir, "region")
-        .select(
-            (F.col("r_regionkey") + 3).alias("week"),
-            F.lit(1).alias("seq"),
-            F.concat(
-                F.lit("\n name,tasks\n".replace(" ", "")), "r_name", F.lit(" x,"),
-                (F.col("r_regionkey") + 5).cast("string"), F.lit("\n\n"),
-            ).alias("csv_content"),
-        )
-    )
-    weekly.land_csv_text(pasted, folder)
+    weekly.land_csv_text(_pasted(spark, sf_dir), folder)
     rows = weekly.scan_employee_weeks(spark, folder)
     return rows.groupBy("week").agg(
         F.count(F.lit(1)).alias("employees"),
@@ -657,17 +668,33 @@ def realtime_files(spark, sf_dir):
         scratch_dir(spark, name) for name in ("incoming", "store", "state", "stream")
     )
     weekly.append_rows(_metric_rows(spark, sf_dir), incoming)
-    stream = realtime.start(
+    realtime.run(
         spark, incoming, store, state, checkpoint, d.risk_answers(spark, sf_dir),
-        clock=lambda: d.AS_OF, max_files=100_000,
+        as_of=d.AS_OF, max_files=40,
     )
-    stream.awaitTermination()
     return ev.read_state(spark, state, "realtime").select(
         "scope", "employee", "week", "score", "classification", "rationale", "healthy_streak", "origin",
         _signal_names().alias("names"),
     )
 
 
+@register("S9", "T1", "A1", "P14")
+def pasted_stream(spark, sf_dir):
+    """Pasted texts replace weeks that were appended, and both reach the stream's state."""
+    incoming, store, state, checkpoint = (
+        scratch_dir(spark, name) for name in ("incoming", "store", "state", "stream")
+    )
+    weekly.append_rows(_metric_rows(spark, sf_dir), incoming)
+    realtime.start(spark, incoming, store, checkpoint).awaitTermination()
+    weekly.land_csv_text(_pasted(spark, sf_dir), incoming)
+    realtime.run(spark, incoming, store, state, checkpoint, as_of=d.AS_OF, scope="pasted")
+    rows = ev.read_state(spark, state, "pasted")
+    return rows.select(
+        "employee", "week", "score", "classification", "origin",
+        F.exists("signals", lambda s: s.signal_name == C.GAP_MARKER).alias("has_gap"),
+    )
+
+
 @register("X20", "G4", "A10")
 def history_summaries(spark, sf_dir):
     rows = prompts.history_summary(d.stored_evaluations(spark, sf_dir))

@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark import constants as C
 from tidemark.functions.model_text import TREND_ANSWER, strip_fences
 from tidemark.functions.sets import signal_names
-from tidemark.operators import cases, risk
+from tidemark.operators import cases, readmodels, risk
 from tidemark.operators.briefing import choose_briefing
+from tidemark.operators.risk import is_flagged
 from tidemark.operators.signals import add_details, signals_as_of
 from tidemark.operators.timeline import densify, keep_first, max_week_of
 from tidemark.schemas import EMPLOYEE_WEEK, EVALUATION_COLUMNS, MODEL_RESPONSE
 from tidemark.session import drop_dir, scratch_dir
-from tidemark.sources import evaluations as state_table, weekly
+from tidemark.sources import evaluations as state_table, reports, weekly
 
 _CARRY = (
     "signals",
@@ -33,12 +34,22 @@ def no_responses(spark: SparkSession) -> DataFrame:
 
 
 def responses_per_week(responses: DataFrame) -> DataFrame:
-    """One row per (employee, week) with the text of each kind."""
+    """One row per (employee, week) with the text of each kind.
+
+    Of several answers the last by ``seq`` counts; without such a column different
+    answers for one key are an error.
+    """
+    ordered = "seq" in responses.columns
+
+    def one(kind: str) -> Column:
+        text = F.when(F.col("kind") == kind, F.col("text"))
+        if ordered:
+            return F.max_by(text, F.when(text.isNotNull(), F.col("seq")))
+        clash = F.raise_error(F.lit(f"several {kind} answers for one employee and week need a seq column"))
+        return F.when(F.min(text) != F.max(text), clash.cast("string")).otherwise(F.max(text))
+
     return responses.groupBy("employee", "week").agg(
-        *[
-            F.max(F.when(F.col("kind") == kind, F.col("text"))).alias(f"{kind}_text")
-            for kind in ("trend", "risk", "briefing")
-        ]
+        *[one(kind).alias(f"{kind}_text") for kind in ("trend", "risk", "briefing")]
     )
 
 
@@ -147,6 +158,34 @@ def merged_state(state: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(new.select(*EVALUATION_COLUMNS))
 
 
+def write_scope_report(spark: SparkSession, state_path: str, scope: str, path: str) -> None:
+    """Text report of what one scope has stored."""
+    state = state_table.read_state(spark, state_path, scope)
+    lines = readmodels.report_lines(readmodels.latest_rows(state), state)
+    reports.write_report(lines, path, f"Run complete, scope {scope}.")
+
+
+def employees_due(
+    records: DataFrame,
+    max_week: Column,
+    state: DataFrame,
+    scope: str,
+    recompute_from: int | None = None,
+) -> DataFrame:
+    """Employees with a week that lacks its evaluation, or a stored one to repair or redo."""
+    stored = state.filter(F.col("scope") == scope).withColumn("_max", max_week).filter(
+        (F.col("week") >= 1) & (F.col("week") <= F.col("_max"))
+    )
+    redo = F.lit(False) if recompute_from is None else F.col("week") >= recompute_from
+    lacks = is_flagged(F.col("classification")) & (F.coalesce("briefing", F.lit("")) == "")
+    per_employee = stored.groupBy("employee").agg(
+        F.count(F.lit(1)).alias("_n"), F.bool_or(lacks | redo).alias("_again")
+    )
+    known = records.select("employee").distinct().join(per_employee, "employee", "left")
+    due = (F.coalesce("_n", F.lit(0)) < F.col("_max")) | F.coalesce("_again", F.lit(False))
+    return known.withColumn("_max", max_week).filter(due).select("employee")
+
+
 def run_weekly(
     spark: SparkSession,
     folder: str,
@@ -157,17 +196,22 @@ def run_weekly(
     strict: bool = False,
     reuse_state: bool = True,
     recompute_from: int | None = None,
+    max_weeks: int | None = None,
+    streak_mode: str = "stored",
+    report_path: str | None = None,
+    **reading,
 ) -> str | None:
     """Reads a folder of weekly files, evaluates what is missing and stores it.
 
     The files are parsed once, into a table of first records in the shared folder; the
-    last week and the run itself read that.  Returns None, or in words why nothing was
-    done.
+    last week and the run itself read that.  With ``report_path`` the text report of the
+    scope is written there.  ``reading`` goes to ``weekly.scan_employee_weeks``.
+    Returns None, or in words why nothing was done.
     """
     problem = weekly.input_problem(spark, folder)
     if problem:
         return problem
-    rows = weekly.scan_employee_weeks(spark, folder, strict=strict)
+    rows = weekly.scan_employee_weeks(spark, folder, strict=strict, **reading)
     staging = scratch_dir(spark, "records")
     keep_first(rows, F.col(weekly.ROW_ORDER)).drop(weekly.ROW_ORDER).write.parquet(staging)
     records = spark.read.schema(EMPLOYEE_WEEK).parquet(staging)
@@ -176,14 +220,17 @@ def run_weekly(
         return problem
     new = evaluate(
         records,
-        max_week_of(records.select("week")),
+        max_week_of(records.select("week"), max_weeks),
         state_table.read_state(spark, state_path),
         no_responses(spark) if responses is None else responses,
         scope,
         as_of or dt.datetime.now(dt.timezone.utc),
         reuse_state,
         recompute_from,
+        streak_mode,
     )
     state_table.upsert_state(spark, state_path, new)
+    if report_path is not None:
+        write_scope_report(spark, state_path, scope, report_path)
     drop_dir(spark, staging)
     return None

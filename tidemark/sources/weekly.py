@@ -151,21 +151,30 @@ def week_from_stem(stem: Column) -> Column:
 
 
 def list_files(spark: SparkSession, folder: str) -> list[str]:
-    """Data files, sorted; [] without folder: ``*.csv`` of the folder, and what was landed in its ``week=N`` folders."""
+    """Data files, sorted; [] without folder: ``*.csv`` of the folder, and what was landed in its ``week=N`` folders.
+
+    A pasted text (``.txt``) replaces the files of its week that are older.
+    """
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return []
-    found = []
+    found: list[tuple[str, str, int]] = []
+    pasted: dict[str, int] = {}
     for status in fs.listStatus(root):
-        path = status.getPath()
-        if status.isDirectory() and path.getName().startswith("week="):
-            inner, ends = [s.getPath() for s in fs.listStatus(path)], (".csv", ".txt")
+        name = status.getPath().getName()
+        if status.isDirectory() and re.fullmatch(r"week=\d+", name):
+            logical, inner, ends = name.replace("=", "") + ".csv", fs.listStatus(status.getPath()), (".csv", ".txt")
         else:
-            inner, ends = [path] if status.isFile() else [], (".csv",)
-        found += [p.toString() for p in inner if p.getName().endswith(ends) and p.getName()[0] not in "._"]
-    return sorted(found)
+            logical, inner, ends = name, [status] if status.isFile() else [], (".csv",)
+        for part in inner:
+            path, landed = part.getPath(), part.getModificationTime()
+            if path.getName().endswith(ends) and path.getName()[0] not in "._":
+                found.append((path.toString(), logical, landed))
+                if path.getName().endswith(".txt"):
+                    pasted[logical] = max(landed, pasted.get(logical, 0))
+    return sorted(path for path, logical, landed in found if landed >= pasted.get(logical, 0))
 
 
 def read_header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
@@ -214,7 +223,7 @@ def _scan_group(spark: SparkSession, header: tuple[str, ...], paths: list[str],
         logical.alias("__source_file__"),
         F.struct(
             logical.alias("file"),
-            F.when(folder_week.isNotNull(), F.col("_metadata.file_modification_time")).alias("landed"),
+            F.col("_metadata.file_modification_time").alias("landed"),
             name.alias("part"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
@@ -222,7 +231,7 @@ def _scan_group(spark: SparkSession, header: tuple[str, ...], paths: list[str],
     )
 
 
-def scan_raw(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame | None:
+def scan_raw(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame | None:
     """Union of all files with their own column names plus week and file; None if empty."""
     groups = header_groups(spark, list_files(spark, folder))
     union = None
@@ -256,7 +265,7 @@ def scan_employee_weeks(
     strict_parity: bool = False,
     target_week: int | None = None,
     missing_as_null: bool = False,
-    multi_line: bool = False,
+    multi_line: bool = True,
     files: Sequence[str] | None = None,
     full_names: bool = False,
 ) -> DataFrame:
@@ -265,7 +274,8 @@ def scan_employee_weeks(
     ``folder`` is any path Spark can read, object stores included.  ``strict`` takes the
     exact column set only (no hours, accuracy, sentiment; empty cells fall through to
     the next spelling).  ``target_week`` overrides the week of the file name.
-    ``multi_line`` accepts line ends inside quotes, at the cost of splitting big files.
+    Line ends inside quotes are part of a cell; ``multi_line=False`` splits big files
+    that are known to have none.
     ``full_names`` keeps people apart who share a first name.
     """
     paths = list_files(spark, folder) if files is None else list(files)
@@ -294,6 +304,19 @@ def scan_employee_weeks(
     return union
 
 
+def without_replaced(rows: DataFrame) -> DataFrame:
+    """Scanned rows of several arrivals, less those that a later pasted text replaced."""
+    order = F.col(ROW_ORDER)
+    file, landed = order.getField("file"), order.getField("landed")
+    pasted = F.when(order.getField("part").endswith(".txt"), landed)
+    last = (
+        rows.groupBy(file.alias("_file"))
+        .agg(F.max(pasted).alias("_pasted"))
+        .filter(F.col("_pasted").isNotNull())
+    )
+    return rows.join(last, (file == F.col("_file")) & (landed < F.col("_pasted")), "left_anti")
+
+
 def input_problem(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> str | None:
     """What keeps a run from starting, in words, or None when there is data."""
     jvm = spark.sparkContext._jvm

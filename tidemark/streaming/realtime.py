@@ -1,88 +1,113 @@
 """Realtime scope: evaluate weekly files as they arrive.
 
-The stream watches file arrivals (names only, contents are not read by it).  Each micro
-batch reads its new files with the batch reader, adds the rows to a Parquet store under
-the batch's own partition, and evaluates what the state table still lacks.  Both writes
-replace their own earlier attempt, so a batch that is run again gives the same state.
+The stream watches file arrivals (names only, contents are not read by it) and lands
+their rows in a Parquet store, each micro batch under its own partition, so a batch that
+is run again replaces its own attempt.  Evaluation is a step of its own over all that
+has landed: the stored result does not depend on how arrivals were cut into batches.
 """
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.timeline import keep_first, max_week_of
-from tidemark.plans.weekly_run import evaluate, no_responses
+from tidemark.plans.weekly_run import employees_due, evaluate, no_responses, write_scope_report
+from tidemark.schemas import EMPLOYEE_WEEK
+from tidemark.session import drop_dir, scratch_dir
 from tidemark.sources import evaluations as state_table, weekly
 
 _ARRIVAL = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
 def arrivals(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """Stream of the paths of new weekly files."""
+    """Stream of the paths of new weekly files and pasted texts."""
     return (
         spark.readStream.format("binaryFile")
         .schema(_ARRIVAL)
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", "*.{csv,txt}")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files)
         .load(folder)
         .select("path")
+        .filter(F.col("path").rlike(r"\.csv$|/week=\d+/[^/]*\.txt$"))
     )
 
 
-def add_to_store(rows: DataFrame, store: str, batch_id: int) -> None:
-    """Writes a batch's rows under its own partition, replacing an earlier attempt."""
+def land_batch(spark: SparkSession, paths: list[str], batch_id: int, store: str, **reading) -> None:
+    """Writes the rows of a batch's files under its own partition, replacing an earlier attempt."""
+    rows = weekly.scan_employee_weeks(spark, "", files=paths, **reading)
     rows.write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={batch_id}")
 
 
-def evaluate_batch(
+def landed_rows(spark: SparkSession, store: str) -> DataFrame | None:
+    """All rows in the store, less those of replaced weeks; None when nothing has landed."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    schema = weekly.scan_employee_weeks(spark, "", files=[]).schema
+    return weekly.without_replaced(spark.read.schema(schema).parquet(f"{store.rstrip('/')}/batch=*"))
+
+
+def evaluate_landed(
     spark: SparkSession,
-    paths: list[str],
-    batch_id: int,
     store: str,
     state_path: str,
-    responses: DataFrame | None,
-    scope: str,
-    as_of: dt.datetime,
+    responses: DataFrame | None = None,
+    scope: str = "realtime",
+    as_of: dt.datetime | None = None,
     recompute_from: int | None = None,
+    max_weeks: int | None = None,
+    streak_mode: str = "stored",
 ) -> None:
-    rows = weekly.scan_employee_weeks(spark, "", files=paths)
-    add_to_store(rows, store, batch_id)
-    stored = spark.read.schema(rows.schema).parquet(f"{store.rstrip('/')}/batch=*")
-    records = keep_first(stored, F.col(weekly.ROW_ORDER)).drop(weekly.ROW_ORDER)
+    """Evaluates what the state lacks of all that has landed.
+
+    Only employees with something to do are evaluated; the last week is that of all.
+    """
+    landed = landed_rows(spark, store)
+    if landed is None:
+        return
+    staging = scratch_dir(spark, "landed")
+    keep_first(landed, F.col(weekly.ROW_ORDER)).drop(weekly.ROW_ORDER).write.parquet(staging)
+    records = spark.read.schema(EMPLOYEE_WEEK).parquet(staging)
+    max_week = max_week_of(records.select("week"), max_weeks)
+    state = state_table.read_state(spark, state_path)
+    due = employees_due(records, max_week, state, scope, recompute_from)
     new = evaluate(
-        records,
-        max_week_of(stored.select("week")),
-        state_table.read_state(spark, state_path),
+        records.join(due, "employee", "left_semi"),
+        max_week,
+        state,
         no_responses(spark) if responses is None else responses,
         scope,
-        as_of,
+        as_of or dt.datetime.now(dt.timezone.utc),
         recompute_from=recompute_from,
+        streak_mode=streak_mode,
     )
     state_table.upsert_state(spark, state_path, new)
+    drop_dir(spark, staging)
 
 
 def start(
     spark: SparkSession,
     folder: str,
     store: str,
-    state_path: str,
     checkpoint: str,
-    responses: DataFrame | None = None,
-    scope: str = "realtime",
-    clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc),
     max_files: int = 1000,
-    **trigger,
+    trigger: dict | None = None,
+    **reading,
 ) -> StreamingQuery:
-    """Starts the stream; by default it takes what is there and stops."""
+    """Starts landing files; by default it takes what is there and stops.
+
+    With a lasting ``trigger`` call ``evaluate_landed`` as often as results are wanted.
+    ``reading`` goes to ``weekly.scan_employee_weeks``.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         # At most ``max_files`` names per batch.
         paths = sorted(r.path for r in batch.select("path").collect())
         if paths:
-            evaluate_batch(spark, paths, batch_id, store, state_path, responses, scope, clock())
+            land_batch(spark, paths, batch_id, store, **reading)
 
     return (
         arrivals(spark, folder, max_files)
@@ -91,3 +116,28 @@ def start(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def run(
+    spark: SparkSession,
+    folder: str,
+    store: str,
+    state_path: str,
+    checkpoint: str,
+    responses: DataFrame | None = None,
+    scope: str = "realtime",
+    as_of: dt.datetime | None = None,
+    recompute_from: int | None = None,
+    max_weeks: int | None = None,
+    streak_mode: str = "stored",
+    max_files: int = 1000,
+    report_path: str | None = None,
+    **reading,
+) -> None:
+    """Lands all that is waiting, then evaluates once."""
+    start(spark, folder, store, checkpoint, max_files, **reading).awaitTermination()
+    evaluate_landed(
+        spark, store, state_path, responses, scope, as_of, recompute_from, max_weeks, streak_mode
+    )
+    if report_path is not None:
+        write_scope_report(spark, state_path, scope, report_path)
