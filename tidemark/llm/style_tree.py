@@ -22,7 +22,9 @@ How it runs: pages are parsed by the tasks that read them, which emit one row fo
 (host, node, style or content, page content); those are counted by hash aggregation, so a host
 with a third of all pages is spread over the cluster and exact copies of a page count once.
 The tree (a row for each host and node) is broadcast while it has at most
-``MAX_BROADCAST`` rows; beyond that pages join their host's nodes by shuffle.
+``MAX_BROADCAST`` rows; beyond that the nodes of each distinct page join the tree on (host,
+node), with ``SALTS`` copies of the tree so that a node of every page of a large host is
+spread, and each page gets back its own nodes only, never its host's whole tree.
 
 Text: character references are decoded, white space within a block becomes one space,
 blocks follow page order with one line feed between them.
@@ -48,6 +50,7 @@ MIN_PAGES = 8
 LOW = 0.45
 FIXED = 0.1
 MAX_BROADCAST = 200_000
+SALTS = 16
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -374,8 +377,25 @@ def extract(pages: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
 
         return pages.select("page_id", "url", text, _host(F.col("url")).alias("host")).mapInPandas(run, schema)
 
-    by_host = tree.groupBy("host").agg(F.collect_list(F.struct("node", "pages", "styles", "presentation", "content")).alias("nodes"))
-    joined = pages.select("page_id", "url", text, _host(F.col("url")).alias("host")).join(by_host, "host", "left")
+    def nodes(batches):
+        for frame in batches:
+            out = [
+                (host, page, node)
+                for host, page, text in zip(frame["host"], frame["page"], frame["html"])
+                for node in {n for n, _, _ in observations(text)}
+            ]
+            yield pd.DataFrame(out, columns=["host", "page", "node"])
+
+    keyed = pages.select("page_id", "url", text, _host(F.col("url")).alias("host")).withColumn("page", F.md5(F.col("html").cast("binary")))
+    wanted = keyed.where("host <> ''").select("host", "page", "html").mapInPandas(nodes, "host string, page string, node long").distinct()
+    salted = tree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_page = (
+        wanted.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int"))
+        .join(salted, ["host", "node", "salt"])
+        .groupBy("host", "page")
+        .agg(F.collect_list(F.struct("node", "pages", "styles", "presentation", "content")).alias("nodes"))
+    )
+    joined = keyed.join(by_page, ["host", "page"], "left")
 
     def run_joined(batches):
         for frame in batches:
