@@ -84,3 +84,10 @@ def test_days_are_pruned(spark, tmp_path):
         telemetry.append_logs(d.inference_logs(spark, SF_DIR), str(tmp_path / "logs"))
         text = plan(telemetry.read_logs(spark, str(tmp_path / "logs"), F.col("day") > "2024-01-01"))
         assert "PartitionFilters: [isnotnull(day), (day > 2024-01-01)]" in text
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["evaluation_run", "model_prompts"])
+def test_a_run_does_not_scan_events_again(spark, name):
+    text = plan(registry.QUERIES[name](spark, SF_DIR))
+    assert "events.parquet" not in text

@@ -33,27 +33,59 @@ def history_summary(state: DataFrame) -> DataFrame:
 
 def trend_prompts(rows: DataFrame) -> DataFrame:
     """Prompt per (employee, week) with confirmed signals."""
-    own = F.filter("signals", lambda s: s.getField("kind") == "signal")
-    text = F.concat(
-        F.lit("First name: "), "employee",
-        F.lit("\nSignals seen in two or more adjacent weeks:\n"),
-        F.to_json(own),
-        F.lit("\nAdd a short, supportive text as 'details' to each; answer with the JSON array."),
-    )
-    return rows.filter(F.size(own) > 0).select(
-        F.lit("trend").alias("kind"), "employee", "week",
-        pseudonym(F.col("employee"), "trends").alias("session_id"), text.alias("prompt"),
-    )
+    return _one(rows, "trend", "trends", _trend_text())
 
 
 def risk_prompts(rows: DataFrame, history: DataFrame, weeks: int = C.HISTORY_DAYS // 7) -> DataFrame:
     """Prompt per (employee, week): signals plus the history of earlier weeks."""
-    joined = rows.join(
+    return _one(_with_history(rows, history), "risk", "risk", _risk_text(weeks))
+
+
+def detection_prompts(rows: DataFrame, history: DataFrame, weeks: int = C.HISTORY_DAYS // 7) -> DataFrame:
+    """Trend and risk prompts out of one pass over the detected signals."""
+    both = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), pseudonym(F.col("employee"), step).alias("session_id"), text.alias("prompt"))
+            for kind, step, text in (("trend", "trends", _trend_text()), ("risk", "risk", _risk_text(weeks)))
+        ]
+    )
+    return (
+        _with_history(rows, history)
+        .select("employee", "week", F.explode(both).alias("p"))
+        .select("p.kind", "employee", "week", "p.session_id", "p.prompt")
+        .filter(F.col("prompt").isNotNull())
+    )
+
+
+def _one(rows: DataFrame, kind: str, step: str, text: Column) -> DataFrame:
+    return rows.select(
+        F.lit(kind).alias("kind"), "employee", "week",
+        pseudonym(F.col("employee"), step).alias("session_id"), text.alias("prompt"),
+    ).filter(F.col("prompt").isNotNull())
+
+
+def _with_history(rows: DataFrame, history: DataFrame) -> DataFrame:
+    return rows.join(
         history.select("employee", "week", F.col("weeks").alias("_n"), F.col("history").alias("_h")),
         ["employee", "week"],
         "left",
     )
+
+
+def _trend_text() -> Column:
+    """NULL without confirmed signals."""
+    own = F.filter("signals", lambda s: s.getField("kind") == "signal")
     text = F.concat(
+        F.lit("First name: "), "employee",
+        F.lit("\nSignals seen in two or more adjacent weeks:\n"),
+        F.to_json(own),
+        F.lit("\nAdd a short, supportive text as 'details' to each; answer with the JSON array."),
+    )
+    return F.when(F.size(own) > 0, text)
+
+
+def _risk_text(weeks: int) -> Column:
+    return F.concat(
         F.lit("First name: "), "employee",
         F.format_string("\nWeek: %d\nSignals:\n", "week"),
         F.to_json("signals"),
@@ -69,10 +101,6 @@ def risk_prompts(rows: DataFrame, history: DataFrame, weeks: int = C.HISTORY_DAY
         ).otherwise(F.lit("\nEarlier weeks: none\n")),
         F.lit("\nAnswer with a JSON object: score, classification, rationale."),
     )
-    return joined.select(
-        F.lit("risk").alias("kind"), "employee", "week",
-        pseudonym(F.col("employee"), "risk").alias("session_id"), text.alias("prompt"),
-    )
 
 
 def briefing_prompts(flagged: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from tidemark.functions.names import slug
 from tidemark.operators.risk import classify
 from tidemark.operators.timeline import densify, max_week_of
 from tidemark.schemas import SIGNAL_DDL
+from tidemark.session import scratch_dir
 
 AS_OF = dt.datetime(2024, 2, 5)
 
@@ -38,8 +39,26 @@ def _mean_cents(cents: Column, count: Column) -> Column:
     return F.when(count > 0, cents / 100.0 / count)
 
 
-def employee_weeks(spark: SparkSession, sf_dir: str, with_gaps: bool = False) -> DataFrame:
+def staged_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All employee weeks, derived once and kept in the shared folder.
+
+    Records, state, answers and the last week of a run are row-wise uses of it.
+    """
+    path = scratch_dir(spark, "employee-weeks")
+    employee_weeks(spark, sf_dir, keep_signups=True).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def employee_weeks(
+    spark: SparkSession,
+    sf_dir: str,
+    with_gaps: bool = False,
+    staged: DataFrame | None = None,
+    keep_signups: bool = False,
+) -> DataFrame:
     """EMPLOYEE_WEEK rows out of events; ``with_gaps`` keeps weeks with a signup only."""
+    if staged is not None:
+        return (staged.filter("signups > 0") if with_gaps else staged).drop("signups")
     kind = F.col("event_type")
     cents = F.floor(F.col("value") * 100 + 0.5)
     hour = F.hour("ts")
@@ -71,6 +90,7 @@ def employee_weeks(spark: SparkSession, sf_dir: str, with_gaps: bool = False) ->
         (100 - F.floor(_mean_cents(F.col("cents"), F.col("n")) / 3)).cast("int").alias("task_accuracy"),
         F.when(F.col("purchases") == 0, "Withdrawn").otherwise("Neutral").alias("sentiment"),
         F.concat(F.lit("week"), F.col("week").cast("string"), F.lit(".csv")).alias("source_file"),
+        *(["signups"] if keep_signups else []),
     )
 
 
@@ -91,13 +111,13 @@ def _named(*pairs: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in pairs]))
 
 
-def stored_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_evaluations(spark: SparkSession, sf_dir: str, staged: DataFrame | None = None) -> DataFrame:
     """A full EVALUATION table: one row per employee-week of the gap variant.
 
     Signals follow simple rules on the metrics, one name in them is outside the signal
     vocabulary, and every fifth row came from the default.
     """
-    rows = employee_weeks(spark, sf_dir, with_gaps=True)
+    rows = employee_weeks(spark, sf_dir, True, staged)
     user, week = user_number(F.col("employee")), F.col("week")
     score = spread_score(F.col("employee"), week)
     names = _named(
@@ -151,14 +171,14 @@ def stored_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def earlier_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def earlier_state(spark: SparkSession, sf_dir: str, staged: DataFrame | None = None) -> DataFrame:
     """State before a run: what was stored after week 2."""
-    return stored_evaluations(spark, sf_dir).filter(F.col("week") <= 2)
+    return stored_evaluations(spark, sf_dir, staged).filter(F.col("week") <= 2)
 
 
-def risk_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def risk_answers(spark: SparkSession, sf_dir: str, staged: DataFrame | None = None) -> DataFrame:
     """MODEL_RESPONSE rows of kind risk: plain, fenced, wrapped in prose, and broken."""
-    rows = employee_weeks(spark, sf_dir)
+    rows = employee_weeks(spark, sf_dir, staged=staged)
     user, week = user_number(F.col("employee")), F.col("week")
     score = spread_score(F.col("employee"), week)
     doc = F.concat(

@@ -629,14 +629,16 @@ def recent_history(spark, sf_dir):
     return state.filter(run.in_window(F.col("evaluated_at"), d.AS_OF)).select("employee", "week", "score")
 
 
-def _evaluated(spark, sf_dir):
+def _evaluated(spark, sf_dir, recompute_from=None):
+    weeks = d.staged_weeks(spark, sf_dir)
     return run.evaluate(
-        d.employee_weeks(spark, sf_dir, with_gaps=True),
-        d.max_week(spark, sf_dir),
-        d.earlier_state(spark, sf_dir),
-        d.risk_answers(spark, sf_dir),
+        d.employee_weeks(spark, sf_dir, True, weeks),
+        tl.max_week_of(weeks.select("week")),
+        d.earlier_state(spark, sf_dir, weeks),
+        d.risk_answers(spark, sf_dir, weeks),
         "main",
         d.AS_OF,
+        recompute_from=recompute_from,
     )
 
 
@@ -653,11 +655,7 @@ def evaluation_run(spark, sf_dir):
 @register("T3", "T2")
 def evaluation_run_recomputed(spark, sf_dir):
     """The same run where stored weeks from week 2 on are computed again."""
-    rows = run.evaluate(
-        d.employee_weeks(spark, sf_dir, with_gaps=True), d.max_week(spark, sf_dir),
-        d.earlier_state(spark, sf_dir), d.risk_answers(spark, sf_dir), "main", d.AS_OF,
-        recompute_from=2,
-    )
+    rows = _evaluated(spark, sf_dir, recompute_from=2)
     return rows.select("employee", "week", "score", "classification", "healthy_streak", "origin")
 
 
@@ -703,14 +701,14 @@ def history_summaries(spark, sf_dir):
 
 @register("X20", "G4", "X8", "D2", "J7")
 def model_prompts(spark, sf_dir):
-    state = d.stored_evaluations(spark, sf_dir)
-    detected = sig.signals_as_of(d.timeline(spark, sf_dir))
-    texts = (
-        prompts.trend_prompts(detected)
-        .unionByName(prompts.risk_prompts(detected, prompts.history_summary(state)))
-        .unionByName(prompts.briefing_prompts(state.filter(risk.is_flagged(F.col("classification")))))
-    )
-    answered = prompts.enrich(texts, d.risk_answers(spark, sf_dir))
+    weeks = d.staged_weeks(spark, sf_dir)
+    state = d.stored_evaluations(spark, sf_dir, weeks)
+    records = d.employee_weeks(spark, sf_dir, True, weeks)
+    detected = sig.signals_as_of(tl.densify(records, tl.max_week_of(weeks.select("week"))))
+    texts = prompts.detection_prompts(detected, prompts.history_summary(state)).unionByName(
+        prompts.briefing_prompts(state.filter(risk.is_flagged(F.col("classification"))))
+    )
+    answered = prompts.enrich(texts, d.risk_answers(spark, sf_dir, weeks))
     return answered.select(
         "kind", "employee", "week", "session_id",
         F.when(F.col("kind") == "briefing", F.col("prompt")).alias("briefing_prompt"),
