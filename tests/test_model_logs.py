@@ -57,7 +57,7 @@ def view(spark, tmp_path_factory):
         INFERENCE_LOG,
     )
     completions, observation = telemetry.read_completions(spark, str(folder))
-    result = comp.completions_view(logs, completions)
+    result = comp.completions_view(logs, completions, any_scheme=True)
     return spark, str(folder), result.collect(), observation, result
 
 
@@ -106,7 +106,7 @@ def test_plain_sql_gives_the_same(view):
              inp=f"file://{folder}/call{1 + i % 2}_in.jsonl", out=f"file://{folder}/call{1 + i % 2}_out.jsonl") for i in range(40)],
         INFERENCE_LOG)
     refs = comp.unpivot_refs(comp.log_refs(logs))
-    comp.flatten_parts(comp.join_messages(refs, completions)).createOrReplaceTempView("flattened")
+    comp.flatten_parts(comp.join_messages(refs, completions, any_scheme=True)).createOrReplaceTempView("flattened")
     expected = spark.sql("""
       WITH a AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, trace, span_id, message_type, role,
           message_idx, part_idx ORDER BY timestamp DESC, insert_id, messages_ref_uri) AS r FROM flattened),
@@ -114,7 +114,7 @@ def test_plain_sql_gives_the_same(view):
           message_type, role, message_idx, part_idx ORDER BY timestamp, insert_id, messages_ref_uri) ELSE 1 END AS x
         FROM a WHERE r = 1)
       SELECT * FROM b WHERE x = 1 AND NOT (message_type = 'input' AND role = 'assistant')""")
-    ours = comp.completions_view(logs, completions, ordered=False)
+    ours = comp.completions_view(logs, completions, ordered=False, any_scheme=True)
     assert rows(ours) == rows(expected, *comp.VIEW_COLUMNS) and ours.count() > 10
 
 

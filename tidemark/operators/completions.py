@@ -104,16 +104,21 @@ def latest_refs(refs: DataFrame) -> DataFrame:
     )
 
 
-def join_messages(refs: DataFrame, completions: DataFrame) -> DataFrame:
-    """References with the messages of their file.  ``completions`` has ``file_path``."""
+def join_messages(refs: DataFrame, completions: DataFrame, any_scheme: bool = False) -> DataFrame:
+    """References with the messages of their file.  ``completions`` has ``file_path``.
+
+    The whole URI must be equal; ``any_scheme`` compares bucket and path only, for files
+    that are read by another scheme than was logged.
+    """
+    key = file_key if any_scheme else (lambda uri: uri)
     messages = completions.select(
-        file_key(F.col("file_path")).alias("_file"),
+        key(F.col("file_path")).alias("_file"),
         "role",
         "parts",
         F.col("index").alias("message_idx"),
     )
     return (
-        refs.withColumn("_file", file_key(F.col("messages_ref_uri")))
+        refs.withColumn("_file", key(F.col("messages_ref_uri")))
         .join(messages, "_file")
         .drop("_file")
         .withColumn("api_call_id", api_call_id(F.col("messages_ref_uri")))
@@ -168,10 +173,10 @@ def without_echoes(parts: DataFrame) -> DataFrame:
     return parts.filter(~((F.col("message_type") == "input") & (F.col("role") == "assistant")))
 
 
-def completions_view(logs: DataFrame, completions: DataFrame, ordered: bool = True) -> DataFrame:
+def completions_view(logs: DataFrame, completions: DataFrame, ordered: bool = True, any_scheme: bool = False) -> DataFrame:
     """The joined, deduplicated view in its published column order."""
     refs = latest_refs(unpivot_refs(log_refs(logs)))
-    parts = flatten_parts(join_messages(refs, completions))
+    parts = flatten_parts(join_messages(refs, completions, any_scheme))
     rows = without_echoes(first_across_traces(latest_in_span(parts))).select(*VIEW_COLUMNS)
     return rows.orderBy(*[F.asc_nulls_first(c) for c in VIEW_ORDER]) if ordered else rows
 

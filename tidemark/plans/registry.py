@@ -668,7 +668,7 @@ def realtime_files(spark, sf_dir):
     weekly.append_rows(_metric_rows(spark, sf_dir), incoming)
     realtime.run(
         spark, incoming, store, state, checkpoint, d.risk_answers(spark, sf_dir),
-        as_of=d.AS_OF, max_files=40,
+        as_of=d.AS_OF, max_files=2,
     )
     return ev.read_state(spark, state, "realtime").select(
         "scope", "employee", "week", "score", "classification", "rationale", "healthy_streak", "origin",
@@ -733,7 +733,7 @@ def message_refs(spark, sf_dir):
 @register("J8", "G1", "X19")
 def message_parts(spark, sf_dir):
     refs = comp.unpivot_refs(comp.log_refs(d.inference_logs(spark, sf_dir)))
-    parts = comp.flatten_parts(comp.join_messages(refs, d.completions(spark, sf_dir)))
+    parts = comp.flatten_parts(comp.join_messages(refs, d.completions(spark, sf_dir), any_scheme=True))
     return parts.select(
         "insert_id", "message_type", "role", "message_idx", "part_idx", "part_type",
         F.length("content").alias("chars"), "data_md5_hex",
@@ -743,7 +743,7 @@ def message_parts(spark, sf_dir):
 @register("W4")
 def latest_part_in_span(spark, sf_dir):
     refs = comp.unpivot_refs(comp.log_refs(d.inference_logs(spark, sf_dir)))
-    parts = comp.flatten_parts(comp.join_messages(refs, d.completions(spark, sf_dir)))
+    parts = comp.flatten_parts(comp.join_messages(refs, d.completions(spark, sf_dir), any_scheme=True))
     return comp.latest_in_span(parts).select(
         "insert_id", "conversation_id", "trace", "message_type", "role", "message_idx", "part_idx"
     )
@@ -751,7 +751,7 @@ def latest_part_in_span(spark, sf_dir):
 
 @register("S17", "P20", "P21", "F8", "F9", "U2", "J8", "G1", "W4", "W5", "O6", "X17", "X19")
 def completions_view(spark, sf_dir):
-    view = comp.completions_view(d.inference_logs(spark, sf_dir), d.completions(spark, sf_dir))
+    view = comp.completions_view(d.inference_logs(spark, sf_dir), d.completions(spark, sf_dir), any_scheme=True)
     return comp.register_view(view).withColumn("timestamp", F.unix_seconds("timestamp"))
 
 

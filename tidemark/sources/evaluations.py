@@ -36,7 +36,8 @@ def upsert_state(spark: SparkSession, path: str, new: DataFrame) -> None:
     The update is computed once, into a staging table in the shared folder; the state
     it may have been computed from is read no more when its files are replaced.  Only the
     (scope, week) partitions that get rows are read and rewritten.  Their list is the
-    one thing the driver sees, as it is when it lists the folders they are.
+    one thing the driver sees, as it is when it lists the folders they are.  Writers
+    are rebalanced by size: a small week is one file, a large one as many as it needs.
     """
     staging = scratch_dir(spark, "update")
     new.select(*EVALUATION_COLUMNS).write.parquet(staging)
@@ -53,7 +54,7 @@ def upsert_state(spark: SparkSession, path: str, new: DataFrame) -> None:
         kept = read_state(spark, path).filter(hit).join(new.select(*KEY), KEY, "left_anti")
         new = new.unionByName(kept)
     (
-        new.repartition("scope", "week", F.pmod(F.hash("employee"), F.lit(_spread(spark))))
+        new.hint("rebalance", "scope", "week")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("scope", "week")
@@ -62,11 +63,6 @@ def upsert_state(spark: SparkSession, path: str, new: DataFrame) -> None:
     drop_dir(spark, staging)
 
 
-def _spread(spark: SparkSession) -> int:
-    """Files per (scope, week): a week is not written by a single task."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-
-
 def key_from_file(name: Column) -> tuple[Column, Column]:
     """(employee, week) of ``<name>_week<n>.json``; NULL for any other shape."""
     shape = r"^((?:(?!_week).)*)_week(-?\d+)\.json$"

@@ -349,14 +349,13 @@ def land_csv_text(pasted: DataFrame, folder: str) -> None:
     )
 
 
-def append_rows(rows: DataFrame, folder: str, files_per_week: int = 32) -> None:
+def append_rows(rows: DataFrame, folder: str) -> None:
     """Appends metric rows (any accepted spellings plus ``week``) to their week.
 
-    Rows of a week go to ``files_per_week`` files at most, each with its own header.
+    Files are sized by the data (adaptive rebalancing), each with its own header.
     """
-    part = F.pmod(F.hash(*[c for c in rows.columns if c != "week"]), F.lit(files_per_week))
     (
-        rows.repartition("week", part)
+        rows.hint("rebalance", "week")
         .write.mode("append")
         .option("header", "true")
         .option("escape", '"')
