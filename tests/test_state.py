@@ -197,3 +197,14 @@ def test_several_answers_need_an_order(spark):
         weekly_run.responses_per_week(frame).collect()
     ordered = frame.withColumn("seq", F.when(F.col("text") == "b", 2).otherwise(1))
     assert rows(weekly_run.responses_per_week(ordered), "risk_text", "trend_text") == [("b", None)]
+
+
+def test_failed_replacement_keeps_the_rows(spark, tmp_path):
+    path = tmp_path / "state"
+    ev.upsert_state(spark, str(path), spark.createDataFrame([evaluation("a", 1), evaluation("b", 1)], EVALUATION))
+    blocked = tmp_path / "file"
+    blocked.write_text("")
+    with pytest.raises(RuntimeError, match="whole in") as caught:
+        ev.upsert_state(spark, str(blocked), spark.createDataFrame([evaluation("a", 1, 9)], EVALUATION))
+    kept = str(caught.value).split("whole in ")[1]
+    assert rows(spark.read.schema(EVALUATION).parquet(kept), "employee", "score") == [("a", 9)]

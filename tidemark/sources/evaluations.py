@@ -33,8 +33,9 @@ def read_state(spark: SparkSession, path: str, scope: str | None = None) -> Data
 def upsert_state(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Replaces or adds evaluations by (scope, employee, week).
 
-    The update is computed once, into a staging table in the shared folder; the state
-    it may have been computed from is read no more when its files are replaced.  Only the
+    The update is computed once, into a staging table in the shared folder, and merged
+    there with what is kept; the state is read no more when its files are replaced, and
+    a failed replacement leaves the merged rows and says where.  Only the
     (scope, week) partitions that get rows are read and rewritten.  Their list is the
     one thing the driver sees, as it is when it lists the folders they are.  Writers
     are rebalanced by size: a small week is one file, a large one as many as it needs.
@@ -52,14 +53,20 @@ def upsert_state(spark: SparkSession, path: str, new: DataFrame) -> None:
             weeks = [r.week for r in touched if r.scope == scope]
             hit = hit | ((F.col("scope") == scope) & F.col("week").isin(weeks))
         kept = read_state(spark, path).filter(hit).join(new.select(*KEY), KEY, "left_anti")
-        new = new.unionByName(kept)
-    (
-        new.hint("rebalance", "scope", "week")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("scope", "week")
-        .parquet(path)
-    )
+        merged = scratch_dir(spark, "merged")
+        new.unionByName(kept).write.parquet(merged)
+        drop_dir(spark, staging)
+        new, staging = spark.read.schema(EVALUATION).parquet(merged), merged
+    try:
+        (
+            new.hint("rebalance", "scope", "week")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("scope", "week")
+            .parquet(path)
+        )
+    except Exception as error:
+        raise RuntimeError(f"state not replaced; its touched partitions are whole in {staging}") from error
     drop_dir(spark, staging)
 
 
