@@ -148,6 +148,26 @@ def test_katz_matches_brute_force(docs, corpus):
             assert a == pytest.approx(b, rel=1e-6, abs=1e-6)
 
 
+def test_one_odd_count_of_counts_changes_no_method():
+    # Counts of counts of the pairs of sf0.1, sf0.01 and sf0.001, then of the words: n5 stands out in all.
+    pairs = [1579638, 246704, 51653, 21705, 18939, 7580], [193655, 25105, 6496, 2179, 2497, 618], [45315, 4880, 1537, 331, 336, 86]
+    words = [207344, 59772, 25017, 14274, 13493, 7080], [49663, 12919, 5197, 2729, 2383, 1067], [16698, 3601, 1290, 594, 471, 213]
+    for n in pairs + words:
+        d, take = katz.discounts(n), n[0] / (n[0] + 2 * n[1])
+        assert 0 < d[0] and d == sorted(d) and d[-1] < 1
+        assert d != pytest.approx([(r - take) / r for r in range(1, 6)])
+    # Along a straight line they are the Good-Turing ratios of the line.
+    line = [1e6 * r**-3.0 for r in range(1, 7)]
+    common = 6 * line[5] / line[0]
+    ratios = [(r + 1) * line[r] / (r * line[r - 1]) for r in range(1, 6)]
+    assert katz.discounts(line) == pytest.approx([(x - common) / (1 - common) for x in ratios])
+
+
+def test_discounts_without_a_falling_line(caplog):
+    assert katz.discounts([4, 4, 4, 4, 4, 4]) == pytest.approx([1 - 1 / 3 / r for r in range(1, 6)]) and "absolute" in caplog.text
+    assert all(0 < x < 1 for n in ([0] * 6, [7, 0, 0, 0, 0, 0], [0, 0, 3, 0, 0, 1], [1, 0, 0, 0, 0, 9]) for x in katz.discounts(n))
+
+
 def test_katz_without_training_text(docs):
     got = katz.score(docs([(1, "a b")]), F.lit(False)).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got] == [(3, 0, 0, 0.0, 0.0)]

@@ -11,8 +11,11 @@ seen and N tokens:
 
 The first word of a text has a start mark as its history.  The "+ 1" is one pseudo event
 of every history (and of the corpus), so that mass is left even where every count is
-above the discounted ones (r > 5).  Discounts are Good-Turing's; where the counts of
-counts don't give discounts between 0 and 1, absolute ones (n1 / (n1 + 2 n2)) are used.
+above the discounted ones (r > 5).  Discounts are Good-Turing's over smoothed counts of
+counts (Simple Good-Turing: a log-linear fit over n1..n6), so one odd count of counts changes
+no method.  Only where the fit falls no faster than 1/r (a closed vocabulary seen often, or
+hardly any text) it gives no discounts between 0 and 1; absolute ones (n1 / (n1 + 2 n2)) are
+used then, and a warning is logged.
 
 How it runs.  Texts are read twice.  A task gathers some million tokens as a block and sends
 each bucket one compressed row: distinct words or pairs, with the documents that have
@@ -32,6 +35,7 @@ counted and scored by itself, whatever ids it shares or lacks; without training
 probability 1; an empty table gives an empty result.
 """
 
+import logging
 import math
 import pickle
 import zlib
@@ -47,6 +51,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import release, shuffle_partitions, stored
 
+_LOG = logging.getLogger(__name__)
+
 END, START = b" ", b"  "
 CUT = 5  # counts above it are not discounted
 BLOCK_TOKENS = 1_500_000
@@ -244,14 +250,26 @@ def _word_counts(documents: DataFrame, learn: Column, grid: tuple[int, int], buc
     return stored(blocks.groupBy("bucket").applyInPandas(run, _OUT), "word-counts", "kind")
 
 
+def slope(n: list[int]) -> float | None:
+    """b of the log-linear fit log Z(r) = a + b log r; None where fewer than two counts of counts are known.
+
+    Z(r) spreads n(r) over the unseen counts around r (Simple Good-Turing).
+    """
+    there = [r for r, count in enumerate(n, 1) if count]
+    if len(there) < 2:
+        return None
+    z = [n[r - 1] / (0.5 * (t - q)) for q, r, t in zip([0, *there], there, [*there[1:], 2 * there[-1] - there[-2]])]
+    return float(np.polyfit(np.log(there), np.log(z), 1)[0])
+
+
 def discounts(n: list[int]) -> list[float]:
     """d(1)..d(CUT) from the counts of counts n1..n(CUT + 1)."""
-    if all(n[: CUT + 1]):
-        common = (CUT + 1) * n[CUT] / n[0]
-        if common < 1:
-            d = [((r + 1) * n[r] / (r * n[r - 1]) - common) / (1 - common) for r in range(1, CUT + 1)]
-            if all(0 < x < 1 for x in d):
-                return d
+    b = slope(n)
+    if b is not None and b < -1:  # then 0 < d(r) < 1 for every r
+        common = (CUT + 1) ** (b + 1)
+        return [(((r + 1) / r) ** (b + 1) - common) / (1 - common) for r in range(1, CUT + 1)]
+    if any(n):
+        _LOG.warning("counts of counts %s don't fall faster than 1/r: absolute discounts", n)
     take = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
     return [(r - take) / r for r in range(1, CUT + 1)]
 
