@@ -87,6 +87,19 @@ def test_members_apart_are_compared_in_small_blocks(docs, monkeypatch):
     assert got == {1: 1, 4: 1, 5: 1, 2: 2, 3: 2}
 
 
+def test_near_dedup_with_other_words_and_percent(spark, docs):
+    import corpus_pipeline
+
+    own = [f"u{k}" for k in range(124)]  # 120 five-word shingles
+    rows = [(1, " ".join(own)), (2, " ".join(own + [f"v{k}" for k in range(30)])), (3, " ".join(own + [f"v{k}" for k in range(31)]))]
+    rows += [(4, " ".join(f"x{k}" for k in range(104))), (5, " ".join(f"x{k}" for k in range(104 + 26)))]  # 100 of 126
+    # 120 of 150 is 0.80 and links, 120 of 151 doesn't by itself; 2 and 3 do.
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(rows[:2]), "").collect()} == {1}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs([rows[0], *rows[2:]]), "").collect()} == {1, 3, 4, 5}
+    assert {r["doc_id"] for r in sketch_dedup.keep(docs(rows[:2])).collect()} == {1, 2}
+    assert (sketch_dedup.bands(85), sketch_dedup.bands(80), sketch_dedup.bands(100)) == (26, 38, 1)
+
+
 def test_null_ids_link_with_nothing(docs):
     text = prose(50, 9)
     got = sketch_dedup.classes(docs([(None, text), (4, text), (None, None)])).collect()

@@ -7,8 +7,9 @@ stop when all are (a later round can't change a filled one).  Two sketches agree
 coordinate with the probability of the Jaccard similarity, with concentration as good as
 independent hashing, in O(n + BINS log BINS) expected time.
 
-Banding: ``BANDS`` keys of ``ROWS`` coordinates.  At similarity 0.85 a link is missed with
-probability (1 - 0.85^5)^26 < 4e-7.
+Banding: keys of ``ROWS`` coordinates, as many as keep the probability of missing a link at
+the threshold below ``MISS``: 26 at similarity 0.85, where it is (1 - 0.85^5)^26 < 4e-7, and
+38 at 0.80.
 
 Verification: documents with equal shingle sets are one class.  In a bucket all classes
 are checked against its leader, the class that meets most others over all bands (the
@@ -27,6 +28,7 @@ read.
 """
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -39,13 +41,23 @@ from tidemark.llm.components import components
 
 WORDS = 3
 PERCENT = 85
-BANDS = 26
 ROWS = 5
+MISS = 4e-7
 BLOCK = 1024
 _MEMO = 300_000
 _LOW = np.uint64((1 << 48) - 1)
 
 
+def bands(percent: int) -> int:
+    """Bands of ROWS coordinates that miss a link at the threshold with a probability below MISS."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    return 1 if percent == 100 else math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+BANDS = bands(PERCENT)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -110,11 +122,11 @@ def _set_id(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def sketches(documents: DataFrame) -> DataFrame:
+def sketches(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, fp (hash of the text), n_shingles, set_id, bands of every row."""
 
     def run(batches):
-        shingles, sketcher = Shingles(), Sketcher()
+        shingles, sketcher = Shingles(words), Sketcher(bands(percent))
         for frame in batches:
             sets = [shingles(t.encode()) for t in frame["text"]]
             yield pd.DataFrame(
@@ -133,7 +145,7 @@ def sketches(documents: DataFrame) -> DataFrame:
     )
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b), whether their full sets are linked, and b relative to a: the places of
     a's shingles that b has (bits) and b's other shingles (extras)."""
     # Many pairs share a leader a: their rows arrive sorted by a, whose set is kept.
@@ -144,7 +156,7 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
     def run(batches):
-        shingles, last, known = Shingles(), None, None
+        shingles, last, known = Shingles(words), None, None
         for frame in batches:
             linked, bits, extras, sizes = [], [], [], []
             for a, text_a, text_b in zip(frame["a"], frame["text_a"], frame["text_b"]):
@@ -153,7 +165,7 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 other = shingles(text_b.encode())
                 there = np.isin(known, other, assume_unique=True)
                 both = int(there.sum())
-                linked.append(_similar(both, len(known), len(other)))
+                linked.append(_similar(both, len(known), len(other), percent))
                 sizes.append(len(other))
                 bits.append(np.packbits(there).tobytes())
                 extras.append(np.setdiff1d(other, known, assume_unique=True).tobytes())
@@ -162,11 +174,11 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInPandas(run, "a binary, b binary, linked boolean, n long, bits binary, extras binary")
 
 
-def _similar(both, n, m):
-    return 100 * both >= PERCENT * (n + m - both)
+def _similar(both, n, m, percent):
+    return 100 * both >= percent * (n + m - both)
 
 
-def _links_between(odd: pd.DataFrame, every: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+def _links_between(odd: pd.DataFrame, every: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
     """Linked pairs of two blocks of one leader's members in different components."""
     shared = np.zeros((len(odd), len(every)), dtype=np.float32)
     x, y = (np.unpackbits(np.frombuffer(b"".join(f["bits"]), np.uint8).reshape(len(f), -1), axis=1).astype(np.float32) for f in (odd, every))
@@ -183,12 +195,12 @@ def _links_between(odd: pd.DataFrame, every: pd.DataFrame) -> list[tuple[bytes,
             grids.append(grid)
         shared += grids[0] @ grids[1].T
     n, m = odd["n"].to_numpy(), every["n"].to_numpy()
-    good = _similar(np.rint(shared).astype(np.int64), n[:, None], m[None, :])
+    good = _similar(np.rint(shared).astype(np.int64), n[:, None], m[None, :], percent)
     good &= odd["component"].to_numpy()[:, None] != every["component"].to_numpy()[None, :]
     return [(odd["b"].iat[i], every["b"].iat[j]) for i, j in zip(*np.nonzero(good))]
 
 
-def _links_apart(members: DataFrame, found: DataFrame) -> DataFrame:
+def _links_apart(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Links between members of one leader that are in different components, in blocks of BLOCK x BLOCK."""
     placed = members.join(found.select(F.col("v").alias("b"), "component"), "b", "left").withColumn(
         "component", F.coalesce("component", "b")
@@ -218,7 +230,7 @@ def _links_apart(members: DataFrame, found: DataFrame) -> DataFrame:
         def out(group: pd.DataFrame):
             first = ~group["odd"].to_numpy(dtype=bool)
             every, odd = group[first], group[~first]
-            return _links_between(odd, every) if len(odd) and len(every) else []
+            return _links_between(odd, every, percent) if len(odd) and len(every) else []
 
         held = None
         for frame in batches:
@@ -235,10 +247,14 @@ def _links_apart(members: DataFrame, found: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "a binary, b binary")
 
 
-def classes(documents: DataFrame) -> DataFrame:
-    """doc_id, fp, n_shingles, component_id, kept of every row of ``documents``."""
+def classes(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, fp, n_shingles, component_id, kept of every row of ``documents``.
+
+    Documents are linked if their sets of ``words``-word shingles have a Jaccard similarity of
+    ``percent`` / 100 or more.
+    """
     spark = documents.sparkSession
-    rows = stored(sketches(documents), "sketches")
+    rows = stored(sketches(documents, words, percent), "sketches")
     sets = (
         rows.where("set_id is not null and doc_id is not null")
         .groupBy("set_id")
@@ -270,10 +286,10 @@ def classes(documents: DataFrame) -> DataFrame:
         "texts",
     )
     release(spark)
-    compared = stored(_compared(pairs, texts), "compared")
+    compared = stored(_compared(pairs, texts, words, percent), "compared")
     first = compared.where("linked").select("a", "b")
     found = stored(components(first), "components")
-    second = stored(_links_apart(compared, found), "links")
+    second = stored(_links_apart(compared, found, percent), "links")
     if not second.isEmpty():
         found = stored(components(first.union(second)), "components")
 
@@ -292,9 +308,9 @@ def classes(documents: DataFrame) -> DataFrame:
     )
 
 
-def keep(documents: DataFrame) -> DataFrame:
+def keep(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each class, with its own columns."""
-    removed = classes(documents).where("not kept").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
+    removed = classes(documents, words, percent).where("not kept").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
     return documents.join(
         removed,
         (documents["doc_id"] == F.col("_id")) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col("_fp")),
