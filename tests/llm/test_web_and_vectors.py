@@ -30,6 +30,14 @@ def test_semantic_page():
     assert style_tree.Extractor({})(page) == "T & x\nOne two three link end\nSecond it\na\nb"
 
 
+def test_all_main_elements_that_are_not_hidden():
+    text = style_tree.Extractor({})
+    body = "<div itemprop=articleBody><p>{}</div>"
+    assert text(f"<body>{body.format('One')}<div class=ad>Buy</div>{body.format('Two')}") == "One\nTwo"
+    assert text("<main hidden><p>Draft<article>Old</article></main><main><p>Now<div role=main>in it</div></main><main><p>Too</main>") == "Now\nin it\nToo"
+    assert text("<div hidden><main>Draft</main></div><article style='display: none'>Old</article><article>New</article>") == "New"
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<", "<p", "a < b", "<div " * 50, "<b>" * 5000 + "x", "<!-- x", '<a href="x', "</p></div>"])
 def test_odd_pages_dont_crash(page):
     assert isinstance(style_tree.Extractor({})(page), str)

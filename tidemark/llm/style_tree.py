@@ -16,7 +16,7 @@ below ``LOW``; inside an article element only below ``FIXED`` (the same words ne
 everywhere).  Elements whose tag, role
 or class says that they are menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or comments go by that, on any page; a page with article or main
-elements yields what is in them.
+elements yields what is in all of them that are not hidden.
 
 How it runs: pages are parsed by the tasks that read them, which emit one row for each
 (host, node, style or content, page content); those are counted by hash aggregation, so a host
@@ -83,10 +83,10 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Node:
-    __slots__ = ("tag", "name", "noise", "main", "children", "path", "score")
+    __slots__ = ("tag", "name", "noise", "main", "hidden", "children", "path", "score")
 
-    def __init__(self, tag: str, name: str, noise: bool, main: bool):
-        self.tag, self.name, self.noise, self.main = tag, name, noise, main
+    def __init__(self, tag: str, name: str, noise: bool, main: bool, hidden: bool = False):
+        self.tag, self.name, self.noise, self.main, self.hidden = tag, name, noise, main, hidden
         self.children: list = []  # nodes and texts
         self.path, self.score = 0, None
 
@@ -98,11 +98,13 @@ def _node(tag: str, attributes: str) -> Node:
     kind, role = found.get("class", ""), found.get("role", "").lower()
     noise = tag in _NOISE_TAGS or role in _NOISE_ROLES
     main = tag in ("article", "main") or role == "main" or found.get("itemprop") == "articleBody"
-    if found and tag not in ("html", "body", "main", "article"):
-        noise = noise or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    hidden = False
+    if found and tag not in ("html", "body"):
+        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        noise = noise or hidden
     if (kind or "id" in found) and tag not in ("html", "body", "main"):
         noise = noise or any(w.lower() in _NOISE_NAMES for w in _NAME.findall(f"{kind} {found.get('id', '')}"))
-    return Node(tag, f"{tag}.{kind}" if kind else tag, noise, main and not noise)
+    return Node(tag, f"{tag}.{kind}" if kind else tag, noise, main and not noise, hidden)
 
 
 def parse(page: str) -> Node:
@@ -185,6 +187,23 @@ def _parts(node: Node) -> list:
     return parts
 
 
+def _mains(root: Node) -> list[Node]:
+    """Outermost article elements, else outermost main elements; none of what is hidden."""
+    found: dict[str, list[Node]] = {"article": [], "main": []}
+    left: list[tuple[Node, frozenset]] = [(root, frozenset())]
+    while left:
+        node, within = left.pop()
+        if node.hidden or (node.noise and node.tag in _NOISE_TAGS):
+            continue
+        if node.main:
+            kind = "article" if node.tag == "article" else "main"
+            if kind not in within:
+                found[kind].append(node)
+            within |= {kind}
+        left.extend((c, within) for c in reversed(node.children) if not isinstance(c, str) and not (c.noise and node.main))
+    return found["article"] or found["main"]
+
+
 def _hash(text: str, seed: int = 0) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(text, seed=seed & 0xFFFFFFFFFFFFFFFF))))
 
@@ -254,7 +273,7 @@ class Extractor:
     def __call__(self, page: str) -> str:
         root = parse(page)
         root.path = _hash("#root")
-        mains = self._mains(root)
+        mains = _mains(root)
         for node in mains:  # what holds an article is no notice, whatever its class
             node.main = True
         out: list[str] = []
@@ -263,23 +282,6 @@ class Extractor:
             self._collect(node, bool(mains), out)
         return "\n".join(out)
 
-    def _mains(self, root: Node) -> list[Node]:
-        """Outermost article elements, else main elements."""
-        found: dict[str, list[Node]] = {"article": [], "main": []}
-        left = [(root, False)]
-        while left:
-            node, inside = left.pop()
-            if node.noise and node.tag in _NOISE_TAGS:
-                continue
-            kind = None
-            if node.main:
-                kind = "article" if node.tag == "article" else "main"
-                if not (inside and kind == "article"):
-                    found[kind].append(node)
-            within = inside or kind == "article"
-            left.extend((c, within) for c in reversed(node.children) if not isinstance(c, str) and not (c.noise and node.main))
-        return found["article"] or found["main"][:1]
-
     def _collect(self, node: Node, inside: bool, out: list[str]) -> None:
         for part in _parts(node):
             if isinstance(part, list):
