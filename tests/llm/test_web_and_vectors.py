@@ -61,6 +61,26 @@ def test_site_style_tree_removes_what_pages_share(spark, limit):
     assert got[51].startswith("Home\nAbout us\n") and got[60].startswith("Home")  # nothing to compare with
 
 
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_copies_of_an_article_keep_their_text(spark, limit):
+    long = [f"Part {k} of the long story." for k in range(20)]
+
+    def page(host, k, blocks):
+        shown = f"<nav>Menu {k}</nav><div class=k{k}>Ad {k}</div><script>{k}</script><article>" + "".join(f"<p>{b}</p>" for b in blocks)
+        return k, f"http://{host}.example/{k}", f"<body>{shown}</article>", None, None
+
+    same = [page("one", k, long) for k in range(12)]
+    near = [page("near", 100 + k, [*long[:k], f"Corrected {k}.", *long[k + 1 :]]) for k in range(12)]
+    few = [page("few", 200 + k, long) for k in range(30)] + [page("few", 300 + k, [f"Only {k}."]) for k in range(2)]
+    fixed = [page("fixed", 400 + k, [f"News {k}.", "Write to the editor.", f"More {k}."]) for k in range(12)]
+    rows = same + near + few + fixed
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(spark.createDataFrame(rows, PAGES), limit).collect()}
+    assert all(got[k] == "\n".join(long) for k in [*range(12), *range(200, 230)])
+    assert all(got[100 + k] == "\n".join([*long[:k], f"Corrected {k}.", *long[k + 1 :]]) for k in range(12))
+    assert got[300] == "Only 0." and got[301] == "Only 1."
+    assert all(got[400 + k] == f"News {k}.\nMore {k}." for k in range(12))
+
+
 def test_article_text_of_the_driver_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = {}

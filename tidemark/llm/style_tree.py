@@ -12,15 +12,17 @@ and l styles of shares p_i:
 
 Menus and notices look and read alike on every page and score near 0, articles near 1.
 A branch seen on ``MIN_PAGES`` pages or more is removed if it and all branches in it are
-below ``LOW``; inside an article element only below ``FIXED`` (the same words nearly
-everywhere).  Elements whose tag, role
+below ``LOW``.  Inside an article or main element each text is judged by itself: it goes if it
+is found there beside ``MIN_PAGES`` different texts or more and its own importance, by the
+number of these, is below ``FIXED`` (the same words in nearly all articles).  Pages with the
+same main text are one page.  Elements whose tag, role
 or class says that they are menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or comments go by that, on any page; a page with article or main
 elements yields what is in all of them that are not hidden.
 
 How it runs: pages are parsed by the tasks that read them, which emit one row for each
-(host, node, style or content, page content); those are counted by hash aggregation, so a host
-with a third of all pages is spread over the cluster and exact copies of a page count once.
+(host, node, style or content, main text); those are counted by hash aggregation, so a host
+with a third of all pages is spread over the cluster and copies of a text count once.
 The tree (a row for each host and node) is broadcast while it has at most
 ``MAX_BROADCAST`` rows; beyond that the nodes of each distinct page join the tree on (host,
 node), with ``SALTS`` copies of the tree so that a node of every page of a large host is
@@ -208,14 +210,26 @@ def _hash(text: str, seed: int = 0) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(text, seed=seed & 0xFFFFFFFFFFFFFFFF))))
 
 
-def observations(page: str) -> set[tuple[int, str, int]]:
-    """(node, "style" or "content", hash) of one page."""
-    seen: dict[tuple[int, str], set[int]] = {}
+STYLE, CONTENT, INSIDE = 1, 0, 2
+
+
+def observations(page: str) -> set[tuple[int, int, int, int]]:
+    """(node, kind, hash, page) of one page.
+
+    ``page`` stands for the page's main text (its set of blocks), so copies of it count once
+    whatever surrounds it.  A text inside the main elements (INSIDE; its hash is one of path
+    and text) has one of the main blocks beside it there, that of the least hash: copies of an
+    article that differ in a few blocks mostly have the same.
+    """
+    styles: dict[int, set[str]] = {}
+    contents: list[tuple[int, int, str, bool]] = []
+    blocks: dict[bool, set[int]] = {True: set(), False: set()}  # of the main elements, of the rest
     root = parse(page)
     root.path = _hash("#root")
-    left = [root]
+    mains = {id(node) for node in _mains(root)}
+    left = [(root, id(root) in mains, False)]
     while left:
-        node = left.pop()
+        node, inside, noise = left.pop()
         parts, names = _parts(node), []
         for part in parts:
             if isinstance(part, list):
@@ -223,25 +237,37 @@ def observations(page: str) -> set[tuple[int, str, int]]:
                 if not text:
                     continue
                 name, path = "#text", _hash("#text", node.path)
-                seen.setdefault((path, "content"), set()).add(_hash(text))
+                what = _hash(text)
+                contents.append((path, what, text, inside and not noise))
+                if not noise:
+                    blocks[inside].add(what)
             else:
                 if part.tag in _RAW or part.tag == "head":
                     continue
                 name = part.name
                 part.path = _hash(name, node.path)
-                left.append(part)
+                if id(part) in mains:
+                    left.append((part, True, False))
+                else:
+                    left.append((part, inside, noise or part.noise or (inside and part.tag == "header")))
             if not names or names[-1] != name:
                 names.append(name)
-        seen.setdefault((node.path, "style"), set()).add(_hash(" ".join(names)))
+        styles.setdefault(node.path, set()).add(" ".join(names))
+    main = blocks[bool(mains)]
+    digest, least = _hash(str(sorted(main))), [*sorted(main)[:2], 0, 0]
     # One style a page: elements at the same path are taken together.
-    out = {(p, k, x) for (p, k), xs in seen.items() if k == "content" for x in xs}
-    texts = {p for (p, k) in seen if k == "content"}
-    out |= {(p, "style", _hash("shown")) for p in texts}
-    return out | {(p, k, _hash(str(sorted(xs)))) for (p, k), xs in seen.items() if k == "style"}
+    out = {(p, STYLE, _hash(str(sorted(map(_hash, xs)))), digest) for p, xs in styles.items()}
+    for path, what, text, inside in contents:
+        out.add((path, STYLE, _hash("shown"), digest))
+        out.add((path, INSIDE, _hash(text, path), least[what == least[0]]) if inside else (path, CONTENT, what, digest))
+    return out
 
 
 class Extractor:
-    """Text of a page, given the nodes of its host: path -> (pages, styles, presentation, content)."""
+    """Text of a page, given the nodes of its host: path -> (pages, styles, presentation, content).
+
+    A text that is fixed within the articles of the host is a key as well (hash of path and text).
+    """
 
     def __init__(self, tree: dict[int, tuple[int, int, float, float]]):
         self.tree = tree
@@ -286,14 +312,15 @@ class Extractor:
         for part in _parts(node):
             if isinstance(part, list):
                 text = _text(part)
-                if text and not self._low(_hash("#text", node.path), None, inside):
+                path = _hash("#text", node.path)
+                if text and not (_hash(text, path) in self.tree if inside else self._low(path, None)):
                     out.append(text)
             elif part.noise:
                 continue
             elif part.tag == "header":
                 if inside:
                     self._headings(part, out)
-            elif not self._low(part.path, part, inside):
+            elif inside or not self._low(part.path, part):
                 self._collect(part, inside, out)
 
     def _headings(self, node: Node, out: list[str]) -> None:
@@ -306,12 +333,12 @@ class Extractor:
                 else:
                     self._headings(child, out)
 
-    def _low(self, path: int, node: Node | None, inside: bool) -> bool:
+    def _low(self, path: int, node: Node | None) -> bool:
         pages, _, _, content = self.tree.get(path, (1, 1, 1.0, 1.0))
         if pages < MIN_PAGES:
             return False
         highest = (content, content) if node is None else node.score
-        return highest is not None and highest[1] < (FIXED if inside else LOW)
+        return highest is not None and highest[1] < LOW
 
 
 def _host(url):
@@ -319,24 +346,25 @@ def _host(url):
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, node, pages, styles, presentation, content: one row for each node of each host."""
+    """host, node, pages, styles, presentation, content: one row for each node and each fixed text of a host."""
 
     def run(batches):
         for frame in batches:
             out = []
             for host, page in zip(frame["host"], frame["html"]):
-                digest = _hash(page)
-                out += [(host, p, k == "style", x, digest) for p, k, x in observations(page)]
-            yield pd.DataFrame(out, columns=["host", "node", "style", "what", "page"])
+                out += [(host, *x) for x in observations(page)]
+            yield pd.DataFrame(out, columns=["host", "node", "kind", "what", "page"])
 
     seen = (
         pages.select(_host(F.col("url")).alias("host"), "html")
         .where("host <> '' and html is not null")
-        .mapInPandas(run, "host string, node long, style boolean, what long, page long")
+        .mapInPandas(run, "host string, node long, kind int, what long, page long")
     )
-    counted = seen.distinct().groupBy("host", "node", "style", "what").agg(F.count("*").cast("double").alias("n"))
-    style = F.col("style")
-    return (
+    style = F.col("kind") == STYLE
+    # A page counts once: copies of its text that look different at a node have one style there.
+    once = seen.groupBy("host", "node", "kind", "page", F.when(~style, F.col("what")).alias("text")).agg(F.min("what").alias("what"))
+    counted = stored(once.groupBy("host", "node", "kind", "what").agg(F.count("*").cast("double").alias("n")), "style-counts")
+    nodes = (
         counted.groupBy("host", "node")
         .agg(
             F.sum(F.when(style, F.col("n"))).alias("m"),
@@ -354,6 +382,14 @@ def style_tree(pages: DataFrame) -> DataFrame:
             F.when((F.col("m") > 1) & (F.col("contents") > 0), 1 - F.col("nc") / F.col("contents") / F.ln("m")).otherwise(1.0).alias("content"),
         )
     )
+    fixed = (
+        counted.where((F.col("kind") == INSIDE) & (F.col("n") >= MIN_PAGES))
+        .join(nodes, ["host", "node"])
+        .withColumn("content", 1 - F.ln("n") / F.ln("pages"))
+        .where(F.col("content") < FIXED)
+        .select("host", F.col("what").alias("node"), "pages", "styles", "presentation", "content")
+    )
+    return nodes.union(fixed)
 
 
 def extract(pages: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -384,7 +420,7 @@ def extract(pages: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
             out = [
                 (host, page, node)
                 for host, page, text in zip(frame["host"], frame["page"], frame["html"])
-                for node in {n for n, _, _ in observations(text)}
+                for node in {x for n, kind, what, _ in observations(text) for x in ((n, what) if kind == INSIDE else (n,))}
             ]
             yield pd.DataFrame(out, columns=["host", "page", "node"])
 
