@@ -4,10 +4,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_tree, katz, multi_index, poisson_mix, quality_fm, rules, sketch_dedup, style_tree, tool_links, warc
+from tidemark.llm import (
+    bpe_tree,
+    katz,
+    multi_index,
+    periodic_runs,
+    poisson_mix,
+    prefix_trie,
+    quality_fm,
+    rules,
+    sketch_dedup,
+    style_tree,
+    token_files,
+    tool_links,
+    warc,
+)
 from tidemark.llm.common import held_out, shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 
 QUERIES = {}
 ORACLES = {}
@@ -213,6 +228,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.mix(documents, poisson_mix.tempered_weights(documents), marks=True).drop("place")
 
 
+@register("op11_prefix_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefixes(table(spark, sf_dir, "conversations"))
+
+
+@register("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"), repeat=True)
+
+
+@register("op13_token_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), END_ID)
+    return token_files.read(spark, folder)
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
