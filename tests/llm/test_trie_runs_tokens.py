@@ -216,9 +216,12 @@ def test_no_token_files(spark, docs, tmp_path):
 
 
 def test_long_texts_are_cut_where_the_pre_tokenizer_cuts(monkeypatch):
-    monkeypatch.setattr(token_files, "SLICE", 20)
-    encoder = token_files.Encoder.get(TOKENIZER)
+    monkeypatch.setattr(token_files, "SLICE", 500)
+    monkeypatch.setattr(token_files, "KNOWN", 200)
+    encoder = token_files.Encoder(TOKENIZER)
     r = random.Random(9)
-    texts = ["".join(r.choice("ab1 .,'s\n\t日é  ") for _ in range(r.randint(0, 300))) for _ in range(200)]
+    signs = ["ab1 .,'s\n\t日é  ", "aB'slltve !?-\r\n ", "aé²3½\u0301ж\x1c\x85\xa0\u2028 .", " \n\t\r\x0b\x0c\x00a'"]
+    texts = ["".join(r.choice(signs[k % 4]) for _ in range(r.randint(0, 300))) for k in range(2000)]
     for text, ids in zip(texts, encoder.encode(texts)):
         assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) <= 200

@@ -18,8 +18,10 @@ task that runs again writes the same bytes under the same name.  The manifest is
 last by Spark's own writer.  The start of a file in the whole sequence is a running sum over
 the manifest.  Readers open only files the manifest lists.
 
-Texts go to the tokenizer in slices of some hundred kilobytes.  A long text is cut only
-before a single blank between two word characters, where the pre-tokenizer always cuts too.
+A text is cut into chunks where the pre-tokenizer always cuts too: before white space that
+follows another character (none of its tokens has white space but at its start or all through)
+and between letters and an ASCII character that is none.  The tokenizers library encodes each
+distinct chunk, a worker remembers a bounded number of them, and the ids are put together.
 Strings that look like special tokens are ordinary text.
 
 Defined cases: null is the empty text (its only id is the end id); rows with a null doc_id
@@ -28,6 +30,7 @@ all have entries of their own; an empty table gives an empty manifest.
 """
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -45,9 +48,14 @@ from tidemark.llm.warc import _filesystem
 MAGIC = b"TDMKTOK1"
 SAMPLE = 256  # set bits from one directory entry to the next
 FILE_TOKENS = 1 << 25
-SLICE = 1 << 18  # characters given to the tokenizer at once
+SLICE = 1 << 20  # characters of texts encoded together
+KNOWN = 1 << 20  # chunks a worker remembers
+KNOWN_CHARS = 64  # longer ones are not remembered
+KNOWN_BATCH = 1 << 12
 READ_TOKENS = 1 << 20
-_CUT = re.compile(r"(?<=\w) (?=\w)")
+_CHUNKS = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\x00-@\[-`{-\x7f])|\s*\S+|\s+$")
+_LINE = re.compile(r" ?\S+").fullmatch
+_RARE = re.compile(r"[^\S \t\n\r]")  # the two libraries may differ on what is white space here
 _CHUNK = 1 << 16  # numbers packed at once, a multiple of 8
 _COUNTS = np.array([bin(b).count("1") for b in range(256)], dtype=np.int64)
 
@@ -119,29 +127,33 @@ class EliasFano:
         return ((place - k) << self.width) | int(self._low(k, k + 1)[0])
 
 
-def _slices(text: str):
-    """The text in pieces that are pre-tokenized alike alone and together."""
-    start = 0
-    while len(text) - start > SLICE:
-        cut = _CUT.search(text, start + SLICE)
-        if not cut:
-            break
-        yield text[start : cut.start()]
-        start = cut.start()
-    yield text[start:]
+def chunks(text: str) -> list[str]:
+    """The text in chunks that are pre-tokenized alike alone and together.
+
+    A chunk starts at a blank after other characters, or where Latin letters end before an
+    ASCII character; a text with rare white space is one chunk.
+    """
+    return [text] if _RARE.search(text) else _CHUNKS.findall(text)
 
 
 class Encoder:
-    """Token ids of texts by a file of the tokenizers library; made once a worker process."""
+    """Token ids of texts by a file of the tokenizers library; made once a worker process.
+
+    Texts are sequences of chunks; a chunk seen before is not given to the library again.
+    """
 
     _made: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.known: dict[str, bytes] = {}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
 
     @classmethod
     def get(cls, path: str) -> "Encoder":
@@ -149,30 +161,47 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _one(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def _fresh(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of chunks.  Those of at most one blank and then other characters are encoded as lines of one
+        text: the pre-tokenizer cuts on both sides of the line end, whose one id then parts them."""
+        lines = [chunk for chunk in new if _LINE(chunk)] if self.line is not None else []
+        fresh = {chunk: self._one(chunk) for chunk in new.difference(lines)}
+        for at in range(0, len(lines), KNOWN_BATCH):
+            part = lines[at : at + KNOWN_BATCH]
+            encoding = self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0]
+            ids = np.array(encoding.ids, dtype=self.kind)
+            stops = [*np.flatnonzero(ids == self.line).tolist(), len(ids)]
+            data, wide, start = ids.tobytes(), ids.itemsize, 0
+            for chunk, stop in zip(part, stops, strict=True):
+                fresh[chunk] = data[start * wide : stop * wide]
+                start = stop + 1
+        return fresh
+
+    def _encode(self, texts: list[list[str]]) -> list[bytes]:
+        known = self.known
+        fresh = self._fresh(set().union(*texts).difference(known))
+        known |= fresh
+        out = [b"".join(map(known.__getitem__, text)) for text in texts]
+        over = len(known) - KNOWN
+        for chunk in fresh:
+            if over > 0 or len(chunk) > KNOWN_CHARS:
+                del known[chunk]
+                over -= 1
+        return out
+
     def encode(self, texts: Iterable[str]):
         """An array of ids for each text."""
-        pieces, owner, size = [], [], 0
-        parts: dict[int, list[np.ndarray]] = {}
-
-        def flush():
-            for k, encoding in zip(owner, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-                parts.setdefault(k, []).append(np.array(encoding.ids, dtype=self.kind))
-            pieces.clear()
-            owner.clear()
-
-        for k, text in enumerate(texts):
-            for piece in _slices(text):
-                pieces.append(piece)
-                owner.append(k)
-                size += len(piece)
-                if size >= SLICE:
-                    flush()
-                    size = 0
-                    for done in [d for d in parts if d < k]:
-                        yield np.concatenate(parts.pop(done))
-        flush()
-        for done in list(parts):
-            yield np.concatenate(parts.pop(done))
+        held, size = [], 0
+        for text in texts:
+            held.append(chunks(text))
+            size += len(text)
+            if size >= SLICE:
+                yield from (np.frombuffer(ids, dtype=self.kind) for ids in self._encode(held))
+                held, size = [], 0
+        yield from (np.frombuffer(ids, dtype=self.kind) for ids in self._encode(held))
 
 
 class _Writer:
