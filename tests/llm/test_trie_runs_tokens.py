@@ -179,7 +179,6 @@ def token_rows():
 
 @pytest.mark.parametrize("limit", [50, 1 << 25])
 def test_token_files(spark, docs, tmp_path, limit, monkeypatch):
-    monkeypatch.setattr(token_files, "SLICE", 1000)
     monkeypatch.setattr(token_files, "READ_TOKENS", 700)
     rows = token_rows()
     folder = f"file://{tmp_path}/tokens"
@@ -216,12 +215,11 @@ def test_no_token_files(spark, docs, tmp_path):
 
 
 def test_long_texts_are_cut_where_the_pre_tokenizer_cuts(monkeypatch):
-    monkeypatch.setattr(token_files, "SLICE", 500)
     monkeypatch.setattr(token_files, "KNOWN", 200)
     encoder = token_files.Encoder(TOKENIZER)
     r = random.Random(9)
     signs = ["ab1 .,'s\n\t日é  ", "aB'slltve !?-\r\n ", "aé²3½\u0301ж\x1c\x85\xa0\u2028 .", " \n\t\r\x0b\x0c\x00a'"]
     texts = ["".join(r.choice(signs[k % 4]) for _ in range(r.randint(0, 300))) for k in range(2000)]
-    for text, ids in zip(texts, encoder.encode(texts)):
-        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    for text in texts:
+        assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert len(encoder.known) <= 200

@@ -34,7 +34,6 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -48,13 +47,10 @@ from tidemark.llm.warc import _filesystem
 MAGIC = b"TDMKTOK1"
 SAMPLE = 256  # set bits from one directory entry to the next
 FILE_TOKENS = 1 << 25
-SLICE = 1 << 20  # characters of texts encoded together
 KNOWN = 1 << 20  # chunks a worker remembers
 KNOWN_CHARS = 64  # longer ones are not remembered
-KNOWN_BATCH = 1 << 12
 READ_TOKENS = 1 << 20
 _CHUNKS = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\x00-@\[-`{-\x7f])|\s*\S+|\s+$")
-_LINE = re.compile(r" ?\S+").fullmatch
 _RARE = re.compile(r"[^\S \t\n\r]")  # the two libraries may differ on what is white space here
 _CHUNK = 1 << 16  # numbers packed at once, a multiple of 8
 _COUNTS = np.array([bin(b).count("1") for b in range(256)], dtype=np.int64)
@@ -136,6 +132,19 @@ def chunks(text: str) -> list[str]:
     return [text] if _RARE.search(text) else _CHUNKS.findall(text)
 
 
+class _Known(dict):
+    """Ids of chunks, as bytes; a chunk that isn't there is encoded, and remembered while there is room."""
+
+    def __init__(self, encode, kind: str):
+        self.encode, self.kind = encode, kind
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = np.array(self.encode(chunk, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        if len(self) < KNOWN and len(chunk) <= KNOWN_CHARS:
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Token ids of texts by a file of the tokenizers library; made once a worker process.
 
@@ -151,9 +160,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
+        self.known = _Known(self.tokenizer.encode, self.kind)
 
     @classmethod
     def get(cls, path: str) -> "Encoder":
@@ -161,47 +168,8 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _one(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def _fresh(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of chunks.  Those of at most one blank and then other characters are encoded as lines of one
-        text: the pre-tokenizer cuts on both sides of the line end, whose one id then parts them."""
-        lines = [chunk for chunk in new if _LINE(chunk)] if self.line is not None else []
-        fresh = {chunk: self._one(chunk) for chunk in new.difference(lines)}
-        for at in range(0, len(lines), KNOWN_BATCH):
-            part = lines[at : at + KNOWN_BATCH]
-            encoding = self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0]
-            ids = np.array(encoding.ids, dtype=self.kind)
-            stops = [*np.flatnonzero(ids == self.line).tolist(), len(ids)]
-            data, wide, start = ids.tobytes(), ids.itemsize, 0
-            for chunk, stop in zip(part, stops, strict=True):
-                fresh[chunk] = data[start * wide : stop * wide]
-                start = stop + 1
-        return fresh
-
-    def _encode(self, texts: list[list[str]]) -> list[bytes]:
-        known = self.known
-        fresh = self._fresh(set().union(*texts).difference(known))
-        known |= fresh
-        out = [b"".join(map(known.__getitem__, text)) for text in texts]
-        over = len(known) - KNOWN
-        for chunk in fresh:
-            if over > 0 or len(chunk) > KNOWN_CHARS:
-                del known[chunk]
-                over -= 1
-        return out
-
-    def encode(self, texts: Iterable[str]):
-        """An array of ids for each text."""
-        held, size = [], 0
-        for text in texts:
-            held.append(chunks(text))
-            size += len(text)
-            if size >= SLICE:
-                yield from (np.frombuffer(ids, dtype=self.kind) for ids in self._encode(held))
-                held, size = [], 0
-        yield from (np.frombuffer(ids, dtype=self.kind) for ids in self._encode(held))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join([*map(self.known.__getitem__, chunks(text))]), dtype=self.kind)
 
 
 class _Writer:
@@ -304,9 +272,8 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, file_t
         writer = _Writer(folder, TaskContext.get().partitionId(), encoder.kind, file_tokens)
         end = np.array([end_id], dtype=encoder.kind)
         for batch in batches:
-            texts = (text.as_py() for text in batch.column("text"))
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
-                if done := writer.add(doc_id, np.concatenate([ids, end])):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                if done := writer.add(doc_id, np.concatenate([encoder.encode(text.as_py()), end])):
                     yield pa.RecordBatch.from_pylist([done], schema=_ARROW)
         if last := writer.close():
             yield pa.RecordBatch.from_pylist([last], schema=_ARROW)
