@@ -50,8 +50,9 @@ FILE_TOKENS = 1 << 25
 KNOWN = 1 << 20  # chunks a worker remembers
 KNOWN_CHARS = 64  # longer ones are not remembered
 READ_TOKENS = 1 << 20
-_CHUNKS = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\x00-@\[-`{-\x7f])|\s*\S+|\s+$")
-_RARE = re.compile(r"[^\S \t\n\r]")  # the two libraries may differ on what is white space here
+# A chunk ends before an ASCII blank, or after Latin letters before an ASCII character.  What both libraries
+# take for white space never ends one; U+001C to U+001F are white space in Python alone.
+_CHUNKS = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\x00-@\[-`{-\x7f])|\s*[^ \t\n\r]*[\S\x1c-\x1f]|\s+$")
 _CHUNK = 1 << 16  # numbers packed at once, a multiple of 8
 _COUNTS = np.array([bin(b).count("1") for b in range(256)], dtype=np.int64)
 
@@ -123,15 +124,6 @@ class EliasFano:
         return ((place - k) << self.width) | int(self._low(k, k + 1)[0])
 
 
-def chunks(text: str) -> list[str]:
-    """The text in chunks that are pre-tokenized alike alone and together.
-
-    A chunk starts at a blank after other characters, or where Latin letters end before an
-    ASCII character; a text with rare white space is one chunk.
-    """
-    return [text] if _RARE.search(text) else _CHUNKS.findall(text)
-
-
 class _Known(dict):
     """Ids of chunks, as bytes; a chunk that isn't there is encoded, and remembered while there is room."""
 
@@ -168,8 +160,8 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([*map(self.known.__getitem__, chunks(text))]), dtype=self.kind)
+    def encode(self, text: str) -> bytes:
+        return b"".join([*map(self.known.__getitem__, _CHUNKS.findall(text))])
 
 
 class _Writer:
@@ -178,8 +170,9 @@ class _Writer:
     def __init__(self, folder: str, place: int, kind: str, limit: int):
         self.fs, self.root = _filesystem(folder)
         self.place, self.kind, self.limit, self.part, self.out = place, kind, limit, 0, None
+        self.wide = np.dtype(kind).itemsize
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> dict | None:
+    def add(self, doc_id: int | None, ids: bytes) -> dict | None:
         if self.out is None:
             self.name = f"tokens-{self.place:06d}-{self.part:05d}.bin"
             self.temporary = f"{self.root}/_temporary/{self.name}.{uuid.uuid4().hex}"
@@ -187,8 +180,8 @@ class _Writer:
             self.out = self.fs.open_output_stream(self.temporary, compression=None)
             self.out.write(MAGIC)
             self.starts, self.docs, self.nulls = [0], [], 0
-        self.out.write(ids.astype(self.kind).tobytes())
-        self.starts.append(self.starts[-1] + len(ids))
+        self.out.write(ids)
+        self.starts.append(self.starts[-1] + len(ids) // self.wide)
         if doc_id is None:
             self.nulls += 1
         else:
@@ -201,7 +194,7 @@ class _Writer:
         least = self.docs[0] if self.docs else 0
         parts = [EliasFano.of(np.array(self.starts, dtype=np.uint64))]
         parts.append(EliasFano.of((np.array(self.docs, dtype=np.int64).view(np.uint64) - np.array(least, dtype=np.int64).view(np.uint64))))
-        at, places = len(MAGIC) + self.starts[-1] * np.dtype(self.kind).itemsize, []
+        at, places = len(MAGIC) + self.starts[-1] * self.wide, []
         for sequence in parts:
             sizes = []
             for data in sequence.parts():
@@ -213,7 +206,7 @@ class _Writer:
         self.out.write(footer + len(footer).to_bytes(8, "little"))
         self.out.close()
         self.fs.move(self.temporary, f"{self.root}/{self.name}")
-        row = {"file": self.name, "place": self.place, "part": self.part, "docs": len(self.starts) - 1, "tokens": self.starts[-1], "index_bytes": at - len(MAGIC) - self.starts[-1] * np.dtype(self.kind).itemsize}
+        row = {"file": self.name, "place": self.place, "part": self.part, "docs": len(self.starts) - 1, "tokens": self.starts[-1], "index_bytes": at - len(MAGIC) - self.starts[-1] * self.wide}
         self.out, self.part = None, self.part + 1
         return row
 
@@ -270,10 +263,10 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, file_t
     def run(batches):
         encoder = Encoder.get(tokenizer)
         writer = _Writer(folder, TaskContext.get().partitionId(), encoder.kind, file_tokens)
-        end = np.array([end_id], dtype=encoder.kind)
+        end = np.array([end_id], dtype=encoder.kind).tobytes()
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                if done := writer.add(doc_id, np.concatenate([encoder.encode(text.as_py()), end])):
+                if done := writer.add(doc_id, encoder.encode(text.as_py()) + end):
                     yield pa.RecordBatch.from_pylist([done], schema=_ARROW)
         if last := writer.close():
             yield pa.RecordBatch.from_pylist([last], schema=_ARROW)
