@@ -21,10 +21,12 @@ How it runs.  Texts are read twice.  A task gathers some million tokens as a blo
 each bucket one compressed row: distinct words or pairs, with the documents that have
 them; so a frequent word or pair is one entry a block.
 1. Words, bucketed by word: counts, counts of counts, and for each pair bucket the counts
-   of the words it will need.  Stored as a table partitioned by kind.
+   of the words it will need.  Stored as a table partitioned by kind.  The number of buckets
+   follows from the size of the corpus.
 2. Pairs, bucketed by a hash of the history and a hash of the word (a history with a large
    share of all pairs is spread over many buckets), meet those counts: pair counts, the
-   parts of alpha(h) by history, and partial sums by document.  Stored likewise.
+   parts of alpha(h) by history, and partial sums by document, given out block by block.
+   Stored likewise.
 3. Backed-off tokens meet alpha(h) by a join; sums by document.
 Only N, V and the counts of counts reach the driver.
 
@@ -43,19 +45,22 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, shuffle_partitions, stored
+from tidemark.llm.common import release, stored
 
 _LOG = logging.getLogger(__name__)
 
 END, START = b" ", b"  "
 CUT = 5  # counts above it are not discounted
 BLOCK_TOKENS = 1_500_000
+BUCKET_BYTES = 16 << 20  # bytes of text for each bucket of words and of pairs
 
 _OUT = (
     "kind string, bucket int, data binary, block long, n int, doc_id long, h long, tokens long, known long, "
@@ -212,7 +217,7 @@ def _frame(pieces: list[dict]) -> pd.DataFrame:
 
 
 def _word_counts(documents: DataFrame, learn: Column, grid: tuple[int, int], buckets: int) -> DataFrame:
-    """kind = stat: N (tokens), V (known), n1..n6, large; kind = words: the table of counts; kind = need: counts by pair bucket."""
+    """kind = stat: N (tokens), V (known), n1..n6, large; kind = need: the table of counts, by pair bucket."""
     pairs = grid[0] * grid[1]
 
     def run(key, frame):
@@ -234,7 +239,6 @@ def _word_counts(documents: DataFrame, learn: Column, grid: tuple[int, int], buc
         rows = [
             {"kind": "stat", "tokens": int(known.sum()), "known": len(known), "large": int(known[known > CUT].sum())}
             | {f"n{r}": int(by[r]) for r in range(1, CUT + 2)},
-            {"kind": "words", "bucket": int(key[0]), "data": _pack(words, count=_small(total))},
         ]
         if START in ids:
             total[ids[START]] = total[ids[END]]
@@ -286,29 +290,41 @@ class Unigrams:
         return np.where(counts > 0, factor * counts / (self.total + 1), self.unknown)
 
 
-def _pair_sums(blocks: DataFrame, need: DataFrame, unigrams: Unigrams) -> DataFrame:
-    """kind = pairs: the table of pair counts; doc: sums; hist: parts of alpha; back: tokens to weigh by alpha.
+def _counted(packed: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Words (each in one of the packed tables) and their counts."""
+    words, counts = [], []
+    for data in packed:
+        names, x = _unpack(data)
+        words.append(pa.array(names, pa.binary()))
+        counts.append(x["count"].astype(np.int64))
+    return pa.concat_arrays(words), np.concatenate(counts)
+
+
+def _pair_sums(blocks: DataFrame, need: DataFrame, unigrams: Unigrams, buckets: int) -> DataFrame:
+    """kind = doc: sums; hist: parts of alpha; back: tokens to weigh by alpha.
 
     In ``doc`` n1..n5 count the tokens whose pair was seen r times, as their discount is
     known only when all pairs are counted; n6 of ``hist`` is not used.
     """
 
-    def run(key, left, right):
-        ids: dict[bytes, int] = {}
-        known: list[np.ndarray] = []
-        for data in right["data"]:
+    def bucket(needed: list[bytes], held: list[bytes]):
+        """Output frames of one bucket out of its packed counts and packed blocks."""
+        names, c1 = _counted(needed)
+        needed.clear()
+        places, parts = [], []
+        for data in held:
             words, x = _unpack(data)
-            for w in words:
-                ids[w] = len(ids)
-            known.append(x["count"])
-        if not len(left):
-            return pd.DataFrame(columns=_COLUMNS)
-        c1 = np.concatenate(known).astype(np.int64)
-        parts, size = [], len(ids)
-        for data in left["data"]:
-            words, x = _unpack(data)
-            place = np.array([ids[w] for w in words], dtype=np.int64)
-            parts.append((place[x["h"]] * size + place[x["w"]], x))
+            places.append(pa.array(words, pa.binary()))
+            parts.append(x)
+        held.clear()
+        place = np.split(
+            pc.index_in(pa.chunked_array(places, pa.binary()), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64),
+            np.cumsum([len(p) for p in places])[:-1],
+        )
+        places.clear()
+        size = len(names)
+        parts = [(at[x["h"]] * size + at[x["w"]], x) for at, x in zip(place, parts)]
+        del place
         pairs, where = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
         where = where.astype(np.int32)
         starts = np.cumsum([0, *(len(p) for p, _ in parts)])
@@ -319,31 +335,24 @@ def _pair_sums(blocks: DataFrame, need: DataFrame, unigrams: Unigrams) -> DataFr
             own = where[at : at + len(x["h"])]  # distinct within a block
             c2[own] += np.add.reduceat(x["times"] * x["learn"][x["doc"]].astype(np.int64), first)
         h, w = pairs // size, pairs % size
-        p1, names = unigrams(c1), list(ids)
+        p1 = unigrams(c1)
         log_p1 = np.log10(p1)
         hashed = np.zeros(size, dtype=np.uint64)
         kinds = np.unique(h)
-        hashed[kinds] = np.fromiter((xxhash.xxh3_64_intdigest(names[k]) for k in kinds), dtype=np.uint64, count=len(kinds))
+        hashed[kinds] = np.fromiter(
+            (xxhash.xxh3_64_intdigest(name.as_py()) for name in names.take(pa.array(kinds))), dtype=np.uint64, count=len(kinds)
+        )
         hashed = hashed.view(np.int64)
 
         seen = c2 > 0
-        frames = []
-        words, local = np.unique(np.concatenate([h[seen], w[seen]]), return_inverse=True)
         middle = int(seen.sum())
-        frames.append(
-            {
-                "kind": "pairs",
-                "bucket": np.array([key[0]], dtype=np.int32),
-                "data": _pack([names[k] for k in words], h=_small(local[:middle]), w=_small(local[middle:]), count=_small(c2[seen])),
-            }
-        )
         if middle:
             kinds, group = np.unique(h[seen], return_inverse=True)
             count = c2[seen]
             sums = {f"n{r}": np.bincount(group, weights=count == r).astype(np.int64) for r in range(1, CUT + 2)}
             sums["large"] = np.bincount(group, weights=np.where(count > CUT, count, 0)).astype(np.int64)
             sums["p"] = np.bincount(group, weights=p1[w[seen]])
-            frames.append({"kind": "hist", "h": hashed[kinds], **sums})
+            yield _frame([{"kind": "hist", "h": hashed[kinds], **sums}])
 
         # A pair's share of a document's sums; alpha of a seen history comes later.
         back = ~seen & (c1[h] > 0)
@@ -358,30 +367,46 @@ def _pair_sums(blocks: DataFrame, need: DataFrame, unigrams: Unigrams) -> DataFr
             ids_[x["ended"]] = pd.array(np.where(x["none"], 0, np.cumsum(x["ids"])), dtype="Int64")
             ids_[x["ended"][x["none"]]] = pd.NA
             row, c, block = np.cumsum(x["there"].astype(np.int32), dtype=np.int32), c2[pair], np.int64(x["block"])
-            frames.append(
+            frames = [
                 {"kind": "doc", "block": block, "n": row, "doc_id": ids_, "tokens": whole(1.0), "known": whole(c1[w[pair]] > 0), "base": whole(base[pair] * _UNIT), "score": whole(logs[pair] * _UNIT)}
                 | {f"n{r}": whole(c == r) for r in range(1, CUT + 1)}
-            )
+            ]
             off = np.flatnonzero(back[pair])
             if len(off):
                 code, group = np.unique(h[pair[off]] * n + doc[off], return_inverse=True)
                 frames.append(
                     {"kind": "back", "block": block, "n": row[code % n], "h": hashed[code // n], "tokens": np.rint(np.bincount(group, weights=times[off])).astype(np.int64)}
                 )
-        return _frame(frames)
+            yield _frame(frames)
+
+    def run(batches):
+        at, needed, held = None, [], []
+        for frame in batches:
+            for number, first, data in zip(frame["bucket"], frame["first"], frame["data"]):
+                if number != at:
+                    if held:
+                        yield from bucket(needed, held)
+                    at, needed, held = number, [], []
+                (needed if first else held).append(data)
+        if held:
+            yield from bucket(needed, held)
 
-    grouped = blocks.groupBy("bucket").cogroup(need.select("bucket", "data").groupBy("bucket"))
-    return stored(grouped.applyInPandas(run, _OUT), "pair-sums", "kind")
+    # One partition a bucket; the counts come before the blocks, and a task gives its frames out one by one.
+    rows = need.select("bucket", F.lit(True).alias("first"), "data").union(blocks.select("bucket", F.lit(False), "data"))
+    ordered = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", F.desc("first"))
+    return stored(ordered.mapInPandas(run, _OUT), "pair-sums", "kind")
 
 
 def score(documents: DataFrame, learn: Column, buckets: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row.
 
-    ``learn`` is a condition on the rows to learn from.  ``buckets`` (the shuffle partitions
-    by default) should grow with the corpus: a bucket is held in memory.
+    ``learn`` is a condition on the rows to learn from.  ``buckets`` follows from the bytes of
+    all texts (one for each ``BUCKET_BYTES``), as a bucket is held in memory.
     """
     spark = documents.sparkSession
-    buckets = buckets or shuffle_partitions(spark)
+    if buckets is None:
+        size = documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        buckets = max(1, -(-size // BUCKET_BYTES))
     columns = max(1, math.isqrt(buckets) * 2 // 3)
     grid = (-(-buckets // columns), columns)
 
@@ -391,7 +416,7 @@ def score(documents: DataFrame, learn: Column, buckets: int | None = None) -> Da
     stat = words.where("kind = 'stat'").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "known", "large", *n)]).first()
     unigrams = Unigrams(stat["tokens"], [stat[c] for c in n], stat["large"])
 
-    sums = _pair_sums(_blocks(documents, learn, grid, buckets, True), words.where("kind = 'need'"), unigrams)
+    sums = _pair_sums(_blocks(documents, learn, grid, buckets, True), words.where("kind = 'need'"), unigrams, grid[0] * grid[1])
     release(spark)
     histories = sums.where("kind = 'hist'")
     pair = histories.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in n]).first()
