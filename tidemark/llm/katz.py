@@ -37,6 +37,8 @@ counted and scored by itself, whatever ids it shares or lacks; without training
 probability 1; an empty table gives an empty result.
 """
 
+import contextlib
+import ctypes
 import logging
 import math
 import pickle
@@ -59,7 +61,7 @@ _LOG = logging.getLogger(__name__)
 
 END, START = b" ", b"  "
 CUT = 5  # counts above it are not discounted
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 BUCKET_BYTES = 16 << 20  # bytes of text for each bucket of words and of pairs
 
 _OUT = (
@@ -89,6 +91,13 @@ def _ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) - np.repeat(total - counts, counts)
 
 
+def _give_back() -> None:
+    """Hands memory that is free within the worker back to the system, as workers live long."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class _Block:
     """Tokens of some documents."""
 
@@ -172,8 +181,8 @@ def _blocks(documents: DataFrame, learn: Column, grid: tuple[int, int], buckets:
     def run(batches):
         def out(block):
             block.close(grid)
-            rows = list(block.pair_rows(grid) if pairs else block.word_rows(grid, buckets))
-            return pd.DataFrame({"bucket": [b for b, _ in rows], "data": [x for _, x in rows]})
+            rows = block.pair_rows(grid) if pairs else block.word_rows(grid, buckets)
+            return pd.DataFrame(list(rows), columns=["bucket", "data"])
 
         number = TaskContext.get().partitionId() << 24  # the same if the task runs again
         block = _Block(number)
@@ -182,9 +191,10 @@ def _blocks(documents: DataFrame, learn: Column, grid: tuple[int, int], buckets:
             for doc_id, text, learned, null in zip(frame["doc_id"], frame["text"], frame["learn"], none):
                 block.add(None if null else int(doc_id), text.encode(), bool(learned))
                 if block.size >= BLOCK_TOKENS:
-                    yield out(block)
-                    number += 1
+                    done, number = out(block), number + 1
                     block = _Block(number)
+                    _give_back()
+                    yield done
         if block.size:
             yield out(block)
 
@@ -386,10 +396,12 @@ def _pair_sums(blocks: DataFrame, need: DataFrame, unigrams: Unigrams, buckets:
                 if number != at:
                     if held:
                         yield from bucket(needed, held)
+                        _give_back()
                     at, needed, held = number, [], []
                 (needed if first else held).append(data)
         if held:
             yield from bucket(needed, held)
+            _give_back()
 
     # One partition a bucket; the counts come before the blocks, and a task gives its frames out one by one.
     rows = need.select("bucket", F.lit(True).alias("first"), "data").union(blocks.select("bucket", F.lit(False), "data"))
