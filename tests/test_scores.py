@@ -180,6 +180,45 @@ def test_nearest_case_against_brute_force(spark):
     assert none.filter("all_score IS NOT NULL").count() == 0 and none.count() == 80
 
 
+@pytest.mark.parametrize("floor", [0.25, 0.5, 0.7, 1.0])
+def test_nearest_case_over_any_vocabulary(spark, floor):
+    rnd = random.Random(7)
+    vocabulary = [f"name{i}" for i in range(3000)]
+    weights = [1 / (1 + i) for i in range(3000)]
+    base = [rnd.choices(vocabulary, weights, k=rnd.randint(0, 40)) for _ in range(40)]
+
+    def near(names):
+        return [n for n in names if rnd.random() > 0.15] + rnd.choices(vocabulary, weights, k=rnd.randint(0, 3))
+
+    queries = [(i, near(rnd.choice(base))) for i in range(120)] + [(900, []), (901, None), (902, base[3] * 3)]
+    pool = [(f"e{rnd.randint(0, 9)}", i, near(rnd.choice(base)), i) for i in range(150)]
+    pool += [("e5", 500 + i, base[3], i) for i in range(40)] + [("e1", 600, [], 1), ("e0", 601, None, 2), (None, 602, ["q", None], 3)]
+
+    def best(names, odd):
+        ranked = []
+        for who, week, other, score in pool:
+            if odd and score % 2 == 0:
+                continue
+            a, b = set(names or ()) - {None}, set(other or ()) - {None}
+            sim = len(a & b) / len(a | b) if a | b else 1.0
+            if sim >= floor:
+                ranked.append(((-sim, who or "", week), (sim, score)))
+        return min(ranked)[1] if ranked else (None, None)
+
+    q = spark.createDataFrame(queries, "id INT, names ARRAY<STRING>")
+    p = spark.createDataFrame(pool, "employee STRING, week INT, names ARRAY<STRING>, score INT")
+    searches = [cases.Search("all_", F.lit(True), ("score",)), cases.Search("odd_", F.col("score") % 2 == 1, ("score",))]
+    found = {r.id: r for r in cases.nearest_cases(q, p, searches, vocabulary=None, floor=floor).collect()}
+    assert len(found) == len(queries)
+    for i, names in queries:
+        assert (found[i].all_similarity, found[i].all_score) == best(names, False)
+        assert (found[i].odd_similarity, found[i].odd_score) == best(names, True)
+    none = cases.nearest_cases(q, p.limit(0), searches, vocabulary=vocabulary, floor=floor)
+    assert none.filter("all_score IS NOT NULL").count() == 0 and none.count() == len(queries)
+    with pytest.raises(ValueError):
+        cases.nearest_cases(q, p, searches, vocabulary=None, floor=0.0)
+
+
 def test_pools(spark):
     frame = spark.createDataFrame(
         [("model", "text"), ("case", None), ("default", ""), ("model", "x " + C.SAFE_BRIEFING)], "origin STRING, briefing STRING")

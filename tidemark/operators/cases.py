@@ -2,7 +2,8 @@
 
 Detected signals come from a fixed vocabulary.  A pool of any size shrinks, by a
 map-side combined aggregate, to at most one case per subset of the vocabulary (512 for
-nine names), so matching happens between subsets and never between rows.
+nine names), so matching happens between subsets and never between rows.  Sets over any
+other vocabulary are matched by a set-similarity join.
 """
 
 from collections.abc import Sequence
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import constants as C
 from tidemark.functions.sets import percent
+from tidemark.operators.set_join import nearest_sets
 
 MAX_VOCABULARY = 12
 
@@ -57,7 +59,7 @@ def nearest_cases(
     pool: DataFrame,
     searches: Sequence[Search],
     names: str = "names",
-    vocabulary: Sequence[str] = C.SIGNAL_VOCABULARY,
+    vocabulary: Sequence[str] | None = C.SIGNAL_VOCABULARY,
     floor: float = C.SIMILARITY_FLOOR,
 ) -> DataFrame:
     """``queries`` plus, per search, the payload of the most similar record.
@@ -65,10 +67,11 @@ def nearest_cases(
     Both sides hold their signal names in ``names``; query sets hold vocabulary names
     only, pool sets may hold others, which count in the union.  Below ``floor`` the new
     columns are NULL; ties go to the first (employee, week).  The pool is read once for
-    all searches.
+    all searches.  Without a vocabulary, or with more names than a table of subsets is good
+    for, a set-similarity join finds the same records (``set_join``).
     """
-    if len(vocabulary) > MAX_VOCABULARY:
-        raise ValueError("too many names for the table of subsets")
+    if vocabulary is None or len(vocabulary) > MAX_VOCABULARY:
+        return nearest_sets(queries, pool, searches, names, floor)
     known = F.array(*[F.lit(v) for v in vocabulary])
     # Among records with the same known names, the one with the fewest unknown names is
     # at least as similar to every query set.

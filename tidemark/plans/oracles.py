@@ -366,6 +366,23 @@ ORACLES["nearest_briefing"] = _with(
         coalesce({_CASE_BRIEFING.format(n='n')}, {_q(C.SAFE_BRIEFING)}) END AS briefing
     FROM wanted q LEFT JOIN near n ON n.names = q.names""",
 )
+ORACLES["nearest_document"] = r"""
+  WITH s AS (
+    SELECT doc_id, source, n_chars, list_distinct(list_filter(
+      string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS names
+    FROM documents),
+  pairs AS (
+    SELECT q.doc_id, p.doc_id AS near_id, p.source AS near_source, p.n_chars AS near_chars,
+      len(list_intersect(q.names, p.names)) AS shared, len(q.names) + len(p.names) AS total
+    FROM s q JOIN s p ON p.doc_id % 100 <> 0 WHERE q.doc_id % 100 = 0),
+  ranked AS (
+    SELECT *, CASE WHEN total = shared THEN 1.0::DOUBLE ELSE shared::DOUBLE / (total - shared) END AS similarity FROM pairs),
+  near AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, near_source, near_id) AS rn
+    FROM ranked WHERE similarity >= 0.25)
+  SELECT s.doc_id, CAST(trunc(similarity * 100) AS INTEGER) AS percent, near_id, near_source, near_chars
+  FROM s LEFT JOIN near n ON n.doc_id = s.doc_id AND rn = 1 WHERE s.doc_id % 100 = 0
+"""
 ORACLES["set_similarity"] = _with(
     *_STATE,
     "pairs AS (SELECT employee, week, names, lag(names) OVER (PARTITION BY employee ORDER BY week) AS before FROM state)",

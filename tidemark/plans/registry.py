@@ -240,6 +240,24 @@ def nearest_briefing(spark, sf_dir):
     return chosen.select("employee", "week", "briefing")
 
 
+@register("J6", "O5", "X10", "X11")
+def nearest_document(spark, sf_dir):
+    """New documents (ids divisible by 100) against all others, as sets of words: no fixed vocabulary."""
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
+    rows = d.table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("employee"), F.col("doc_id").alias("week"), "n_chars", F.filter(words, lambda w: w != "").alias("names"))
+    new = F.col("doc_id") % 100 == 0
+    question = [cases.Search("near_", F.lit(True), ("week", "employee", "n_chars"))]
+    found = cases.nearest_cases(rows.where(new), rows.where(~new), question, vocabulary=None, floor=0.25)
+    return found.select(
+        "doc_id",
+        sets.percent(F.col("near_similarity")).alias("percent"),
+        F.col("near_week").alias("near_id"),
+        F.col("near_employee").alias("near_source"),
+        F.col("near_n_chars").alias("near_chars"),
+    )
+
+
 @register("X10", "U3")
 def set_similarity(spark, sf_dir):
     state = d.stored_evaluations(spark, sf_dir).withColumn("names", sets.signal_names(F.col("signals")))
