@@ -127,6 +127,58 @@ def test_unreadable_file_is_skipped(spark, tmp_path):
     assert weekly.scan_employee_weeks(spark, str(tmp_path)).count() == 1
 
 
+QUOTED = [
+    ("Bo", 1, "plain"),
+    ("Cy", 2, "two\nlines"),
+    ("Di", 3, 'a ""quoted"" word, and\n\nblank\n'),
+    ("Ed", 4, "x" * 300 + "\n" + "y" * 300),
+    ("Fy", 5, ""),
+    ("Gi", 6, "\n" * 40),
+    ("Hu", 7, "end"),
+]
+
+
+def quoted_file(rows, ends="\n", header='name,"the\nnote",tasks'):
+    return "".join(line + ends for line in [header, *(f'{n},"{note}",{k}' for n, k, note in rows)])
+
+
+def test_line_ends_in_cells_across_blocks(spark, tmp_path):
+    many = [(f"{n}{i}", k + i, note) for i in range(30) for n, k, note in QUOTED]
+    (tmp_path / "week1.csv").write_text(quoted_file(many))
+    (tmp_path / "week2.csv").write_text(quoted_file(QUOTED, header='"tasks","the note","na""me, first"').replace("Bo", "Bo Li"))
+    (tmp_path / "week3.csv").write_text(quoted_file([("Jo", 8, "no line end")], header="name,note,tasks"))
+    (tmp_path / "week4.csv").write_text("name,tasks\nKa,1\nLo \"Z,2\n")  # never closes
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    want = sorted((n, 1, k) for n, k, _ in many)
+    try:
+        for size in (1 << 20, 97, 500):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            got = rows(weekly.scan_employee_weeks(spark, str(tmp_path)), "employee", "week", "completed_tasks")
+            assert [r for r in got if r[1] == 1] == want
+            assert [r for r in got if r[1] > 2] == [("Jo", 3, 8), ("Ka", 4, 1), ("Lo", 4, 2)]
+            raw = weekly.scan_raw(spark, str(tmp_path))
+            notes = raw.filter("__week_number__ = 1").select("name", "`the\nnote`")
+            assert sorted(map(tuple, notes.collect())) == sorted((n, note.replace('""', '"') or None) for n, _, note in many)
+            assert raw.filter("__week_number__ = 2").select('na"me, first').count() == len(QUOTED)
+            first = keep_first(weekly.scan_employee_weeks(spark, str(tmp_path)).filter("week = 1").withColumn("employee", F.lit("all")), F.col(weekly.ROW_ORDER))
+            assert rows(first, "completed_tasks") == [(1,)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_no_file_is_opened_by_the_driver_or_read_whole(spark, tmp_path):
+    (tmp_path / "week1.csv").write_text(quoted_file(QUOTED))
+    (tmp_path / "week2.csv").write_text(quoted_file(QUOTED[:1], ends="\r\n", header="name,note,tasks"))
+    assert rows(weekly.scan_employee_weeks(spark, str(tmp_path)), "week", "completed_tasks") == sorted([(1, k) for _, k, _ in QUOTED] + [(2, 1)])
+    files = weekly.header_groups(spark, weekly.list_files(spark, str(tmp_path)))
+    assert {h: (len(f.plain), len(f.spanning), len(f.unclosed)) for h, f in files.items()} == {
+        ("name", "the\nnote", "tasks"): (0, 1, 0),
+        ("name", "note", "tasks"): (1, 0, 0),
+    }
+
+
 def test_database_options(monkeypatch, spark):
     """No database is started: the reader is replaced, the aliasing is real."""
     seen = {}

@@ -497,6 +497,9 @@ ORACLES["weekly_files"] = _with(
       CASE WHEN u % 2 = 0 THEN after_hours_logins ELSE 0 END AS after_hours_logins, sick_days, weekly_hours,
       CASE WHEN u % 2 = 0 THEN task_accuracy END AS task_accuracy, sentiment, source_file FROM ew""",
 )
+ORACLES["weekly_files_quoted"] = _with(
+    *_EW_GAPS, body="SELECT employee, week, completed_tasks, weekly_hours, sentiment, source_file FROM ew"
+)
 ORACLES["weekly_files_strict"] = _with(
     *_EW_GAPS,
     body="""SELECT employee, week, CASE WHEN week = 2 THEN completed_tasks + 1 ELSE completed_tasks END AS completed_tasks,

@@ -446,6 +446,21 @@ def weekly_files(spark, sf_dir):
     return _rounded(tl.keep_first(scanned, F.col(weekly.ROW_ORDER)).drop(weekly.ROW_ORDER))
 
 
+@register("S1", "U4", "X1", "X2")
+def weekly_files_quoted(spark, sf_dir):
+    """Files whose cells and headers hold line ends, commas and quotes, read block by block."""
+    folder = scratch_dir(spark, "quoted")
+    rows = _metric_rows(spark, sf_dir).select(
+        F.concat(F.lit('see "notes",\n'), F.repeat(F.concat("employee_name", F.lit("\n")), 3)).alias("what,\nwhy"),
+        F.concat("employee_name", F.lit('\nof "team", '), F.col("week").cast("string")).alias("name"),
+        F.col("tasks_completed").alias("tasks"), "weekly_hours", "sentiment", "week",
+    )
+    weekly.append_rows(rows, folder)
+    scanned = weekly.scan_employee_weeks(spark, folder)
+    first = tl.keep_first(scanned, F.col(weekly.ROW_ORDER))
+    return first.select("employee", "week", "completed_tasks", "weekly_hours", "sentiment", "source_file")
+
+
 @register("S2", "S3")
 def weekly_files_strict(spark, sf_dir):
     folder = scratch_dir(spark, "strict")

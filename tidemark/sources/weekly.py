@@ -1,14 +1,15 @@
 """Weekly metric files with varying headers, and the other ways rows arrive.
 
-Headers are metadata: the driver lists the files and reads each one's first line, then
-reads all files that share a header in one scan.  No data row passes through it.
+The driver lists the files; tasks find their first records, of which each different one comes
+back once, and all files laid out alike are then read in one scan.  No data row passes
+through the driver and it opens no file.
 """
 
 import csv
+import io
 import logging
 import re
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -23,10 +24,11 @@ from tidemark.functions.cleaning import (
     strip,
 )
 from tidemark.schemas import EMPLOYEE_WEEK
+from tidemark.sources import csv_records
+from tidemark.sources.csv_records import FileKinds
 
 logger = logging.getLogger(__name__)
 
-_HEADER_READERS = 16
 _CSV_OPTIONS = {"header": "true", "escape": '"', "enforceSchema": "true", "mode": "PERMISSIVE"}
 ROW_ORDER = "_row_order"
 
@@ -177,42 +179,56 @@ def list_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(path for path, logical, landed in found if landed >= pasted.get(logical, 0))
 
 
-def read_header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
-    """Column names of one file; None (file skipped) when it cannot be read."""
-    jvm = spark.sparkContext._jvm
+def _parsed(header: str) -> tuple[str, ...]:
+    """Column names of a first record; none where it cannot be read."""
     try:
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        stream = jvm.java.io.InputStreamReader(fs.open(hadoop_path), "UTF-8")
-        reader = jvm.java.io.BufferedReader(stream)
-        try:
-            line = reader.readLine()
-        finally:
-            reader.close()
-        return tuple(next(csv.reader([line]))) if line else None
-    except Exception as error:
-        logger.warning("file skipped, header not readable: %s", type(error).__name__)
-        return None
-
-
-def header_groups(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by header, each read once, several at a time."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    with ThreadPoolExecutor(_HEADER_READERS) as pool:
-        for path, header in zip(paths, pool.map(lambda p: read_header(spark, p), paths)):
-            if header:
-                groups.setdefault(header, []).append(path)
+        return tuple(next(csv.reader(io.StringIO(header, newline="")), ()))
+    except csv.Error as error:
+        logger.warning("files skipped, header not readable: %s", type(error).__name__)
+        return ()
+
+
+def header_groups(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], FileKinds]:
+    """Files by header; the first records are found by tasks."""
+    groups: dict[tuple[str, ...], FileKinds] = {}
+    for first, files in csv_records.headers(spark, paths).items():
+        if header := _parsed(first):
+            groups.setdefault(header, FileKinds()).add(files)
     return groups
 
 
-def _scan_group(spark: SparkSession, header: tuple[str, ...], paths: list[str], multi_line: bool) -> DataFrame:
+def _cells(spark: SparkSession, schema: T.StructType, files: FileKinds, multi_line: bool) -> list[DataFrame]:
+    """Cells c0.. of files laid out alike, with path, landed, block and row of each record."""
+    place = [
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_modification_time").alias("landed"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    ]
+    found = []
+    plain = files.plain if multi_line else files.plain + files.spanning + files.unclosed
+    for paths, whole in ((plain, False), (files.unclosed if multi_line else [], True)):
+        if paths:
+            reader = spark.read.options(**_CSV_OPTIONS, multiLine=whole).schema(schema)
+            found.append(reader.csv(paths).select(*schema.names, *place))
+    if multi_line and files.spanning:
+        options = {"escape": '"', "mode": "PERMISSIVE"}
+        rows = csv_records.records(spark, files.spanning)
+        cells = F.from_csv("text", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
+        found.append(rows.withColumn("cells", cells).select("cells.*", "path", "landed", "block", "row"))
+    return found
+
+
+def _scan_group(spark: SparkSession, header: tuple[str, ...], files: FileKinds, multi_line: bool) -> DataFrame:
     """All-text rows of the files that share a header, with week, file and row order.
 
     Columns are read by position, so repeated names are safe; the last one counts.
     """
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
-    raw = spark.read.options(**_CSV_OPTIONS, multiLine=multi_line).schema(schema).csv(paths)
-    path = F.col("_metadata.file_path")
+    raw, *more = _cells(spark, schema, files, multi_line)
+    for rows in more:
+        raw = raw.union(rows)
+    path = F.col("path")
     folder_week = F.nullif(F.regexp_extract(path, r"/week=(\d+)/[^/]*$", 1), F.lit(""))
     name = F.url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))
     logical = F.coalesce(F.concat(F.lit("week"), folder_week, F.lit(".csv")), name)
@@ -221,13 +237,7 @@ def _scan_group(spark: SparkSession, header: tuple[str, ...], paths: list[str],
         *[F.col(f"c{i}").alias(h) for h, i in position.items()],
         week_from_stem(F.regexp_replace(logical, r"\.[^.]*$", "")).alias("__week_number__"),
         logical.alias("__source_file__"),
-        F.struct(
-            logical.alias("file"),
-            F.col("_metadata.file_modification_time").alias("landed"),
-            name.alias("part"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias(ROW_ORDER),
+        F.struct(logical.alias("file"), "landed", name.alias("part"), "block", "row").alias(ROW_ORDER),
     )
 
 
@@ -235,8 +245,8 @@ def scan_raw(spark: SparkSession, folder: str, multi_line: bool = True) -> DataF
     """Union of all files with their own column names plus week and file; None if empty."""
     groups = header_groups(spark, list_files(spark, folder))
     union = None
-    for header, paths in groups.items():
-        rows = _scan_group(spark, header, paths, multi_line)
+    for header, files in groups.items():
+        rows = _scan_group(spark, header, files, multi_line)
         union = rows if union is None else union.unionByName(rows, allowMissingColumns=True)
     return union
 
@@ -274,15 +284,15 @@ def scan_employee_weeks(
     ``folder`` is any path Spark can read, object stores included.  ``strict`` takes the
     exact column set only (no hours, accuracy, sentiment; empty cells fall through to
     the next spelling).  ``target_week`` overrides the week of the file name.
-    Line ends inside quotes are part of a cell; ``multi_line=False`` splits big files
-    that are known to have none.
+    Line ends inside quotes are part of a cell, and big files split all the same;
+    ``multi_line=False`` takes every line for a record.
     ``full_names`` keeps people apart who share a first name.
     """
     paths = list_files(spark, folder) if files is None else list(files)
-    layouts: dict[tuple, list[str]] = {}
+    layouts: dict[tuple, FileKinds] = {}
     for header, group in header_groups(spark, paths).items():
         layout = (len(header), _layout(header, strict, strict_parity))
-        layouts.setdefault(layout, []).extend(group)
+        layouts.setdefault(layout, FileKinds()).add(group)
     union = None
     for (width, places), group in layouts.items():
         raw = _scan_group(spark, tuple(f"c{i}" for i in range(width)), group, multi_line)
