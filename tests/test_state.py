@@ -190,6 +190,31 @@ def test_pasted_week_replaces_what_landed(spark, tmp_path):
     assert ev.read_state(spark, path).first().evaluated_at == AS_OF + dt.timedelta(1)
 
 
+def test_late_weeks_of_some_employees(spark, tmp_path):
+    folder, path = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+    for week in range(1, 6):
+        names = ["Ann", "Bob", "Cy"] if week != 3 else ["Cy"]
+        (folder / f"week{week}.csv").write_text("name,tasks,hours\n" + "".join(f"{n},{9 - week},{38 + 4 * week}\n" for n in names))
+    weekly_run.run_weekly(spark, str(folder), path, as_of=AS_OF)
+    (folder / "week3b.csv").write_text("name,tasks,hours\nBob,1,60\n")
+    later = AS_OF + dt.timedelta(1)
+    records = weekly.scan_employee_weeks(spark, str(folder))
+    frontier = weekly_run.late_frontier(records, ev.read_state(spark, path), "main")
+    assert rows(frontier) == [("Bob", 3)]
+    before = {(r.employee, r.week): r for r in ev.read_state(spark, path).collect()}
+    weekly_run.run_weekly(spark, str(folder), path, as_of=later, recompute_late=True)
+    after = {(r.employee, r.week): r for r in ev.read_state(spark, path).collect()}
+    redone = {k for k, r in after.items() if r.evaluated_at == later}
+    assert redone == {("Bob", 3), ("Bob", 4), ("Bob", 5)}
+    assert all(after[k] == before[k] for k in before if k not in redone)
+    gaps = {k for k, r in after.items() if any(s.kind == "gap" for s in r.signals)}
+    assert gaps == {("Ann", 3), ("Ann", 4), ("Ann", 5)}
+    # Nothing is late any more: a further run leaves all as it is.
+    weekly_run.run_weekly(spark, str(folder), path, as_of=later + dt.timedelta(1), recompute_late=True)
+    assert {(r.employee, r.week): r for r in ev.read_state(spark, path).collect()} == after
+
+
 def test_several_answers_need_an_order(spark):
     two = [answer("risk", "a", 1, "x"), answer("risk", "a", 1, "b")]
     frame = spark.createDataFrame(two, MODEL_RESPONSE)

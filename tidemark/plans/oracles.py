@@ -676,6 +676,16 @@ ORACLES["realtime_files"] = _with(
     + ") r",
     recursive=True,
 )
+ORACLES["late_weeks_redone"] = _with(
+    *_STATE, ANSWERS, *_DETECT, MISSING, ENTRIES, NAMED, *_run("true", "false"), *_fold(_STORED_GROWTH),
+    "came_late AS (SELECT employee FROM ew WHERE week = 3 AND u % 3 = 1)",
+    body="SELECT employee, week, redone, names, "
+    + ", ".join(f"CASE WHEN NOT redone THEN {c} END AS {c}" for c in ("score", "classification", "healthy_streak", "origin"))
+    + " FROM (SELECT r.*, r.week >= 3 AND r.employee IN (SELECT employee FROM came_late) AS redone FROM ("
+    + _run_body("employee, week, score, classification, healthy_streak, origin, names")
+    + ") r) x",
+    recursive=True,
+)
 ORACLES["history_summaries"] = _with(
     *_STATE,
     """h AS (SELECT s.employee, s.week, count(p.week) AS weeks,

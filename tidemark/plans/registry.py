@@ -1,5 +1,6 @@
 """Every registered query: name, inventory rows it covers, and its DataFrame."""
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -685,6 +686,30 @@ def evaluation_run(spark, sf_dir):
     )
 
 
+@register("T3", "T2", "P14")
+def late_weeks_redone(spark, sf_dir):
+    """Week 3 of every third employee comes late: only they are computed again, from that week on.
+
+    Signals of all weeks, and the scores of those left alone (the others may take scores from cases now).
+    """
+    weeks = d.staged_weeks(spark, sf_dir)
+    records, answers = d.employee_weeks(spark, sf_dir, True, weeks), d.risk_answers(spark, sf_dir, weeks)
+    late = (d.user_number(F.col("employee")) % 3 == 1) & (F.col("week") == 3)
+    last = tl.max_week_of(weeks.select("week"))
+    path = scratch_dir(spark, "late")
+    ev.upsert_state(spark, path, run.evaluate(
+        records.filter(~late), last, ev.empty_state(spark), answers, "main", d.AS_OF))
+    state = ev.read_state(spark, path)
+    again = run.evaluate(
+        records, last, state, answers, "main", d.AS_OF + dt.timedelta(days=1),
+        recompute_from=run.late_frontier(records, state, "main"))
+    redone = F.col("evaluated_at") > F.lit(d.AS_OF)
+    return run.merged_state(state, again).select(
+        "employee", "week", redone.alias("redone"), _signal_names().alias("names"),
+        *[F.when(~redone, F.col(c)).alias(c) for c in ("score", "classification", "healthy_streak", "origin")],
+    )
+
+
 @register("T3", "T2")
 def evaluation_run_recomputed(spark, sf_dir):
     """The same run where stored weeks from week 2 on are computed again."""

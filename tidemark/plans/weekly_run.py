@@ -64,6 +64,33 @@ def repairs_due(expected: DataFrame, due: DataFrame) -> DataFrame:
     return due.join(expected.select("employee", "week"), ["employee", "week"], "left_semi")
 
 
+def late_frontier(records: DataFrame, state: DataFrame, scope: str) -> DataFrame:
+    """employee, redo_from: the first week a record has reached after evaluations were stored without it.
+
+    A stored evaluation names the weeks it missed in its gap marker; a week that is named
+    and has a record by now came late, and all evaluations from it on are out of date.
+    """
+    gaps = F.filter("signals", lambda s: s.getField("kind") == "gap")
+    named = F.flatten(F.transform(gaps, lambda s: F.regexp_extract_all(s.getField("details"), F.lit(r"(\d+)"))))
+    missed = (
+        state.filter(F.col("scope") == scope)
+        .select("employee", F.explode(named).alias("week"))
+        .select("employee", F.col("week").cast("int").alias("week"))
+        .distinct()
+    )
+    late = records.select("employee", "week").join(missed, ["employee", "week"], "left_semi")
+    return late.groupBy("employee").agg(F.min("week").alias("redo_from"))
+
+
+def _with_redo(stored: DataFrame, recompute_from: DataFrame | int | None) -> DataFrame:
+    """``redo``: whether a stored week is computed again, by one first week for all or one an employee."""
+    if recompute_from is None or isinstance(recompute_from, int):
+        first = F.lit(recompute_from).cast("int")
+        return stored.withColumn("redo", F.coalesce(F.col("week") >= first, F.lit(False)))
+    joined = stored.join(recompute_from.select("employee", "redo_from"), "employee", "left")
+    return joined.withColumn("redo", F.coalesce(F.col("week") >= F.col("redo_from"), F.lit(False))).drop("redo_from")
+
+
 def in_window(evaluated_at: Column, as_of: dt.datetime | Column, days: int = C.HISTORY_DAYS) -> Column:
     """Stored within the history window that ends at ``as_of``."""
     end = as_of if isinstance(as_of, Column) else F.lit(as_of)
@@ -78,21 +105,22 @@ def evaluate(
     scope: str,
     as_of: dt.datetime,
     reuse_state: bool = True,
-    recompute_from: int | None = None,
+    recompute_from: DataFrame | int | None = None,
     streak_mode: str = "stored",
 ) -> DataFrame:
     """New and repaired EVALUATION rows of one scope.
 
     ``records``: one EMPLOYEE_WEEK row per (employee, week).  Stored weeks are kept as
     they are and only count as history, unless ``reuse_state`` is off or the week is
-    at or after ``recompute_from``; a stored week that is not Healthy and lacks a
+    at or after ``recompute_from`` (a week, or rows of employee and ``redo_from`` as
+    ``late_frontier`` gives them); a stored week that is not Healthy and lacks a
     briefing gets signals and briefing, and keeps its score and class.
     """
     own = state.filter(F.col("scope") == scope)
     if not reuse_state:
         own = own.filter(F.lit(False))
     elif recompute_from is not None:
-        own = own.filter(F.col("week") < recompute_from)
+        own = _with_redo(own, recompute_from).filter(~F.col("redo")).drop("redo")
     stored = own.select(
         "employee",
         "week",
@@ -170,16 +198,16 @@ def employees_due(
     max_week: Column,
     state: DataFrame,
     scope: str,
-    recompute_from: int | None = None,
+    recompute_from: DataFrame | int | None = None,
 ) -> DataFrame:
     """Employees with a week that lacks its evaluation, or a stored one to repair or redo."""
     stored = state.filter(F.col("scope") == scope).withColumn("_max", max_week).filter(
         (F.col("week") >= 1) & (F.col("week") <= F.col("_max"))
     )
-    redo = F.lit(False) if recompute_from is None else F.col("week") >= recompute_from
+    stored = _with_redo(stored, recompute_from)
     lacks = is_flagged(F.col("classification")) & (F.coalesce("briefing", F.lit("")) == "")
     per_employee = stored.groupBy("employee").agg(
-        F.count(F.lit(1)).alias("_n"), F.bool_or(lacks | redo).alias("_again")
+        F.count(F.lit(1)).alias("_n"), F.bool_or(lacks | F.col("redo")).alias("_again")
     )
     known = records.select("employee").distinct().join(per_employee, "employee", "left")
     due = (F.coalesce("_n", F.lit(0)) < F.col("_max")) | F.coalesce("_again", F.lit(False))
@@ -199,13 +227,15 @@ def run_weekly(
     max_weeks: int | None = None,
     streak_mode: str = "stored",
     report_path: str | None = None,
+    recompute_late: bool = False,
     **reading,
 ) -> str | None:
     """Reads a folder of weekly files, evaluates what is missing and stores it.
 
     The files are parsed once, into a table of first records in the shared folder; the
     last week and the run itself read that.  With ``report_path`` the text report of the
-    scope is written there.  ``reading`` goes to ``weekly.scan_employee_weeks``.
+    scope is written there.  With ``recompute_late`` an employee's stored weeks are computed
+    again from the first one on whose record came late.  ``reading`` goes to ``weekly.scan_employee_weeks``.
     Returns None, or in words why nothing was done.
     """
     problem = weekly.input_problem(spark, folder)
@@ -218,10 +248,13 @@ def run_weekly(
     problem = weekly.input_problem(spark, folder, records)
     if problem:
         return problem
+    state = state_table.read_state(spark, state_path)
+    if recompute_late and recompute_from is None:
+        recompute_from = late_frontier(records, state, scope)
     new = evaluate(
         records,
         max_week_of(records.select("week"), max_weeks),
-        state_table.read_state(spark, state_path),
+        state,
         no_responses(spark) if responses is None else responses,
         scope,
         as_of or dt.datetime.now(dt.timezone.utc),
