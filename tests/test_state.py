@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,66 @@ def test_batch_size_changes_nothing(spark, tmp_path):
     assert any("TEAM SUMMARY" in r[0] for r in text)
 
 
+def test_one_new_file_reads_the_buckets_it_touches(spark, tmp_path):
+    incoming, store, path, checkpoint = (str(tmp_path / n) for n in ("in", "store", "state", "check"))
+    os.mkdir(incoming)
+    people = [f"P{k}" for k in range(40)]
+
+    def arrive(name, *lines):
+        (tmp_path / "in" / name).write_text("name,tasks,hours\n" + "".join(f"{line}\n" for line in lines))
+
+    def land():
+        realtime.start(spark, incoming, store, checkpoint).awaitTermination()
+
+    def state():
+        return {(r.employee, r.week): r for r in ev.read_state(spark, path).collect()}
+
+    for week in (1, 2, 3):
+        arrive(f"week{week}.csv", *(f"{p},{9 - week},40" for p in people if (p, week) != ("P7", 2)))
+    land()
+    assert realtime.touched_buckets(spark, store, "realtime") is None
+    realtime.evaluate_landed(spark, store, path, as_of=AS_OF)
+    first = state()
+    assert len(first) == 120 and realtime.touched_buckets(spark, store, "realtime") == []
+
+    arrive("week2b.csv", "P7,1,60")
+    land()
+    bucket = spark.createDataFrame([("P7",)], "e STRING").select(ev.bucket_of(F.col("e"))).first()[0]
+    assert realtime.touched_buckets(spark, store, "realtime") == [bucket]
+    # What lies in other buckets can't be read any more: neither store nor state may be asked for it.
+    hidden = {}
+    for file in [*(tmp_path / "store" / "rows").rglob("*.parquet"), *(tmp_path / "state").rglob("*.parquet")]:
+        own = file.relative_to(tmp_path).parts
+        if f"bucket={bucket}" not in own and own[0] == "store":
+            hidden[file] = file.read_bytes()
+            file.write_bytes(b"unreadable")
+            file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    assert hidden
+    plan = realtime.landed_rows(spark, store, [bucket])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+", plan)
+    untouched = {f: f.stat().st_mtime_ns for f in (tmp_path / "state").rglob("*.parquet") if f"bucket={bucket}" not in f.parts}
+    realtime.evaluate_landed(spark, store, path, as_of=AS_OF + dt.timedelta(1), recompute_late=True)
+    second = state()
+    assert {k for k, r in second.items() if r != first[k]} == {("P7", 2), ("P7", 3)}
+    assert untouched == {f: f.stat().st_mtime_ns for f in (tmp_path / "state").rglob("*.parquet") if f"bucket={bucket}" not in f.parts}
+    for file, data in hidden.items():
+        file.write_bytes(data)
+
+    # Compaction changes nothing but the number of files; a later week concerns everybody.
+    before = rows(realtime.landed_rows(spark, store))
+    assert realtime.compact(spark, store) is None
+    assert realtime._batches(spark, f"{store}/rows") == [-1] == realtime._batches(spark, f"{store}/journal")
+    assert rows(realtime.landed_rows(spark, store)) == before
+    assert realtime.touched_buckets(spark, store, "realtime") == []
+    arrive("week4.csv", "P1,5,40")
+    land()
+    assert realtime.touched_buckets(spark, store, "realtime") is None
+    realtime.evaluate_landed(spark, store, path, as_of=AS_OF + dt.timedelta(2))
+    assert len(state()) == 160 and realtime.touched_buckets(spark, store, "other") is None
+    realtime.compact(spark, store)
+    assert realtime._batches(spark, f"{store}/rows") == [-2]
+
+
 def test_pasted_week_replaces_what_landed(spark, tmp_path):
     incoming, store, path, checkpoint = (str(tmp_path / n) for n in ("in", "store", "state", "check"))
     os.mkdir(incoming)

@@ -107,6 +107,7 @@ def evaluate(
     reuse_state: bool = True,
     recompute_from: DataFrame | int | None = None,
     streak_mode: str = "stored",
+    pool: DataFrame | None = None,
 ) -> DataFrame:
     """New and repaired EVALUATION rows of one scope.
 
@@ -114,7 +115,8 @@ def evaluate(
     they are and only count as history, unless ``reuse_state`` is off or the week is
     at or after ``recompute_from`` (a week, or rows of employee and ``redo_from`` as
     ``late_frontier`` gives them); a stored week that is not Healthy and lacks a
-    briefing gets signals and briefing, and keeps its score and class.
+    briefing gets signals and briefing, and keeps its score and class.  ``pool`` holds the
+    cases to search, if ``state`` is only that of some employees.
     """
     own = state.filter(F.col("scope") == scope)
     if not reuse_state:
@@ -147,7 +149,7 @@ def evaluate(
         .withColumn("signals", add_details(F.col("signals"), F.col("details")))
         .withColumn("names", signal_names(F.col("signals")))
     )
-    known = state.filter(F.col("scope") == scope).withColumn("names", signal_names(F.col("signals")))
+    known = (state if pool is None else pool).filter(F.col("scope") == scope).withColumn("names", signal_names(F.col("signals")))
     rows = cases.nearest_cases(rows, known, (cases.case_search(), cases.briefing_search()))
     scored = risk.base_scores(rows)
     keep = F.col("stored")

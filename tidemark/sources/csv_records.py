@@ -9,7 +9,6 @@ they are, one line a record.  No file is read by a single task because of its qu
 those whose quotes never close, which only a parser of the whole file can make sense of.
 """
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -41,11 +40,6 @@ def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
-def _same(path: str) -> str:
-    """One spelling for ``file:/x`` and ``file:///x``."""
-    return re.sub(r"^([A-Za-z][\w+.-]*):/+", r"\1:/", path)
-
-
 def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, FileKinds]:
     """First record of the files, as text, and the files that share it.
 
@@ -64,18 +58,17 @@ def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, FileKinds]:
     name = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     rows = files.select("first", kind.alias("kind"), (F.col("first_quotes") % 2 == 1).alias("long"), name.alias("name"))
     groups = rows.groupBy("first", "kind", "long").agg(F.collect_list("name").alias("names")).collect()
-    known = {_same(p): p for p in paths}
     found: dict[str, FileKinds] = {}
 
     def add(header: str, kind: str, names: Sequence[str]) -> None:
         if header:
-            getattr(found.setdefault(header, FileKinds()), kind).extend(sorted(known[_same(n)] for n in names))
+            getattr(found.setdefault(header, FileKinds()), kind).extend(sorted(names))
 
     for row in groups:
         if not row["long"] or row["kind"] == "unclosed":
             add(row["first"], row["kind"], row["names"])
     # First records that span lines themselves.
-    long = [known[_same(n)] for row in groups if row["long"] and row["kind"] == "spanning" for n in row["names"]]
+    long = [n for row in groups if row["long"] and row["kind"] == "spanning" for n in row["names"]]
     if long:
         firsts = records(spark, long, with_header=True).filter("header")
         name = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))

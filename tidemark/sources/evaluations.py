@@ -1,5 +1,7 @@
 """The evaluation state table and evaluations kept as JSON files."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.cleaning import capitalise, safe_int
@@ -8,6 +10,14 @@ from tidemark.schemas import EVALUATION, EVALUATION_COLUMNS, EVALUATION_JSON, SI
 from tidemark.session import drop_dir, scratch_dir
 
 KEY = ["scope", "employee", "week"]
+BUCKETS = 16
+_PLACE = ["scope", "bucket", "week"]  # folders of the state
+_STORED = f"{EVALUATION}, bucket INT"
+
+
+def bucket_of(employee: Column) -> Column:
+    """Bucket of an employee, in the state and in the store of landed rows."""
+    return F.pmod(F.xxhash64(employee), F.lit(BUCKETS)).cast("int")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -22,11 +32,21 @@ def empty_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], EVALUATION)
 
 
-def read_state(spark: SparkSession, path: str, scope: str | None = None) -> DataFrame:
-    """Stored evaluations, of one scope or of all; empty when nothing is stored yet."""
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_STORED).parquet(path)
+
+
+def read_state(spark: SparkSession, path: str, scope: str | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+    """Stored evaluations, of one scope or of all; empty when nothing is stored yet.
+
+    ``buckets`` limits what is read to the folders of these buckets of employees.
+    """
     if not _exists(spark, path):
         return empty_state(spark)
-    state = spark.read.schema(EVALUATION).parquet(path).select(*EVALUATION_COLUMNS)
+    state = _stored(spark, path)
+    if buckets is not None:
+        state = state.filter(F.col("bucket").isin(*buckets))
+    state = state.select(*EVALUATION_COLUMNS)
     return state if scope is None else state.filter(F.col("scope") == scope)
 
 
@@ -35,34 +55,30 @@ def upsert_state(spark: SparkSession, path: str, new: DataFrame) -> None:
 
     The update is computed once, into a staging table in the shared folder, and merged
     there with what is kept; the state is read no more when its files are replaced, and
-    a failed replacement leaves the merged rows and says where.  Only the
-    (scope, week) partitions that get rows are read and rewritten.  Their list is the
-    one thing the driver sees, as it is when it lists the folders they are.  Writers
-    are rebalanced by size: a small week is one file, a large one as many as it needs.
+    a failed replacement leaves the merged rows and says where.  Only the (scope, bucket
+    of employees, week) folders that get rows are read, found by a semi-join that prunes
+    the scan, and rewritten: an update of one employee touches one folder a week.
+    Writers are rebalanced by size: a small folder is one file, a large one as many as
+    it needs.
     """
     staging = scratch_dir(spark, "update")
-    new.select(*EVALUATION_COLUMNS).write.parquet(staging)
-    new = spark.read.schema(EVALUATION).parquet(staging)
+    bucket = bucket_of(F.col("employee")).alias("bucket")
+    new.select(*EVALUATION_COLUMNS, bucket).write.parquet(staging)
+    new = spark.read.schema(_STORED).parquet(staging)
     if _exists(spark, path):
-        touched = new.select("scope", "week").distinct().collect()
-        if not touched:
-            drop_dir(spark, staging)
-            return
-        hit = F.lit(False)
-        for scope in {r.scope for r in touched}:
-            weeks = [r.week for r in touched if r.scope == scope]
-            hit = hit | ((F.col("scope") == scope) & F.col("week").isin(weeks))
-        kept = read_state(spark, path).filter(hit).join(new.select(*KEY), KEY, "left_anti")
+        # One row a folder: as few as there are scopes, buckets and weeks.
+        touched = F.broadcast(new.select(*_PLACE).distinct())
+        kept = _stored(spark, path).join(touched, _PLACE, "left_semi").join(new.select(*KEY), KEY, "left_anti")
         merged = scratch_dir(spark, "merged")
         new.unionByName(kept).write.parquet(merged)
         drop_dir(spark, staging)
-        new, staging = spark.read.schema(EVALUATION).parquet(merged), merged
+        new, staging = spark.read.schema(_STORED).parquet(merged), merged
     try:
         (
-            new.hint("rebalance", "scope", "week")
+            new.hint("rebalance", *_PLACE)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("scope", "week")
+            .partitionBy(*_PLACE)
             .parquet(path)
         )
     except Exception as error:

@@ -314,15 +314,24 @@ def scan_employee_weeks(
     return union
 
 
-def without_replaced(rows: DataFrame) -> DataFrame:
-    """Scanned rows of several arrivals, less those that a later pasted text replaced."""
+def pasted_at() -> Column:
+    """When a scanned row arrived, if it came with a pasted text."""
     order = F.col(ROW_ORDER)
-    file, landed = order.getField("file"), order.getField("landed")
-    pasted = F.when(order.getField("part").endswith(".txt"), landed)
+    return F.when(order.getField("part").endswith(".txt"), order.getField("landed"))
+
+
+def without_replaced(rows: DataFrame, pasted: DataFrame | None = None) -> DataFrame:
+    """Scanned rows of several arrivals, less those that a later pasted text replaced.
+
+    ``pasted`` (file, pasted) says when texts were pasted, if ``rows`` doesn't hold them all.
+    """
+    file, landed = F.col(ROW_ORDER).getField("file"), F.col(ROW_ORDER).getField("landed")
+    if pasted is None:
+        pasted = rows.select(file.alias("file"), pasted_at().alias("pasted"))
     last = (
-        rows.groupBy(file.alias("_file"))
-        .agg(F.max(pasted).alias("_pasted"))
-        .filter(F.col("_pasted").isNotNull())
+        pasted.filter(F.col("pasted").isNotNull())
+        .groupBy(F.col("file").alias("_file"))
+        .agg(F.max("pasted").alias("_pasted"))
     )
     return rows.join(last, (file == F.col("_file")) & (landed < F.col("_pasted")), "left_anti")
 
