@@ -6,6 +6,7 @@ import html as entities
 import json
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -168,6 +169,74 @@ def test_search_with_few_and_odd_rows(spark, monkeypatch):
     assert search(spark, odd[:1]) == {}
 
 
+ODD_PAGES = {
+    "open quotes": '<a "',
+    "open name": "<aaaa",
+    "long name": "<" + "a" * 50_000 + ' "> ',
+    "open comment": "<!-- x ",
+    "quoted ends": '<a ">"',
+    "open declaration": "<!x ",
+    "angle brackets": "<",
+    "open script": "<script>x</scrip",
+    "two quotes": "<a '\">",
+    "unclosed elements": "<div>",
+}
+
+
+@pytest.mark.parametrize("case", ODD_PAGES)
+def test_odd_pages_are_parsed_in_linear_time(case):
+    unit = ODD_PAGES[case]
+    page = "<article><p>kept</p>" + unit * (2_000_000 // len(unit))
+    start = time.perf_counter()
+    style_tree.parse(page)
+    assert time.perf_counter() - start < 20
+    assert style_tree.Extractor({})("<article><p>kept</p></article>" + unit * 50).startswith("kept")
+
+
+def test_markup():
+    found = lambda page: [(m[2:], page[m[0] : m[1]]) for m in style_tree._markup(page)]
+    assert found("a<b c='>' d>e</b ><!-- <i> --><!doctype x><?y?>< z") == [
+        (("", "b", " c='>' d"), "<b c='>' d>"),
+        (("/", "b", " "), "</b >"),
+        (("", "", ""), "<!-- <i> -->"),
+        (("", "", ""), "<!doctype x>"),
+        (("", "", ""), "<?y?>"),
+    ]
+    assert found('<a "x> <b>') == [(("", "a", ' "x'), '<a "x>'), (("", "b", ""), "<b>")]
+    assert found("1 < 2 <a") == [] and found("<b>x<!-- y") == [(("", "b", ""), "<b>"), (("", "", ""), "<!-- y")]
+    long = f'<a href="{"x" * 9000}">t</a>'
+    assert found(long)[0][0] == ("", "a", f' href="{"x" * 9000}"')
+
+
+def test_odd_arguments(spark):
+    deep = "[" * 100_000
+    odd = {
+        "lone": '{"query":"\\ud800"}',
+        "deep": '{"query":' + deep + "]" * 100_000 + "}",
+        "open": deep,
+        "nan": '{"limit":NaN}',
+        "huge": '{"limit":1e400}',
+        "minus": '{"limit":-Infinity}',
+        "text": "not json",
+        "array": "[1]",
+        "null": '{"query":null,"limit":1}',
+        "number": '{"query":3,"limit":1}',
+        "none": None,
+    }
+    schema = {"f": {"type": ["object"], "properties": {"query": {"type": ["string", "null"]}, "limit": {"type": "number"}, "no": False}}}
+    calls = spark.createDataFrame([(1, k, 1, "f", v, None) for k, v in odd.items()], "conv_id long, call_id string, turn int, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(1, k, 2, "r") for k in odd], "conv_id long, call_id string, turn int, content string")
+    got = {r["call_id"]: r for r in tool_links.link(calls, results, schema).collect()}
+    assert {k for k, r in got.items() if r["status"] == "ok"} == {"lone", "null", "none"}
+    assert {r["status"] for r in got.values()} == {"ok", "invalid"}
+    for k, r in got.items():
+        line = json.loads(r["line"], parse_constant=lambda c: pytest.fail(c))
+        assert line["arguments"] == (odd[k] if r["status"] == "invalid" and k != "number" else json.loads(odd[k] or "{}"))
+    assert "\\ud800" in got["lone"]["line"]
+    with pytest.raises(ValueError):
+        tool_links.link(calls, results, {"f": {"type": "strnig"}})
+
+
 def test_tool_links(spark):
     calls = spark.createDataFrame(
         [

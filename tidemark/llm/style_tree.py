@@ -54,12 +54,9 @@ FIXED = 0.1
 MAX_BROADCAST = 200_000
 SALTS = 16
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+LONG_TAG = 4096  # characters within which the quotes of a tag are looked at
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -109,18 +106,47 @@ def _node(tag: str, attributes: str) -> Node:
     return Node(tag, f"{tag}.{kind}" if kind else tag, noise, main and not noise, hidden)
 
 
+def _markup(page: str):
+    """(start, end, closing, tag, attributes) of each piece of markup, found in time linear in the page.
+
+    A tag ends at its first ``>`` outside quotes or, where there is none within ``LONG_TAG``
+    characters, at its first ``>``; without any ``>`` after it, it is text.  Comments and
+    declarations have no tag; a comment that never ends reaches to the end of the page.
+    """
+    at, size, last = 0, len(page), page.rfind(">")
+    while (start := page.find("<" if at <= last else "<!--", at)) >= 0:
+        end, closing, tag, attributes = -1, "", "", ""
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = end + 3 if end >= 0 else size
+        elif start < last and page[start + 1] in "!?":
+            end = page.find(">", start) + 1
+        elif start < last and (name := _START.match(page, start)):
+            if whole := _TAG.match(page, start, start + LONG_TAG):
+                closing, tag, attributes = whole.groups()
+                end = whole.end()
+            else:
+                end = page.find(">", name.end()) + 1
+                closing, tag, attributes = *name.groups(), page[name.end() : end - 1]
+        if end <= start:
+            at = start + 1
+            continue
+        at = (yield start, end, closing, tag, attributes) or end
+
+
 def parse(page: str) -> Node:
     root = Node("#root", "#root", False, False)
     stack, at, size = [root], 0, len(page)
-    while at < size:
-        match = _TOKEN.search(page, at)
-        if not match:
-            stack[-1].children.append(page[at:])
+    markup, skip = _markup(page), None
+    while True:
+        try:
+            start, end, close, tag, attributes = markup.send(skip)
+        except StopIteration:
             break
-        if match.start() > at:
-            stack[-1].children.append(page[at : match.start()])
-        at = match.end()
-        close, tag, attributes = match.group(1, 2, 3) if match[2] else match.group(4, 5, 6)
+        skip = None
+        if start > at:
+            stack[-1].children.append(page[at:start])
+        at = end
         if not tag:
             continue
         tag = tag.lower()
@@ -152,9 +178,11 @@ def parse(page: str) -> Node:
         stack[-1].children.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            at = skip = end.end() if end else size
         elif tag not in _VOID and not attributes.endswith("/") and len(stack) < _DEPTH:
             stack.append(node)
+    if at < size:
+        stack[-1].children.append(page[at:])
     return root
 
 

@@ -9,9 +9,11 @@ cycle, or behind one, get no level.  Within a conversation, lines follow (level,
 call_id).  Arguments are checked against a JSON schema by tool name (type, required,
 properties, additionalProperties, items, enum, minimum, maximum).
 
-Canonical JSON: keys sorted, no spaces, characters not escaped where JSON allows.
+Canonical JSON: keys sorted, no spaces, characters not escaped where JSON allows (half a
+surrogate pair is).
 
-Status: ok, invalid (arguments break their schema or aren't a JSON object), no_schema
+Status: ok, invalid (arguments break their schema, aren't a JSON object, hold NaN or a number
+out of range, or are nested too deep; they are then written as text), no_schema
 (unknown tool), no_result, no_call (a result without a call), cycle.  The first that
 applies of no_call, cycle, invalid, no_schema, no_result counts.
 
@@ -23,6 +25,8 @@ empty results.
 """
 
 import json
+import math
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,22 +45,67 @@ _TYPES = {
 }
 
 
+_LONE = re.compile("[\ud800-\udfff]")  # half a character: JSON may hold it, UTF-8 can't
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _LONE.sub(lambda half: f"\\u{ord(half[0]):04x}", text)
 
 
-def conforms(value, schema: dict) -> bool:
-    kind = schema.get("type")
-    if kind:
-        if not isinstance(value, _TYPES[kind]) or (kind in ("integer", "number") and isinstance(value, bool)):
-            return False
+def _finite(number: str) -> float:
+    if not math.isfinite(value := float(number)):
+        raise ValueError(f"{number} is out of range")
+    return value
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def parsed(arguments: str | None) -> dict | None:
+    """Arguments as an object; None if they are none: no JSON, numbers out of range, nested too deep to be written again."""
+    if arguments is None:
+        return {}
+    try:
+        value = json.loads(arguments, parse_float=_finite, parse_constant=_no_number)
+        canonical(value)
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def _is(value, kind: str) -> bool:
+    return isinstance(value, _TYPES[kind]) and not (kind in ("integer", "number") and isinstance(value, bool))
+
+
+def checked(schema) -> None:
+    """Raises for a schema with types that are none, before any row is read."""
+    if not isinstance(schema, dict):
+        if not isinstance(schema, bool):
+            raise ValueError(f"no schema: {schema!r}")
+        return
+    kinds = schema.get("type", [])
+    for kind in [kinds] if isinstance(kinds, str) else kinds:
+        if kind not in _TYPES:
+            raise ValueError(f"unknown type {kind!r}")
+    for below in [*schema.get("properties", {}).values(), schema.get("items", True)]:
+        checked(below)
+
+
+def conforms(value, schema: dict | bool) -> bool:
+    if isinstance(schema, bool):
+        return schema
+    kinds = schema.get("type", [])
+    if kinds and not any(_is(value, kind) for kind in ([kinds] if isinstance(kinds, str) else kinds)):
+        return False
     if "enum" in schema and value not in schema["enum"]:
         return False
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
+    if _is(value, "number"):
         if value < schema.get("minimum", value) or value > schema.get("maximum", value):
             return False
     if isinstance(value, list):
-        return all(conforms(x, schema.get("items", {})) for x in value)
+        return all(conforms(x, schema.get("items", True)) for x in value)
     if isinstance(value, dict):
         known = schema.get("properties", {})
         if any(k not in value for k in schema.get("required", ())):
@@ -101,6 +150,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     calls: conv_id, call_id, turn, name, arguments (JSON), depends_on (array of call_id).
     results: conv_id, call_id, turn, content.  schemas: JSON schema by tool name.
     """
+    for schema in schemas.values():
+        checked(schema)
     there = "conv_id is not null and call_id is not null"
     called = stored(
         calls.where(there)
@@ -119,14 +170,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     def written(call_id: pd.Series, name: pd.Series, arguments: pd.Series, content: pd.Series) -> pd.DataFrame:
         fits, lines = [], []
         for i, n, a, c in zip(call_id, name, arguments, content):
-            try:
-                value = json.loads(a) if a is not None else {}
-                good = isinstance(value, dict)
-            except ValueError:
-                value, good = a, False
-            known = n in schemas
-            fits.append("invalid" if not good or (known and not conforms(value, schemas[n])) else "ok" if known else "no_schema")
-            lines.append(canonical({"id": i, "name": n, "arguments": value, "result": c}))
+            value, known = parsed(a), n in schemas
+            fits.append("invalid" if value is None or (known and not conforms(value, schemas[n])) else "ok" if known else "no_schema")
+            lines.append(canonical({"id": i, "name": n, "arguments": a if value is None else value, "result": c}))
         return pd.DataFrame({"fits": fits, "line": lines})
 
     out = joined.select("*", written("call_id", "name", "arguments", F.col("r.content")).alias("w"))
