@@ -219,6 +219,32 @@ def test_nearest_case_over_any_vocabulary(spark, floor):
         cases.nearest_cases(q, p, searches, vocabulary=None, floor=0.0)
 
 
+@pytest.mark.parametrize("mode, weeks", [("stored", 30_000), ("true_count", 3_000)])
+def test_many_weeks_of_one_employee(spark, mode, weeks):
+    rnd = random.Random(11)
+    steps = []
+    for week in range(1, weeks + 1):
+        score = rnd.choice([1, 2, 3, 3, 5, 7, 9]) if week % 1000 < 800 else 2
+        steps.append(("a", week, rnd.choice(["model", "model", "case"]), score, label(score), "r", rnd.random() < 0.2, rnd.randint(0, 3), rnd.random() < 0.9))
+    elevated = streak = run = 0
+    want = []
+    for _, week, origin, score, name, _, stored, stored_streak, seen in steps:
+        new = not stored and origin == "model"
+        bonus = new and streak < C.HEALTHY_WEEKS_TO_CLEAR and elevated >= C.ELEVATED_WEEKS_FOR_BONUS
+        score, name = (min(score + 1, 10), label(min(score + 1, 10))) if bonus else (score, name)
+        healthy = name == "Healthy"
+        own = stored_streak if stored else streak + 1 if new and healthy else 0
+        want.append((week, score, name, own, bonus, elevated, streak))
+        if seen:
+            elevated += name != "Healthy" and name in ("At Risk", "Silent Exit", "Watch") and name.upper() in C.ELEVATED_CLASSES
+            grown = run + 1 if mode == "true_count" else max(streak, own + run, run + 1)
+            streak, run = (min(grown, risk.MAX_STREAK), run + 1) if healthy else (0, 0)
+    frame = spark.createDataFrame(steps, STORED)
+    got = risk.fold_scores(frame, streak_mode=mode).orderBy("week").select(
+        "week", "score", "classification", "healthy_streak", "bonus", "prior_elevated", "prior_streak").collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_pools(spark):
     frame = spark.createDataFrame(
         [("model", "text"), ("case", None), ("default", ""), ("model", "x " + C.SAFE_BRIEFING)], "origin STRING, briefing STRING")

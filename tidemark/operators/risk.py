@@ -118,6 +118,10 @@ def fold_scores(
 
     Week w depends on the classes of earlier weeks, which contain earlier bonuses: a
     true recurrence.  An employee has at most one row per week, so the array is bounded.
+    It is folded in blocks of ``FOLD_BLOCK`` weeks: only the state (elevated weeks, streak,
+    run) goes from one to the next, and a week is appended to its block's rows, not to
+    all before it, so time grows with the weeks and not with their square.  Streaks count
+    up to ``MAX_STREAK``.
     ``streak_mode="true_count"`` counts healthy weeks once instead of adding the walk
     to the stored streak.
     """
@@ -137,17 +141,11 @@ def fold_scores(
         *carry,
     )
     per_employee = rows.groupBy("employee").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    start = F.struct(
-        F.array().cast(f"ARRAY<{_OUT}>").alias("out"),
-        F.lit(0).alias("elevated"),
-        F.lit(0).alias("streak"),
-        F.lit(0).alias("run"),
-    )
     folded = F.aggregate(
-        "steps",
-        start,
-        lambda acc, x: _advance(acc, x, streak_mode),
-        lambda acc: acc.getField("out"),
+        _blocks(F.col("steps")),
+        _state(f"ARRAY<ARRAY<{_OUT}>>", *[F.lit(0)] * 3),
+        lambda acc, block: _advance_block(acc, block, streak_mode),
+        lambda acc: F.flatten(acc.getField("out")),
     )
     zipped = per_employee.select(
         "employee", F.inline(F.arrays_zip(folded.alias("r"), F.col("steps").alias("x")))
@@ -166,6 +164,37 @@ def fold_scores(
     )
 
 
+FOLD_BLOCK = 64
+MAX_STREAK = 1_000_000_000
+_STATE = ("elevated", "streak", "run")
+
+
+def _blocks(steps: Column) -> Column:
+    """An array cut into arrays of ``FOLD_BLOCK`` entries."""
+    last = F.floor((F.size(steps) - 1) / FOLD_BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(steps, i * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)))
+
+
+def _state(out: str, *values: Column) -> Column:
+    """State of the fold with no rows yet."""
+    named = [v.cast("int").alias(n) for n, v in zip(_STATE, values)]
+    return F.struct(F.array().cast(out).alias("out"), *named)
+
+
+def _advance_block(acc: Column, block: Column, streak_mode: str) -> Column:
+    """One block of the fold."""
+    start = _state(f"ARRAY<{_OUT}>", *[acc.getField(n) for n in _STATE])
+    folded = F.aggregate(block, start, lambda inner, x: _advance(inner, x, streak_mode))
+    # Through an array of one, so that the block is folded once for all its fields.
+    return F.transform(
+        F.array(folded),
+        lambda end: F.struct(
+            F.array_append(acc.getField("out"), end.getField("out")).cast(f"ARRAY<ARRAY<{_OUT}>>").alias("out"),
+            *[end.getField(n).alias(n) for n in _STATE],
+        ),
+    )[0]
+
+
 def _advance(acc: Column, x: Column, streak_mode: str) -> Column:
     """One week of the fold."""
     elevated, streak, run = (acc.getField(n) for n in ("elevated", "streak", "run"))
@@ -208,6 +237,6 @@ def _advance(acc: Column, x: Column, streak_mode: str) -> Column:
     return F.struct(
         F.array_append(acc.getField("out"), row).cast(f"ARRAY<{_OUT}>").alias("out"),
         (elevated + F.when(seen & upper.isin(*C.ELEVATED_CLASSES), 1).otherwise(0)).alias("elevated"),
-        F.when(~seen, streak).when(healthy, grown).otherwise(F.lit(0)).alias("streak"),
+        F.when(~seen, streak).when(healthy, F.least(grown, F.lit(MAX_STREAK))).otherwise(F.lit(0)).alias("streak"),
         F.when(~seen, run).when(healthy, run + 1).otherwise(F.lit(0)).alias("run"),
     )
