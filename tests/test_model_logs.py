@@ -1,6 +1,9 @@
 import base64
+import datetime as dt
 import hashlib
 import json
+import os
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -125,6 +128,50 @@ def test_routing(spark):
     assert rows(telemetry.route_inference_logs(logs, "demo-x"), "insertId") == [("a",), ("b",)]
 
 
+def test_messages_by_day(spark, tmp_path):
+    files, logs_path, path = (str(tmp_path / n) for n in ("files", "logs", "messages"))
+    os.mkdir(files)
+    for k in range(4):
+        (tmp_path / "files" / f"call{k}_in.jsonl").write_text(
+            f'{{"role": "user", "index": 0, "parts": [{{"type": "text", "content": "hi {k}"}}]}}\n' + "{broken\n" * (k == 2))
+    (tmp_path / "files" / "unnamed_in.jsonl").write_text('{"role": "user", "index": 0, "parts": []}\n')
+    logs = [log(f"i{k}", 86400 * (k // 2), f"t{k}", "s", conv=f"c{k}", inp=f"gs://b/call{k}_in.jsonl") for k in range(4)]
+    telemetry.append_logs(spark.createDataFrame(logs, INFERENCE_LOG), logs_path)
+    name = lambda uri: F.regexp_extract(uri, r"([^/]+)$", 1)
+    stored = telemetry.read_logs(spark, logs_path)
+    refs = comp.unpivot_refs(comp.log_refs(stored))
+    with pytest.raises(ValueError, match="more than 0"):
+        telemetry.store_messages(spark, files, refs, path, max_bad_records=0, key=name)
+    assert [f for f in os.listdir(path) if not f.startswith(("_", "."))] == []
+    assert telemetry.store_messages(spark, files, refs, path, max_bad_records=1, key=name) == 1
+    messages = telemetry.read_messages(spark, path)
+    assert rows(messages, "file_key", "day") == sorted(
+        [(f"call{k}_in.jsonl", dt.date(2024, 1, 1 + k // 2)) for k in range(4)] + [("unnamed_in.jsonl", None)], key=repr)
+    view = comp.stored_view(stored.filter("day = DATE'2024-01-02'"), messages, name)
+    assert rows(view, "insert_id", "content") == [("i2", "hi 2"), ("i3", "hi 3")]
+    plan = view._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert len(scans) == 2 and all("2024-01-02" in s for s in scans)
+    # Another batch of files is added, none is replaced.
+    telemetry.store_messages(spark, files, refs, path, key=name)
+    assert telemetry.read_messages(spark, path).count() == 10
+
+
+def test_routes_in_one_scan(spark, tmp_path):
+    logs = [log("a", 0, "t", "s", inp="gs://demo-x/1"), log("b", 0, "t", "s", out="gs://demo-x/1"), log("c", 0, "t", "s", name="p/logs/other")]
+    entries = spark.createDataFrame(logs, INFERENCE_LOG).withColumn(
+        "payload", F.when(F.col("insertId") != "a", '{"log_type": "feedback", "service_name": "engine"}'))
+    telemetry.append_logs(entries, str(tmp_path / "in"))
+    source = spark.read.parquet(str(tmp_path / "in")).withColumn("payload", F.when(F.col("insertId") != "a", '{"log_type": "feedback", "service_name": "engine"}'))
+    routes = {"inference": telemetry.is_inference_log("demo-x"), "feedback": telemetry.is_feedback("engine"), "never": F.lit(None).cast("boolean")}
+    routed = telemetry.route_entries(source, routes)
+    assert rows(routed, "route", "insertId") == [("feedback", "b"), ("feedback", "c"), ("inference", "a"), ("inference", "b")]
+    assert routed._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    telemetry.write_routes(source, routes, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").glob("route=*")) == ["route=feedback", "route=inference"]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
 def test_logs_by_day(spark, tmp_path):
     path = str(tmp_path / "logs")
     logs = spark.createDataFrame([log("a", 0, "t", "s"), log("b", 86400, "t", "s")], INFERENCE_LOG)

@@ -8,6 +8,8 @@ key.  Output rows keep their trace and span in the second key: they are never ga
 per conversation.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 VIEW_COLUMNS = (
@@ -59,6 +61,7 @@ def log_refs(logs: DataFrame) -> DataFrame:
         "trace",
         F.col("spanId").alias("span_id"),
         *[F.col(f"labels.{label}").alias(name) for name, label in labels.items()],
+        *(["day"] if "day" in logs.columns else []),
     ).filter(F.col("input_ref").isNotNull() | F.col("output_ref").isNotNull())
 
 
@@ -125,6 +128,20 @@ def join_messages(refs: DataFrame, completions: DataFrame, any_scheme: bool = Fa
     )
 
 
+def join_stored_messages(refs: DataFrame, messages: DataFrame, key: Callable[[Column], Column] = lambda uri: uri) -> DataFrame:
+    """References (with their ``day``) and the messages stored by day and file key.
+
+    The day is part of the join, so a condition on the logs' days prunes the messages' folders too.
+    """
+    stored = messages.select("day", "file_key", "role", "parts", F.col("index").alias("message_idx"))
+    return (
+        refs.withColumn("file_key", key(F.col("messages_ref_uri")))
+        .join(stored, ["day", "file_key"])
+        .drop("file_key", "day")
+        .withColumn("api_call_id", api_call_id(F.col("messages_ref_uri")))
+    )
+
+
 def flatten_parts(joined: DataFrame) -> DataFrame:
     """One row per message part; messages without parts give none."""
     kept = [c for c in joined.columns if c != "parts"]
@@ -176,7 +193,17 @@ def without_echoes(parts: DataFrame) -> DataFrame:
 def completions_view(logs: DataFrame, completions: DataFrame, ordered: bool = True, any_scheme: bool = False) -> DataFrame:
     """The joined, deduplicated view in its published column order."""
     refs = latest_refs(unpivot_refs(log_refs(logs)))
-    parts = flatten_parts(join_messages(refs, completions, any_scheme))
+    return _view(join_messages(refs, completions, any_scheme), ordered)
+
+
+def stored_view(logs: DataFrame, messages: DataFrame, key: Callable[[Column], Column] = lambda uri: uri, ordered: bool = True) -> DataFrame:
+    """The view over logs and messages that are both stored by day."""
+    refs = latest_refs(unpivot_refs(log_refs(logs)))
+    return _view(join_stored_messages(refs, messages, key), ordered)
+
+
+def _view(joined: DataFrame, ordered: bool) -> DataFrame:
+    parts = flatten_parts(joined)
     rows = without_echoes(first_across_traces(latest_in_span(parts))).select(*VIEW_COLUMNS)
     return rows.orderBy(*[F.asc_nulls_first(c) for c in VIEW_ORDER]) if ordered else rows
 

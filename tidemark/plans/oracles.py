@@ -766,15 +766,24 @@ ORACLES["latest_part_in_span"] = _with(
     LOGS, PARTS, SPAN,
     body="SELECT insert_id, conversation_id, trace, message_type, m_role AS role, message_idx, part_idx FROM span_copies WHERE row_num = 1",
 )
-ORACLES["completions_view"] = _with(
-    LOGS, PARTS, SPAN,
-    body="""SELECT ts AS timestamp, insert_id, trace, span_id, conversation_id, conv_id || '-' || turn AS api_call_id,
+_VIEW_BODY = """SELECT ts AS timestamp, insert_id, trace, span_id, conversation_id, conv_id || '-' || turn AS api_call_id,
       message_type, m_role AS role, message_idx, part_idx, content, CASE WHEN is_blob THEN 'blob' ELSE 'text' END AS part_type,
       CAST(NULL AS VARCHAR) AS tool_name, CAST(NULL AS VARCHAR) AS tool_args, CAST(NULL AS VARCHAR) AS tool_response,
       usage_input_tokens, usage_output_tokens, 'assistant' AS agent_name, 'stop' AS finish_reasons, user_id,
       CAST(NULL AS VARCHAR) AS uri, CAST(NULL AS VARCHAR) AS mime_type, data_md5_hex, uri AS messages_ref_uri
     FROM across WHERE cross_num = 1 AND NOT (message_type = 'input' AND m_role = 'assistant')
-    ORDER BY conversation_id ASC NULLS FIRST, timestamp ASC NULLS FIRST, message_type, message_idx, part_idx""",
+    ORDER BY conversation_id ASC NULLS FIRST, timestamp ASC NULLS FIRST, message_type, message_idx, part_idx"""
+ORACLES["completions_view"] = _with(LOGS, PARTS, SPAN, body=_VIEW_BODY)
+ORACLES["stored_view_of_one_day"] = _with(
+    LOGS.replace("FROM logs WHERE", "FROM logs WHERE ts >= 1704153600 AND ts < 1704240000 AND"),
+    PARTS, SPAN, body=_VIEW_BODY,
+)
+ORACLES["routed_entries"] = _with(
+    LOGS,
+    body="""SELECT 'inference' AS route, insert_id AS "insertId" FROM logs
+      WHERE role = 'assistant' AND contains('gs://messages/' || conv_id || '-' || turn || '_output.jsonl', '1-')
+    UNION ALL SELECT 'feedback', insert_id FROM logs WHERE user_id LIKE '%7'
+    UNION ALL SELECT 'other', insert_id FROM logs WHERE role <> 'assistant'""",
 )
 ORACLES["routed_logs"] = _with(
     LOGS,

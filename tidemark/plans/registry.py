@@ -837,6 +837,44 @@ def stored_completions(spark, sf_dir):
     )
 
 
+def _message_name(uri: Column) -> Column:
+    """Name of a message file, also where each is a folder of parts."""
+    return F.regexp_extract(uri, r"([^/=]+\.jsonl)(/|$)", 1)
+
+
+@register("S13", "S14", "J8", "S17")
+def stored_view_of_one_day(spark, sf_dir):
+    """The view of one day over stored logs and message files, some of whose lines are malformed."""
+    logs_path, files, messages = (scratch_dir(spark, name) for name in ("logs", "files", "messages"))
+    telemetry.append_logs(d.inference_logs(spark, sf_dir), logs_path)
+    lines = d.completions(spark, sf_dir).select(
+        _message_name(F.col("file_path")).alias("name"),
+        F.explode(F.when(F.col("index") == 1, F.array(F.to_json(F.struct("parts", "role", "index")), F.lit('{"role": "broken')))
+                  .otherwise(F.array(F.to_json(F.struct("parts", "role", "index"))))).alias("value"))
+    lines.repartition("name").write.partitionBy("name").text(files)
+    logs = telemetry.read_logs(spark, logs_path)
+    refs = comp.unpivot_refs(comp.log_refs(logs))
+    telemetry.store_messages(spark, files, refs, messages, max_bad_records=10_000_000, key=_message_name)
+    view = comp.stored_view(logs.filter("day = DATE'2024-01-02'"), telemetry.read_messages(spark, messages), _message_name)
+    return view.withColumn("timestamp", F.unix_seconds("timestamp"))
+
+
+@register("S15")
+def routed_entries(spark, sf_dir):
+    """All routes in one scan and one write, read back."""
+    path = scratch_dir(spark, "routes")
+    logs = d.inference_logs(spark, sf_dir).withColumn(
+        "payload", F.to_json(F.struct(
+            F.when(F.col("labels.user_id").endswith("7"), "feedback").otherwise("trace").alias("log_type"),
+            F.lit("engine").alias("service_name"))))
+    telemetry.write_routes(logs, {
+        "inference": telemetry.is_inference_log("1-"),
+        "feedback": telemetry.is_feedback("engine"),
+        "other": ~F.col("logName").endswith(telemetry.INFERENCE_LOG_NAME),
+    }, path)
+    return spark.read.parquet(path).select("route", "insertId")
+
+
 @register("S16", "S15")
 def feedback_rows(spark, sf_dir):
     labels = d.table(spark, sf_dir, "labels")

@@ -1,8 +1,12 @@
 """Inference logs, stored messages, log routing and feedback."""
 
+import uuid
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tidemark.schemas import COMPLETION, INFERENCE_LOG, INFERENCE_LOG_COLUMNS
+from tidemark.session import drop_dir
 
 MAX_BAD_RECORDS = 1000
 INFERENCE_LOG_NAME = "gen_ai.client.inference.operation.details"
@@ -70,25 +74,92 @@ def _raise_above(bad: int, limit: int) -> None:
         raise ValueError(f"more than {limit} malformed message lines")
 
 
+def store_messages(
+    spark: SparkSession,
+    files: str,
+    refs: DataFrame,
+    path: str,
+    max_bad_records: int = MAX_BAD_RECORDS,
+    key: Callable[[Column], Column] | None = None,
+) -> int:
+    """Puts message files where a view of some days finds them: by the days of the logs that name them.
+
+    ``refs`` (messages_ref_uri, day) are the references of the logs; ``key`` makes of a URI or path
+    what both sides agree on.  A message is stored under each day it is named in, one that
+    no log names under none.  The write counts malformed lines as it goes; above the limit
+    nothing is published and it raises.  Returns their number.
+    """
+    if key is None:
+        def key(uri: Column) -> Column:
+            return uri
+
+    messages, observation = read_completions(spark, files)
+    named = refs.select(key(F.col("messages_ref_uri")).alias("file_key"), "day").distinct()
+    placed = messages.withColumn("file_key", key(F.col("file_path"))).join(named, "file_key", "left")
+    hidden = f"{path.rstrip('/')}/_landing-{uuid.uuid4().hex}"
+    placed.hint("rebalance", "day").write.partitionBy("day").parquet(hidden)
+    try:
+        bad = assert_few_bad(observation, max_bad_records)
+        _publish(spark, hidden, path.rstrip("/"))
+    finally:
+        drop_dir(spark, hidden)
+    return bad
+
+
+def _publish(spark: SparkSession, hidden: str, path: str) -> None:
+    """Moves the files of each day to that day's folder."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(hidden)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for day in fs.listStatus(root):
+        name = day.getPath().getName()
+        if day.isDirectory() and name.startswith("day="):
+            target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            fs.mkdirs(target)
+            for file in fs.listStatus(day.getPath()):
+                fs.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(target, file.getPath().getName()))
+
+
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """Messages as :func:`store_messages` keeps them, with ``file_key`` and ``day``."""
+    return spark.read.schema(f"{COMPLETION}, file_path STRING, file_key STRING, day DATE").parquet(path)
+
+
+def route_entries(entries: DataFrame, routes: Mapping[str, Column]) -> DataFrame:
+    """Entries with the ``route`` they take, from one scan: a row for each route whose condition holds.
+
+    An entry may take several routes, or none.
+    """
+    taken = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in routes.items()]))
+    return entries.withColumn("route", F.explode(taken))
+
+
+def write_routes(entries: DataFrame, routes: Mapping[str, Column], path: str) -> None:
+    """Appends entries to the folder of each route they take, in one scan and one write."""
+    route_entries(entries, routes).hint("rebalance", "route").write.mode("append").partitionBy("route").parquet(path)
+
+
+def is_inference_log(project: str) -> Column:
+    """Log name of an inference log, and a reference to the project."""
+    refs = [F.col(f"labels.gen_ai_{kind}_messages_ref") for kind in ("input", "output")]
+    named = [F.coalesce(ref.contains(F.lit(project)), F.lit(False)) for ref in refs]
+    return F.col("logName").endswith(f"/logs/{INFERENCE_LOG_NAME}") & (named[0] | named[1])
+
+
+def is_feedback(service: str) -> Column:
+    """Feedback of a service, by its JSON body in ``payload``."""
+    doc = F.from_json("payload", "log_type STRING, service_name STRING")
+    return (doc.getField("log_type") == "feedback") & (doc.getField("service_name") == service)
+
+
 def route_inference_logs(entries: DataFrame, project: str) -> DataFrame:
     """Log entries for the inference table: log name, and a reference to the project."""
-    pattern = F.lit(project)
-    return entries.filter(
-        F.col("logName").endswith(f"/logs/{INFERENCE_LOG_NAME}")
-        & (
-            F.coalesce(F.col("labels.gen_ai_input_messages_ref").contains(pattern), F.lit(False))
-            | F.coalesce(F.col("labels.gen_ai_output_messages_ref").contains(pattern), F.lit(False))
-        )
-    )
+    return entries.filter(is_inference_log(project))
 
 
 def route_feedback(entries: DataFrame, service: str) -> DataFrame:
     """Log entries for the feedback table (JSON body in ``payload``)."""
-    body = "log_type STRING, service_name STRING"
-    doc = F.from_json("payload", body)
-    return entries.filter(
-        (doc.getField("log_type") == "feedback") & (doc.getField("service_name") == service)
-    )
+    return entries.filter(is_feedback(service))
 
 
 def feedback_rows(rows: DataFrame, service: str) -> DataFrame:
