@@ -157,6 +157,35 @@ def test_messages_by_day(spark, tmp_path):
     assert telemetry.read_messages(spark, path).count() == 10
 
 
+def test_days_are_added_to_a_view(spark, tmp_path):
+    path = str(tmp_path / "view")
+    files = [(f"gs://b/call{k}_{kind}.jsonl", "user" if kind == "in" else "model", i, [("text", f"{kind} {i}")])
+             for k in range(6) for kind in ("in", "out") for i in range(k + 1 if kind == "in" else 1)]
+    messages = spark.createDataFrame(
+        [(f, r, i, [(t, c, None, None, None, None, None, None, None) for t, c in p]) for f, r, i, p in files],
+        "file_path STRING, role STRING, index BIGINT, parts ARRAY<STRUCT<type: STRING, content: STRING, mime_type: STRING, "
+        "uri: STRING, data: BINARY, id: STRING, name: STRING, arguments: STRING, response: STRING>>")
+    logs = [log(f"i{k}{n}", 86400 * (k // 2) + 10 * k + n, f"t{k}", "s", conv=[None, "c"][k % 2], inp=f"gs://b/call{k}_in.jsonl", out=f"gs://b/call{k}_out.jsonl")
+            for k in range(6) for n in range(2)]
+    frame = spark.createDataFrame(logs, INFERENCE_LOG).withColumn("day", F.to_date("timestamp"))
+
+    def add(day):
+        refs = comp.latest_refs(comp.unpivot_refs(comp.log_refs(frame.filter(F.col("day") == day))))
+        comp.add_day(spark, comp.join_messages(refs, messages), day, path)
+
+    for day in ("2024-01-01", "2024-01-02", "2024-01-02", "2024-01-03"):
+        add(day)
+    want = rows(comp.completions_view(frame, messages, ordered=False))
+    assert rows(comp.read_days(spark, path)) == want and len(want) == 17
+    # Rows of earlier days may be gone: only their keys are read.
+    for file in (tmp_path / "view" / "rows" / "day=2024-01-01").glob("*"):
+        file.unlink()
+    add("2024-01-03")
+    assert rows(comp.read_days(spark, path), "insert_id") == [r for r in rows(comp.completions_view(frame, messages), "insert_id") if int(r[0][1]) > 1]
+    with pytest.raises(ValueError, match="after"):
+        add("2024-01-02")
+
+
 def test_routes_in_one_scan(spark, tmp_path):
     logs = [log("a", 0, "t", "s", inp="gs://demo-x/1"), log("b", 0, "t", "s", out="gs://demo-x/1"), log("c", 0, "t", "s", name="p/logs/other")]
     entries = spark.createDataFrame(logs, INFERENCE_LOG).withColumn(

@@ -196,3 +196,15 @@ def test_details_by_name(spark):
     assert [(s.signal_name, s.details) for s in got] == [(C.AFTER_HOURS, None), (C.SICK, "was ill")]
     none = detect(spark, records).filter("week = 3").select(S.add_details(F.col("signals"), F.lit(None).cast("ARRAY<STRUCT<signal_name: STRING, details: STRING>>")).alias("s"))
     assert [s.severity for s in none.first().s] == ["low", "high"]
+
+
+def test_as_of_merge_joins_nothing(spark):
+    spine = spark.createDataFrame([(e, w) for e in "ab" for w in range(1, 8)], "employee STRING, week INT")
+    confirmed = spark.createDataFrame(
+        [("a", "x", 2, 3), ("a", "x", 3, 3), ("a", "y", 5, 6), ("a", "x", 7, 9), ("c", "x", 1, 1)],
+        "employee STRING, signal_name STRING, week INT, confirm_week INT")
+    found = S.confirmed_as_of_join(spine, confirmed)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {(r.employee, r.as_of_week, r.signal_name): list(r.weeks_detected) for r in found.collect()}
+    assert got == {("a", w, "x"): [2, 3] for w in range(3, 8)} | {("a", w, "y"): [5] for w in (6, 7)}

@@ -10,7 +10,7 @@ per conversation.
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 VIEW_COLUMNS = (
     "timestamp",
@@ -208,6 +208,42 @@ def _view(joined: DataFrame, ordered: bool) -> DataFrame:
     return rows.orderBy(*[F.asc_nulls_first(c) for c in VIEW_ORDER]) if ordered else rows
 
 
+def part_key(parts: DataFrame) -> Column:
+    """128 bits that stand for a part: its message key and, for outputs, its trace and span."""
+    own = F.when(F.col("message_type") == "output", F.struct("trace", "span_id"))
+    return F.unhex(F.md5(F.to_json(F.struct(*_MESSAGE_KEY, own.alias("own")))))
+
+
+def add_day(spark: SparkSession, joined: DataFrame, day: str, path: str) -> None:
+    """Adds the references and messages of one day to a stored view.
+
+    The rows of earlier days are not read: a table of their part keys (16 bytes each, by day) says
+    which parts are known, and the first copy is the earlier one.  Days are added in
+    their order; one that is added again replaces its own rows.  A span that is logged again on a
+    later day keeps the rows it has.
+    """
+    path = path.rstrip("/")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/keys")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    days = sorted(s.getPath().getName().removeprefix("day=") for s in fs.listStatus(root) if s.isDirectory()) if fs.exists(root) else []
+    if days and day < days[-1]:
+        raise ValueError(f"day {day} comes after {days[-1]} was added")
+    parts = latest_in_span(flatten_parts(joined))
+    new = first_across_traces(parts).withColumn("part_key", part_key(parts))
+    if any(known < day for known in days):
+        seen = spark.read.schema("part_key BINARY, day STRING").parquet(f"{path}/keys").filter(F.col("day") < day)
+        new = new.join(seen.select("part_key"), "part_key", "left_anti")
+    # The rows are computed once; the keys are taken from what was written, and come last.
+    rows = f"{path}/rows/day={day}"
+    new.write.mode("overwrite").parquet(rows)
+    spark.read.schema(new.schema).parquet(rows).select("part_key").write.mode("overwrite").parquet(f"{path}/keys/day={day}")
+
+
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    """The view over all days that were added."""
+    return without_echoes(spark.read.parquet(f"{path.rstrip('/')}/rows")).select(*VIEW_COLUMNS)
+
+
 def register_view(view: DataFrame, name: str = "completions_view") -> DataFrame:
     view.createOrReplaceTempView(name)
     return view

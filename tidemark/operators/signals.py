@@ -188,18 +188,28 @@ def explode_signals(evaluated: DataFrame) -> DataFrame:
 
 
 def confirmed_as_of_join(timeline: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """(employee, as_of_week, signal_name, weeks_detected) by a range join.
+    """(employee, as_of_week, signal_name, weeks_detected): what was confirmed by each week.
 
-    The relational form of the as-of rule, for confirmed weeks kept as a table.  The
-    equality on employee keeps every group within the bounded number of weeks.
+    The as-of rule for confirmed weeks kept as a table.  Both sides are merged in the
+    order of employee and week, and each week of the timeline takes the confirmed rows
+    up to it: no row is made for a pair of weeks that don't go together, as a join on the
+    employee would.
     """
-    spine = timeline.select("employee", F.col("week").alias("as_of_week"))
-    return (
-        spine.join(confirmed, "employee")
-        .filter(F.col("confirm_week") <= F.col("as_of_week"))
-        .groupBy("employee", "as_of_week", "signal_name")
-        .agg(F.array_sort(F.collect_set("week")).alias("weeks_detected"))
+    hit = F.struct("signal_name", "week")
+    merged = confirmed.select("employee", F.col("confirm_week").alias("at"), hit.alias("hit"), F.lit(False).alias("asks")).union(
+        timeline.select("employee", "week", F.lit(None).cast("struct<signal_name: string, week: int>"), F.lit(True))
     )
+    # A range frame: what is confirmed in a week counts as of that week.
+    so_far = W.partitionBy("employee").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    known = merged.withColumn("hits", F.collect_set("hit").over(so_far)).filter("asks")
+    names = F.array_distinct(F.transform("hits", lambda h: h.getField("signal_name")))
+
+    def weeks_of(name: Column) -> Column:
+        own = F.filter("hits", lambda h: h.getField("signal_name") == name)
+        return F.array_sort(F.transform(own, lambda h: h.getField("week")))
+
+    listed = F.transform(names, lambda n: F.struct(n.alias("signal_name"), weeks_of(n).alias("weeks_detected")))
+    return known.select("employee", F.col("at").alias("as_of_week"), F.inline(listed))
 
 
 def add_details(signals: Column, answers: Column) -> Column:

@@ -774,6 +774,7 @@ _VIEW_BODY = """SELECT ts AS timestamp, insert_id, trace, span_id, conversation_
     FROM across WHERE cross_num = 1 AND NOT (message_type = 'input' AND m_role = 'assistant')
     ORDER BY conversation_id ASC NULLS FIRST, timestamp ASC NULLS FIRST, message_type, message_idx, part_idx"""
 ORACLES["completions_view"] = _with(LOGS, PARTS, SPAN, body=_VIEW_BODY)
+ORACLES["view_day_by_day"] = ORACLES["completions_view"]
 ORACLES["stored_view_of_one_day"] = _with(
     LOGS.replace("FROM logs WHERE", "FROM logs WHERE ts >= 1704153600 AND ts < 1704240000 AND"),
     PARTS, SPAN, body=_VIEW_BODY,

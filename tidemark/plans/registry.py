@@ -859,6 +859,18 @@ def stored_view_of_one_day(spark, sf_dir):
     return view.withColumn("timestamp", F.unix_seconds("timestamp"))
 
 
+@register("W4", "W5", "S17")
+def view_day_by_day(spark, sf_dir):
+    """The view put together from its days, each deduplicated against all before."""
+    path, logs_path = scratch_dir(spark, "view"), scratch_dir(spark, "logs")
+    telemetry.append_logs(d.inference_logs(spark, sf_dir), logs_path)
+    logs, messages = telemetry.read_logs(spark, logs_path), d.completions(spark, sf_dir)
+    for row in logs.select("day").distinct().orderBy("day").collect():  # one row a day
+        refs = comp.latest_refs(comp.unpivot_refs(comp.log_refs(logs.filter(F.col("day") == row.day))))
+        comp.add_day(spark, comp.join_messages(refs, messages, any_scheme=True), str(row.day), path)
+    return comp.read_days(spark, path).withColumn("timestamp", F.unix_seconds("timestamp"))
+
+
 @register("S15")
 def routed_entries(spark, sf_dir):
     """All routes in one scan and one write, read back."""
