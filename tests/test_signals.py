@@ -208,3 +208,18 @@ def test_as_of_merge_joins_nothing(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
     got = {(r.employee, r.as_of_week, r.signal_name): list(r.weeks_detected) for r in found.collect()}
     assert got == {("a", w, "x"): [2, 3] for w in range(3, 8)} | {("a", w, "y"): [5] for w in (6, 7)}
+
+
+def test_weeks_of_many_runs_and_gaps(spark):
+    rnd = random.Random(3)
+    weeks = [w for w in range(1, 400) if w == 1 or rnd.random() > 0.15]
+    hours = {w: rnd.choice([20, 20, 40]) for w in weeks}
+    hours[1] = 40
+    records = spark.createDataFrame([("a", w, 5, 1.0, 0, 0, hours[w], 95, "Neutral", "f") for w in weeks], EMPLOYEE_WEEK)
+    low = {w for w in weeks if w > 1 and hours[w] < 30}
+    for r in S.signals_as_of(TL.densify(records, 400)).collect():
+        seen = {w for w in low if w <= r.week}
+        want = sorted(w for w in seen if w - 1 in seen or w + 1 in seen)
+        found = [s.weeks_detected for s in r.signals if s.signal_name == C.LOW_ACTIVITY]
+        assert found == ([want] if want else [])
+        assert r.missing_weeks == [w for w in range(1, r.week + 1) if w not in hours]

@@ -136,14 +136,20 @@ def _entry(kind: str, name: str, weeks: str, severity: str, details: str = "NULL
     )
 
 
+def _run(first: str) -> str:
+    """The stretch of weeks from ``first`` to the row's week."""
+    return f"named_struct('first', {first}, 'last', week)"
+
+
 def _as_of_entry(rule: Rule) -> str:
     """Signal entry as of the row's week, NULL when nothing is confirmed by then."""
     k = rule.key
     pick = "greatest" if rule.keep == "max" else "least"
-    weeks = f"IF(now_{k}, array_append(weeks_{k}, week), weeks_{k})"
+    runs = f"IF(now_{k}, array_append(runs_{k}, {_run(f'since_{k}')}), runs_{k})"
+    weeks = f"flatten(transform({runs}, r -> sequence(r.first, r.last)))"
     worst = f"IF(now_{k}, {pick}(past_{k}, worst_{k}), past_{k})"
     found = _entry("signal", rule.name, weeks, rule.severity(worst))
-    return f"IF(now_{k} OR size(weeks_{k}) > 0, {found}, NULL)"
+    return f"IF(now_{k} OR size(runs_{k}) > 0, {found}, NULL)"
 
 
 def signals_as_of(timeline: DataFrame) -> DataFrame:
@@ -152,16 +158,19 @@ def signals_as_of(timeline: DataFrame) -> DataFrame:
     Returns (employee, week, data_missing, missing_weeks, signals).  Equal to running
     detection again on each prefix of the timeline, but linear: as of week ``w`` the
     confirmed weeks are those before ``w`` with a flagged neighbour, plus ``w`` itself
-    when the week before is flagged.  Worst values are running maxima and minima, and
-    everything stays in one partitioning by employee.
+    when the week before is flagged.  These weeks are kept as runs (first, last): those
+    that ended before ``w``, and the one that reaches ``w``; single weeks are listed only in
+    the result.  Worst values are running maxima and minima, and everything stays in one
+    partitioning by employee.
     """
     before = employee_order().rowsBetween(W.unboundedPreceding, -1)
     worst, running = {}, {}
     for r in RULES:
         worst[f"worst_{r.key}"] = F.expr(f"IF(run_{r.key}, {r.worst}, NULL)")
-        hit = F.expr(f"IF(run_{r.key}, week, NULL)")
+        worst[f"since_{r.key}"] = F.coalesce(F.max(F.expr(f"IF(flag_{r.key}, NULL, week)")).over(before), F.lit(0)) + 1
+        ended = F.expr(f"IF(now_{r.key} AND NOT next_{r.key}, {_run(f'since_{r.key}')}, NULL)")
         extreme = F.max if r.keep == "max" else F.min
-        running[f"weeks_{r.key}"] = F.collect_list(hit).over(before)
+        running[f"runs_{r.key}"] = F.collect_list(ended).over(before)
         running[f"past_{r.key}"] = extreme(f"worst_{r.key}").over(before)
     rows = with_missing_weeks(with_runs(timeline)).withColumns(worst).withColumns(running)
 

@@ -100,14 +100,24 @@ def densify(records: DataFrame, max_week: Column | int) -> DataFrame:
 
 
 def with_missing_weeks(timeline: DataFrame) -> DataFrame:
-    """Adds the missing weeks up to and including each row's week."""
-    so_far = employee_order().rowsBetween(W.unboundedPreceding, W.currentRow)
-    return timeline.withColumn(
-        "missing_weeks",
-        F.array_sort(
-            F.collect_list(F.when(F.col("data_missing"), F.col("week"))).over(so_far)
-        ),
+    """Adds the missing weeks up to and including each row's week.
+
+    Gaps are kept as stretches (first, last): those that ended before the week and the one
+    that reaches it; single weeks are listed only in the result.
+    """
+    before = employee_order().rowsBetween(W.unboundedPreceding, -1)
+    stretch = F.struct(F.col("_since").alias("first"), F.col("week").alias("last"))
+    present_next = ~F.lead("data_missing", 1, True).over(employee_order())
+    placed = timeline.withColumns(
+        {
+            "_since": F.coalesce(F.max(F.when(~F.col("data_missing"), F.col("week"))).over(before), F.lit(0)) + 1,
+            "_ends": F.col("data_missing") & present_next,
+        }
     )
+    gaps = placed.withColumn("_gaps", F.collect_list(F.when(F.col("_ends"), stretch)).over(before))
+    reached = F.when(F.col("data_missing"), F.array_append("_gaps", stretch)).otherwise(F.col("_gaps"))
+    weeks = F.flatten(F.transform(reached, lambda g: F.sequence(g.getField("first"), g.getField("last"))))
+    return gaps.withColumn("missing_weeks", weeks).drop("_since", "_ends", "_gaps")
 
 
 def expected_weeks(employees: DataFrame, max_week: Column | int) -> DataFrame:
