@@ -227,18 +227,12 @@ STRICT_COLUMNS = {
     "sick_days": ("sick_days",),
 }
 
-# Words that stand for a metric in a free-text observation.
+# Words that stand for a metric in a free-text observation ("sick days" is our own).
 OBSERVATION_WORDS = {
     "sick_days": ("holiday", "absences", "leaves", "days off", "vacation", "sick days"),
     "weekly_hours": ("worked", "spent", "only for"),
     "after_hours_logins": ("worked everyday", "night logins", "late logins", "after-hours"),
-    "task_accuracy": ("performance accuracy", "accuracy", "quality", "score"),
-    "avg_response_time": (
-        "avg response",
-        "response speed",
-        "latency",
-        "response",
-        "delay",
-    ),
+    "task_accuracy": ("accuracy", "quality", "score", "performance accuracy"),
+    "avg_response_time": ("latency", "response", "delay", "avg response", "response speed"),
 }
 OBSERVED_HOURS, OBSERVED_ACCURACY, OBSERVED_SENTIMENT = 40, 95, "Neutral"

@@ -32,7 +32,8 @@ def _found(text: Column, pattern: str) -> Column:
 
 
 def _words(metric: str) -> str:
-    return "|".join(w.replace(" ", r"\s+") for w in OBSERVATION_WORDS[metric])
+    longest_first = sorted(OBSERVATION_WORDS[metric], key=len, reverse=True)
+    return "|".join(w.replace(" ", r"\s+") for w in longest_first)
 
 
 def _before_or_after(text: Column, metric: str, number: str) -> Column:

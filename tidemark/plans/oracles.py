@@ -559,9 +559,10 @@ report AS (
 ORACLES["report_rows"] = _with(*_STATE, LATEST, REPORT, body="SELECT * FROM report")
 ORACLES["report_file"] = _with(
     *_STATE, LATEST, REPORT,
-    body="""SELECT line, count(*) AS n FROM (SELECT line FROM report
-      UNION ALL SELECT unnest(['TEAM SUMMARY', 'INDIVIDUAL RISK CARDS', 'STORED EVALUATIONS', 'end of report']))
-    GROUP BY line""",
+    body="""SELECT row_number() OVER (ORDER BY section, employee, ord) AS n, line FROM (
+      SELECT section, employee, ord, line FROM report
+      UNION ALL VALUES (1, '', -1, 'TEAM SUMMARY'), (2, '', -1, 'INDIVIDUAL RISK CARDS'),
+        (3, '', -1, 'STORED EVALUATIONS'), (9, '', 0, 'end of report'))""",
 )
 
 # --- read models ----------------------------------------------------------------
@@ -665,6 +666,17 @@ ORACLES["evaluation_run"] = _with(
     *_STATE, ANSWERS, *_DETECT, MISSING, ENTRIES, NAMED, *_run("true"), *_fold(_STORED_GROWTH),
     body=_run_body("*"), recursive=True,
 )
+ORACLES["evaluation_run_all_answers"] = _with(
+    *_STATE, ANSWERS, *_DETECT, MISSING, ENTRIES, NAMED, *_run("true"), *_fold(_STORED_GROWTH),
+    body=f"""SELECT r.employee, r.week, r.score, r.classification, r.origin, r.names,
+      CASE WHEN r.briefing = '' OR a.employee IS NULL OR r.u % 3 = 2 THEN r.briefing
+        WHEN r.u % 3 = 1 THEN {_q(C.SAFE_BRIEFING)} ELSE 'A talk with ' || r.employee || ' in w' || r.week END AS briefing,
+      CASE WHEN contains(r.names, 'Burnout Risk') AND a.employee IS NOT NULL AND r.u % 2 = 0 THEN 'seen w' || r.week ELSE '' END AS details
+    FROM (SELECT *, CAST(substr(employee, 6) AS INTEGER) AS u FROM ("""
+    + _run_body("*")
+    + """)) r LEFT JOIN answers a ON a.employee = r.employee AND a.week = r.week""",
+    recursive=True,
+)
 ORACLES["evaluation_run_recomputed"] = _with(
     *_STATE, ANSWERS, *_DETECT, MISSING, ENTRIES, NAMED, *_run("week < 2"), *_fold(_STORED_GROWTH),
     body=_run_body("employee, week, score, classification, healthy_streak, origin"), recursive=True,
@@ -826,4 +838,5 @@ ORACLES["grade_comparison"] = _with(
 )
 ORACLES["evaluation_cases"] = """
 SELECT conv_id || '-' || turn AS case_id, CASE WHEN conv_id % 2 = 0 THEN 'prompt' ELSE 'turns' END AS shape,
-  md5(text) AS message_md5, CAST(conv_id % 2 AS INTEGER) AS turn_count, CAST(conv_id % 2 AS BIGINT) AS events FROM conversations"""
+  md5(text) AS message_md5, CAST(2 * (conv_id % 2) AS INTEGER) AS turn_count,
+  CASE WHEN conv_id % 2 = 0 THEN '' ELSE '0:0:' || role || ' 0:1:agent 1:0:agent 1:1:' || role END AS events FROM conversations"""

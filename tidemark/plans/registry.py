@@ -569,12 +569,12 @@ def evaluation_documents(spark, sf_dir):
 
 @register("S19", "S20", "O4")
 def report_file(spark, sf_dir):
-    """Lines of the text report, written and read back."""
+    """Lines of the text report with their numbers, written and read back."""
     path = scratch_dir(spark, "report")
     state = d.stored_evaluations(spark, sf_dir)
     lines = readmodels.report_lines(readmodels.latest_rows(state), state)
     reports.write_report(lines, path, "end of report")
-    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    return reports.read_report(spark, path)
 
 
 # --- state and read models ------------------------------------------------------
@@ -686,6 +686,29 @@ def evaluation_run(spark, sf_dir):
     )
 
 
+@register("J7", "D2", "P15", "X12", "X18")
+def evaluation_run_all_answers(spark, sf_dir):
+    """The run with a model's answers of all three kinds: details, scores and briefings, some of them blocked."""
+    weeks = d.staged_weeks(spark, sf_dir)
+    risks = d.risk_answers(spark, sf_dir, weeks)
+    user, week = d.user_number(F.col("employee")), F.col("week").cast("string")
+    notes = F.concat(
+        F.lit('```json\n[{"signal_name": "Other", "details": "x"}, {"signal_name": "Burnout Risk", "details": "seen w'),
+        week, F.lit('"}]\n```'))
+    talk = F.concat(F.when(user % 3 == 1, "A disciplinary talk").otherwise("A talk"), F.lit(" with "), "employee", F.lit(" in w"), week)
+    trends = risks.filter(user % 2 == 0).withColumns({"kind": F.lit("trend"), "text": notes})
+    talks = risks.filter(user % 3 < 2).withColumns({"kind": F.lit("briefing"), "text": talk})
+    rows = run.evaluate(
+        d.employee_weeks(spark, sf_dir, True, weeks), tl.max_week_of(weeks.select("week")), d.earlier_state(spark, sf_dir, weeks),
+        risks.unionByName(trends).unionByName(talks), "main", d.AS_OF)
+    burnout = F.filter("signals", lambda s: s.signal_name == C.BURNOUT)
+    return rows.select(
+        "employee", "week", "score", "classification", "origin", _signal_names().alias("names"),
+        F.coalesce("briefing", F.lit("")).alias("briefing"),
+        F.array_join(F.transform(burnout, lambda s: F.coalesce(s.details, F.lit(""))), ",").alias("details"),
+    )
+
+
 @register("T3", "T2", "P14")
 def late_weeks_redone(spark, sf_dir):
     """Week 3 of every third employee comes late: only they are computed again, from that week on.
@@ -955,19 +978,23 @@ def evaluation_cases(spark, sf_dir):
     def message(role: Column, text: Column) -> Column:
         return F.struct(role.alias("role"), F.array(F.struct(text.alias("text"))).alias("parts"))
 
-    event = F.struct(F.col("role").alias("author"), message(F.col("role"), F.col("text")).alias("content"))
+    def event(role: Column, text: Column) -> Column:
+        return F.struct(role.alias("author"), message(role, text).alias("content"))
+
+    def turn(index: int, *events: Column) -> Column:
+        return F.struct(F.lit(index).alias("turn_index"), F.array(*events).alias("events"))
+
+    own, intro = event(F.col("role"), F.col("text")), event(F.lit("agent"), F.col("role"))
     is_prompt = F.col("conv_id") % 2 == 0
     case = F.struct(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("eval_case_id"),
         F.when(is_prompt, message(F.lit("user"), F.col("text"))).alias("prompt"),
-        F.when(
-            ~is_prompt,
-            F.struct(F.array(F.struct(F.lit(0).alias("turn_index"), F.array(event).alias("events"))).alias("turns")),
-        ).alias("agent_data"),
+        F.when(~is_prompt, F.struct(F.array(turn(0, own, intro), turn(1, intro, own)).alias("turns"))).alias("agent_data"),
     )
     cases_ = evalset.eval_cases(turns.select(F.array(case).alias("eval_cases")))
-    events = evalset.case_events(cases_).groupBy("case_id").agg(F.count(F.lit(1)).alias("events"))
+    events = evalset.case_events(cases_).groupBy("case_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "turn_index", "event_idx", "author"))), " ").alias("events"))
     return cases_.join(events, "case_id", "left").select(
         "case_id", "shape", F.md5(F.col("message").cast("binary")).alias("message_md5"), "turn_count",
-        F.coalesce("events", F.lit(0)).alias("events"),
+        F.coalesce("events", F.lit("")).alias("events"),
     )
