@@ -379,7 +379,7 @@ ORACLES["nearest_document"] = r"""
     SELECT *, CASE WHEN total = shared THEN 1.0::DOUBLE ELSE shared::DOUBLE / (total - shared) END AS similarity FROM pairs),
   near AS (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, near_source, near_id) AS rn
-    FROM ranked WHERE similarity >= 0.25)
+    FROM ranked WHERE similarity >= 0.5)
   SELECT s.doc_id, CAST(trunc(similarity * 100) AS INTEGER) AS percent, near_id, near_source, near_chars
   FROM s LEFT JOIN near n ON n.doc_id = s.doc_id AND rn = 1 WHERE s.doc_id % 100 = 0
 """

@@ -249,7 +249,7 @@ def nearest_document(spark, sf_dir):
         "doc_id", F.col("source").alias("employee"), F.col("doc_id").alias("week"), "n_chars", F.filter(words, lambda w: w != "").alias("names"))
     new = F.col("doc_id") % 100 == 0
     question = [cases.Search("near_", F.lit(True), ("week", "employee", "n_chars"))]
-    found = cases.nearest_cases(rows.where(new), rows.where(~new), question, vocabulary=None, floor=0.25)
+    found = cases.nearest_cases(rows.where(new), rows.where(~new), question, vocabulary=None)
     return found.select(
         "doc_id",
         sets.percent(F.col("near_similarity")).alias("percent"),
