@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tidemark import constants as C
-from tidemark.operators import cases, risk
+from tidemark.operators import cases, risk, set_join
 from tidemark.plans.weekly_run import in_window
 
 BASE = "employee STRING, week INT, origin STRING, base_score INT, base_class STRING, base_rationale STRING"
@@ -180,8 +180,9 @@ def test_nearest_case_against_brute_force(spark):
     assert none.filter("all_score IS NOT NULL").count() == 0 and none.count() == 80
 
 
-@pytest.mark.parametrize("floor", [0.25, 0.5, 0.7, 1.0])
-def test_nearest_case_over_any_vocabulary(spark, floor):
+@pytest.mark.parametrize("floor, limit", [(0.25, 0), (0.25, 10**6), (0.5, 10**6), (0.7, 0), (1.0, 10**6)])
+def test_nearest_case_over_any_vocabulary(spark, floor, limit, monkeypatch):
+    monkeypatch.setattr(set_join, "MAX_BROADCAST", limit)
     rnd = random.Random(7)
     vocabulary = [f"name{i}" for i in range(3000)]
     weights = [1 / (1 + i) for i in range(3000)]
