@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tidemark.operators import completions as comp
+from tidemark.plans import driver_tables as d, registry
 from tidemark.schemas import INFERENCE_LOG
 from tidemark.sources import telemetry
 
@@ -186,6 +187,34 @@ def test_days_are_added_to_a_view(spark, tmp_path):
         add("2024-01-02")
 
 
+def test_bundled_message_files(spark, tmp_path):
+    """Lines of many message files in one: each belongs to the file it names."""
+    files, path = str(tmp_path / "files"), str(tmp_path / "messages")
+    os.mkdir(files)
+    line = '{"role": "user", "index": 0, "parts": [{"type": "text", "content": "hi %d"}]%s}\n'
+    (tmp_path / "files" / "bundle.jsonl").write_text(
+        "".join(line % (k, f', "file_path": "gs://b/call{k}_in.jsonl"') for k in range(3)) + line % (3, "") + '{"role": "broken\n')
+    name = lambda uri: F.regexp_extract(uri, r"([^/]+)$", 1)
+    refs = spark.createDataFrame([("gs://b/call1_in.jsonl", dt.date(2024, 1, 1)), ("gs://b/bundle.jsonl", dt.date(2024, 1, 2))], "messages_ref_uri STRING, day DATE")
+    assert telemetry.store_messages(spark, files, refs, path, key=name, bundled=True) == 1
+    got = telemetry.read_messages(spark, path).select("file_key", "day", F.col("parts")[0].content.alias("content"))
+    assert rows(got, "file_key", "day", "content") == sorted(
+        [("bundle.jsonl", dt.date(2024, 1, 2), "hi 3"), ("call0_in.jsonl", None, "hi 0"), ("call1_in.jsonl", dt.date(2024, 1, 1), "hi 1"),
+         ("call2_in.jsonl", None, "hi 2")], key=repr)
+
+
+def test_stored_view_writes_few_files(spark, tmp_path, monkeypatch):
+    turns = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t}") for c in range(60, 130) for t in range(4)]
+    spark.createDataFrame(turns, "conv_id BIGINT, turn INT, role STRING, text STRING").coalesce(2).write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(registry, "scratch_dir", lambda _, label: str(tmp_path / label))
+    got = registry.QUERIES["stored_view_of_one_day"](spark, str(tmp_path))
+    logs = d.inference_logs(spark, str(tmp_path)).filter(F.to_date("timestamp") == "2024-01-02")
+    want = comp.completions_view(logs, d.completions(spark, str(tmp_path)), any_scheme=True)
+    columns = [c for c in comp.VIEW_COLUMNS if c != "timestamp"]
+    assert rows(got, *columns) == rows(want, *columns) and got.count() > 50
+    assert len([f for _, _, names in os.walk(tmp_path / "files") for f in names if f.startswith("part-")]) < 70
+
+
 def test_routes_in_one_scan(spark, tmp_path):
     logs = [log("a", 0, "t", "s", inp="gs://demo-x/1"), log("b", 0, "t", "s", out="gs://demo-x/1"), log("c", 0, "t", "s", name="p/logs/other")]
     entries = spark.createDataFrame(logs, INFERENCE_LOG).withColumn(

@@ -870,14 +870,14 @@ def stored_view_of_one_day(spark, sf_dir):
     """The view of one day over stored logs and message files, some of whose lines are malformed."""
     logs_path, files, messages = (scratch_dir(spark, name) for name in ("logs", "files", "messages"))
     telemetry.append_logs(d.inference_logs(spark, sf_dir), logs_path)
+    line = F.to_json(F.struct("parts", "role", "index", "file_path"))
     lines = d.completions(spark, sf_dir).select(
-        _message_name(F.col("file_path")).alias("name"),
-        F.explode(F.when(F.col("index") == 1, F.array(F.to_json(F.struct("parts", "role", "index")), F.lit('{"role": "broken')))
-                  .otherwise(F.array(F.to_json(F.struct("parts", "role", "index"))))).alias("value"))
-    lines.repartition("name").write.partitionBy("name").text(files)
+        F.explode(F.when(F.col("index") == 1, F.array(line, F.lit('{"role": "broken'))).otherwise(F.array(line))).alias("value"))
+    # Bundles: a file for each message file would be tens of thousands.
+    lines.write.option("compression", "gzip").option("maxRecordsPerFile", 100_000).text(files)
     logs = telemetry.read_logs(spark, logs_path)
     refs = comp.unpivot_refs(comp.log_refs(logs))
-    telemetry.store_messages(spark, files, refs, messages, max_bad_records=10_000_000, key=_message_name)
+    telemetry.store_messages(spark, files, refs, messages, max_bad_records=10_000_000, key=_message_name, bundled=True)
     view = comp.stored_view(logs.filter("day = DATE'2024-01-02'"), telemetry.read_messages(spark, messages), _message_name)
     return view.withColumn("timestamp", F.unix_seconds("timestamp"))
 

@@ -23,6 +23,7 @@ def append_logs(logs: DataFrame, path: str) -> None:
     (
         logs.select(*INFERENCE_LOG_COLUMNS)
         .withColumn("day", F.to_date("timestamp"))
+        .hint("rebalance", "day")  # else each task writes a file for each of its days
         .write.mode("append")
         .partitionBy("day")
         .parquet(path)
@@ -34,21 +35,26 @@ def read_completions(
     path: str,
     max_bad_records: int = MAX_BAD_RECORDS,
     check: str = "observe",
+    bundled: bool = False,
 ) -> tuple[DataFrame, Observation | None]:
     """Messages of newline-delimited JSON files, with ``file_path``; bad lines dropped.
 
+    ``bundled`` files hold the lines of many message files: each line names its own in
+    ``file_path``, a line that names none belongs to the file it is in.
+
     ``check="observe"`` counts bad lines while the data is used: call
     :func:`assert_few_bad` after the action.  ``check="count"`` counts them first, in a
     scan of its own, and raises above ``max_bad_records``.
     """
-    schema = f"{COMPLETION}, {_CORRUPT} STRING"
+    schema = f"{COMPLETION}, {'file_path STRING, ' if bundled else ''}{_CORRUPT} STRING"
+    own = F.col("_metadata.file_path")
     raw = (
         spark.read.schema(schema)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .option("recursiveFileLookup", "true")
         .json(path)
-        .select("*", F.col("_metadata.file_path").alias("file_path"))
+        .withColumn("file_path", F.coalesce("file_path", own) if bundled else own)
     )
     # Spark refuses to read the bad lines' column alone (a plain count would), so the
     # condition names a second column that adds nothing.
@@ -81,19 +87,21 @@ def store_messages(
     path: str,
     max_bad_records: int = MAX_BAD_RECORDS,
     key: Callable[[Column], Column] | None = None,
+    bundled: bool = False,
 ) -> int:
     """Puts message files where a view of some days finds them: by the days of the logs that name them.
 
     ``refs`` (messages_ref_uri, day) are the references of the logs; ``key`` makes of a URI or path
     what both sides agree on.  A message is stored under each day it is named in, one that
     no log names under none.  The write counts malformed lines as it goes; above the limit
-    nothing is published and it raises.  Returns their number.
+    nothing is published and it raises.  Returns their number.  ``bundled`` is that of
+    :func:`read_completions`.
     """
     if key is None:
         def key(uri: Column) -> Column:
             return uri
 
-    messages, observation = read_completions(spark, files)
+    messages, observation = read_completions(spark, files, bundled=bundled)
     named = refs.select(key(F.col("messages_ref_uri")).alias("file_key"), "day").distinct()
     placed = messages.withColumn("file_key", key(F.col("file_path"))).join(named, "file_key", "left")
     hidden = f"{path.rstrip('/')}/_landing-{uuid.uuid4().hex}"
