@@ -215,6 +215,32 @@ def test_stored_view_writes_few_files(spark, tmp_path, monkeypatch):
     assert len([f for _, _, names in os.walk(tmp_path / "files") for f in names if f.startswith("part-")]) < 70
 
 
+def test_days_added_together(spark, tmp_path):
+    """The same rows and keys as days added one by one, also with a day without rows and an added day again."""
+    messages = spark.createDataFrame(
+        [(f"gs://b/call{k}_in.jsonl", "user", i, [("text", f"in {i}", None, None, None, None, None, None, None)]) for k in range(8) for i in range(k + 1)],
+        "file_path STRING, role STRING, index BIGINT, parts ARRAY<STRUCT<type: STRING, content: STRING, mime_type: STRING, "
+        "uri: STRING, data: BINARY, id: STRING, name: STRING, arguments: STRING, response: STRING>>")
+    # Spans are logged again, some on a later day.
+    logs = [log(f"i{k}{n}", 86400 * (k // 2 + n // 2) + 10 * k + n, f"t{k}", "s", conv=[None, "c"][k % 2], inp=f"gs://b/call{k}_in.jsonl") for k in range(8) for n in range(3)]
+    frame = spark.createDataFrame(logs, INFERENCE_LOG).withColumn("day", F.to_date("timestamp").cast("string"))
+    joined = comp.join_messages(comp.latest_refs(comp.unpivot_refs(comp.log_refs(frame)), "day"), messages).cache()
+    days = [f"2024-01-0{k}" for k in range(1, 8)]  # the last two have no rows
+    one, all_, some = (str(tmp_path / name) for name in ("one", "all", "some"))
+    for day in days:
+        comp.add_day(spark, joined.filter(F.col("day") == day), day, one)
+    comp.add_days(spark, joined, days, all_)
+    comp.add_days(spark, joined.filter(F.col("day") <= days[2]), days[:3], some)
+    for added in (days[2:6], days[5:]):
+        comp.add_days(spark, joined.filter(F.col("day").isin(added)), added, some)
+    want = rows(comp.read_days(spark, one))
+    assert want == rows(comp.read_days(spark, all_)) == rows(comp.read_days(spark, some)) and len(want) > 8
+    for path in (all_, some):
+        assert rows(spark.read.parquet(f"{path}/keys")) == rows(spark.read.parquet(f"{one}/keys"))
+        with pytest.raises(ValueError, match="after"):
+            comp.add_days(spark, joined, days[:2], path)
+
+
 def test_routes_in_one_scan(spark, tmp_path):
     logs = [log("a", 0, "t", "s", inp="gs://demo-x/1"), log("b", 0, "t", "s", out="gs://demo-x/1"), log("c", 0, "t", "s", name="p/logs/other")]
     entries = spark.createDataFrame(logs, INFERENCE_LOG).withColumn(

@@ -8,7 +8,7 @@ key.  Output rows keep their trace and span in the second key: they are never ga
 per conversation.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -92,13 +92,13 @@ def api_call_id(uri: Column) -> Column:
     return F.substring_index(stem, "_", 1)
 
 
-def latest_refs(refs: DataFrame) -> DataFrame:
-    """Drops repeated logs of one span and file before the join.
+def latest_refs(refs: DataFrame, *within: str) -> DataFrame:
+    """Drops repeated logs of one span and file before the join, ``within`` a day, say.
 
     They carry the same messages, so the rule within a span would keep the latest one
     for every part anyway.
     """
-    keys = ("conversation_id", "trace", "span_id", "message_type", "messages_ref_uri")
+    keys = (*within, "conversation_id", "trace", "span_id", "message_type", "messages_ref_uri")
     newest_first = W.partitionBy(*keys).orderBy(F.desc("timestamp"), "insert_id")
     return (
         refs.withColumn("_copy", F.row_number().over(newest_first))
@@ -159,9 +159,9 @@ def flatten_parts(joined: DataFrame) -> DataFrame:
     )
 
 
-def latest_in_span(parts: DataFrame) -> DataFrame:
+def latest_in_span(parts: DataFrame, *within: str) -> DataFrame:
     """Latest copy of each part within a trace and span."""
-    copies = W.partitionBy("trace", "span_id", *_MESSAGE_KEY).orderBy(
+    copies = W.partitionBy(*within, "trace", "span_id", *_MESSAGE_KEY).orderBy(
         F.desc("timestamp"), *_TIE_BREAK
     )
     return (
@@ -169,15 +169,15 @@ def latest_in_span(parts: DataFrame) -> DataFrame:
     )
 
 
-def first_across_traces(parts: DataFrame) -> DataFrame:
-    """Earliest copy of each input part in a conversation; every output part."""
+def first_across_traces(parts: DataFrame, *first: str) -> DataFrame:
+    """Earliest copy of each input part in a conversation, by ``first`` and time; every output part."""
     is_output = F.col("message_type") == "output"
     own = parts.withColumns(
         {
             "_out_trace": F.when(is_output, F.struct("trace", "span_id")),
         }
     )
-    copies = W.partitionBy(*_MESSAGE_KEY, "_out_trace").orderBy("timestamp", *_TIE_BREAK)
+    copies = W.partitionBy(*_MESSAGE_KEY, "_out_trace").orderBy(*first, "timestamp", *_TIE_BREAK)
     return (
         own.withColumn("_copy", F.row_number().over(copies))
         .filter("_copy = 1")
@@ -215,28 +215,43 @@ def part_key(parts: DataFrame) -> Column:
 
 
 def add_day(spark: SparkSession, joined: DataFrame, day: str, path: str) -> None:
-    """Adds the references and messages of one day to a stored view.
+    """Adds the references and messages of one day to a stored view, see :func:`add_days`."""
+    add_days(spark, joined.withColumn("day", F.lit(day)), [day], path)
 
-    The rows of earlier days are not read: a table of their part keys (16 bytes each, by day) says
+
+def add_days(spark: SparkSession, joined: DataFrame, days: Sequence[str], path: str) -> None:
+    """Adds the references and messages of ``days``, by their column ``day``, to a stored view.
+
+    What is stored is the same whether days are added together or one by one: each is
+    deduplicated by itself, then against all before.  Of rows of the days added, the earliest day's stays;
+    the rows of days stored earlier are not read: a table of their part keys (16 bytes each, by day) says
     which parts are known, and the first copy is the earlier one.  Days are added in
     their order; one that is added again replaces its own rows.  A span that is logged again on a
     later day keeps the rows it has.
     """
-    path = path.rstrip("/")
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/keys")
+    path, days = path.rstrip("/"), sorted(days)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{path}/keys")
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    days = sorted(s.getPath().getName().removeprefix("day=") for s in fs.listStatus(root) if s.isDirectory()) if fs.exists(root) else []
-    if days and day < days[-1]:
-        raise ValueError(f"day {day} comes after {days[-1]} was added")
-    parts = latest_in_span(flatten_parts(joined))
-    new = first_across_traces(parts).withColumn("part_key", part_key(parts))
-    if any(known < day for known in days):
-        seen = spark.read.schema("part_key BINARY, day STRING").parquet(f"{path}/keys").filter(F.col("day") < day)
+    known = sorted(s.getPath().getName().removeprefix("day=") for s in fs.listStatus(root) if s.isDirectory()) if fs.exists(root) else []
+    if known and days[0] < known[-1]:
+        raise ValueError(f"day {days[0]} comes after {known[-1]} was added")
+    parts = latest_in_span(flatten_parts(joined.withColumn("day", F.col("day").cast("string"))), "day")
+    new = first_across_traces(parts, "day").withColumn("part_key", part_key(parts))
+    if any(day < days[0] for day in known):
+        seen = spark.read.schema("part_key BINARY, day STRING").parquet(f"{path}/keys").filter(F.col("day") < days[0])
         new = new.join(seen.select("part_key"), "part_key", "left_anti")
+    folders = [jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/day={day}") for day in days for kind in ("keys", "rows")]
+    for folder in folders:
+        fs.delete(folder, True)
+    # A file without rows keeps the schema where all days are empty.
+    spark.createDataFrame([], new.drop("day").schema).coalesce(1).write.parquet(f"{path}/rows/day={days[0]}")
     # The rows are computed once; the keys are taken from what was written, and come last.
-    rows = f"{path}/rows/day={day}"
-    new.write.mode("overwrite").parquet(rows)
-    spark.read.schema(new.schema).parquet(rows).select("part_key").write.mode("overwrite").parquet(f"{path}/keys/day={day}")
+    new.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(f"{path}/rows")
+    written = spark.read.schema("part_key BINARY, day STRING").parquet(f"{path}/rows").filter(F.col("day").isin(days))
+    written.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(f"{path}/keys")
+    for folder in folders:
+        fs.mkdirs(folder)
 
 
 def read_days(spark: SparkSession, path: str) -> DataFrame:

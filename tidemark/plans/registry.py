@@ -20,7 +20,7 @@ from tidemark.operators import (
 )
 from tidemark.plans import driver_tables as d, weekly_run as run
 from tidemark.schemas import EVALUATION_JSON
-from tidemark.session import scratch_dir
+from tidemark.session import drop_dir, scratch_dir
 from tidemark.sources import evalset, evaluations as ev, reports, telemetry, weekly
 from tidemark.streaming import realtime
 
@@ -885,12 +885,22 @@ def stored_view_of_one_day(spark, sf_dir):
 @register("W4", "W5", "S17")
 def view_day_by_day(spark, sf_dir):
     """The view put together from its days, each deduplicated against all before."""
-    path, logs_path = scratch_dir(spark, "view"), scratch_dir(spark, "logs")
+    path, logs_path, joined_path = (scratch_dir(spark, name) for name in ("view", "logs", "joined"))
     telemetry.append_logs(d.inference_logs(spark, sf_dir), logs_path)
-    logs, messages = telemetry.read_logs(spark, logs_path), d.completions(spark, sf_dir)
-    for row in logs.select("day").distinct().orderBy("day").collect():  # one row a day
-        refs = comp.latest_refs(comp.unpivot_refs(comp.log_refs(logs.filter(F.col("day") == row.day))))
-        comp.add_day(spark, comp.join_messages(refs, messages, any_scheme=True), str(row.day), path)
+    undated = F.lit("0000-00-00")  # before all days
+    logs = telemetry.read_logs(spark, logs_path).withColumn("day", F.coalesce(F.col("day").cast("string"), undated))
+    messages = d.completions(spark, sf_dir)
+    refs = comp.latest_refs(comp.unpivot_refs(comp.log_refs(logs)), "day")
+    comp.join_messages(refs, messages, any_scheme=True).write.parquet(joined_path)  # all days: messages are joined once
+    joined = spark.read.parquet(joined_path)
+    days = [row.day for row in logs.select("day").distinct().orderBy("day").collect()]  # one row a day
+    # The first day by itself, then eight times as many each time: the stored keys are read a few times, not once a day.
+    at, many = 0, 1
+    while at < len(days):
+        added = days[at : at + many]
+        comp.add_days(spark, joined.filter(F.col("day").between(added[0], added[-1])), added, path)
+        at, many = at + many, 8 * many
+    drop_dir(spark, joined_path)
     return comp.read_days(spark, path).withColumn("timestamp", F.unix_seconds("timestamp"))
 
 
