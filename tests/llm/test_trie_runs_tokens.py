@@ -1,16 +1,19 @@
 """Prefix trie, periodic runs and token files against brute force, on odd rows and large groups."""
 
 import hashlib
+import os
 import random
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 from tidemark.llm import periodic_runs, prefix_trie, token_files
 
@@ -214,6 +217,30 @@ def test_no_token_files(spark, docs, tmp_path):
     assert token_files.read(spark, folder).count() == 0
 
 
+def test_a_worker_keeps_its_encoder_from_task_to_task(spark):
+    def run(batches):
+        encoder = token_files.Encoder.get(TOKENIZER)
+        known = "zqxjvk" in encoder.known
+        time.sleep(sum(batch.num_rows for batch in batches) * 0.05)
+        encoder.encode("zqxjvk.")
+        yield pa.RecordBatch.from_pylist([{"worker": os.getpid(), "known": known}])
+
+    cores = spark.sparkContext.defaultParallelism
+    tasks = spark.range(0, 4 * cores, 1, 4 * cores).mapInArrow(run, "worker long, known boolean").collect()
+    assert len(tasks) == 4 * cores > len({t["worker"] for t in tasks})
+    assert sorted(t["worker"] for t in tasks if not t["known"]) == sorted({t["worker"] for t in tasks})
+
+
+def test_a_changed_tokenizer_file_is_read_again(tmp_path):
+    file = tmp_path / "tokenizer.json"
+    made = []
+    for vocab in ({"a": 0, "b": 1}, {"a": 5, "b": 1, "c": 2}):
+        Tokenizer(models.BPE(vocab, [])).save(str(file))
+        made.append(token_files.Encoder.get(str(file)).encode("a"))
+        assert token_files.Encoder.get(str(file)) is token_files.Encoder.get(str(file))
+    assert made == [b"\x00\x00", b"\x05\x00"]
+
+
 def test_long_texts_are_cut_where_the_pre_tokenizer_cuts(monkeypatch):
     monkeypatch.setattr(token_files, "KNOWN", 200)
     encoder = token_files.Encoder(TOKENIZER)

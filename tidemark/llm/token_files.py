@@ -21,7 +21,8 @@ the manifest.  Readers open only files the manifest lists.
 A text is cut into chunks where the pre-tokenizer always cuts too: before white space that
 follows another character (none of its tokens has white space but at its start or all through)
 and between letters and an ASCII character that is none.  The tokenizers library encodes each
-distinct chunk, a worker remembers a bounded number of them, and the ids are put together.
+distinct chunk, a worker process remembers a bounded number of them from task to task, and the
+ids are put together.
 Strings that look like special tokens are ordinary text.
 
 Defined cases: null is the empty text (its only id is the end id); rows with a null doc_id
@@ -32,8 +33,10 @@ all have entries of their own; an empty table gives an empty manifest.
 import json
 import os
 import re
+import sys
 import uuid
 import zlib
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -50,6 +53,7 @@ FILE_TOKENS = 1 << 25
 KNOWN = 1 << 20  # chunks a worker remembers
 KNOWN_CHARS = 64  # longer ones are not remembered
 READ_TOKENS = 1 << 20
+_KEPT = "_tidemark_token_encoders"  # the entry of sys.modules that keeps a process's encoders
 # A chunk ends before an ASCII blank, or after Latin letters before an ASCII character.  What both libraries
 # take for white space never ends one; U+001C to U+001F are white space in Python alone.
 _CHUNKS = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\x00-@\[-`{-\x7f])|\s*[^ \t\n\r]*[\S\x1c-\x1f]|\s+$")
@@ -143,8 +147,6 @@ class Encoder:
     Texts are sequences of chunks; a chunk seen before is not given to the library again.
     """
 
-    _made: dict[str, "Encoder"] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
@@ -156,9 +158,17 @@ class Encoder:
 
     @classmethod
     def get(cls, path: str) -> "Encoder":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        """The encoder of this process; one for a file that has changed is made again.
+
+        Each task brings its own copy of this folder's code, so what a class or module keeps
+        lasts one task; an entry of ``sys.modules`` lasts as long as the process.
+        """
+        made = vars(sys.modules.setdefault(_KEPT, ModuleType(_KEPT)))
+        stat = os.stat(path)
+        key, stamp = os.path.abspath(path), (stat.st_mtime_ns, stat.st_size)
+        if made.get(key, (None,))[0] != stamp:
+            made[key] = stamp, cls(path)
+        return made[key][1]
 
     def encode(self, text: str) -> bytes:
         return b"".join([*map(self.known.__getitem__, _CHUNKS.findall(text))])
