@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer, models
+from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
 from tidemark.llm import periodic_runs, prefix_trie, token_files
 
@@ -231,6 +231,28 @@ def test_a_worker_keeps_its_encoder_from_task_to_task(spark):
     assert sorted(t["worker"] for t in tasks if not t["known"]) == sorted({t["worker"] for t in tasks})
 
 
+def test_letters_go_to_the_model_at_once_with_the_same_ids(monkeypatch):
+    encoder, plain = token_files.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    letters = [c for c in map(chr, range(0x400)) if token_files._WORD.fullmatch(c)]
+    assert sorted(token_files._SIGNS.values()) == sorted(pre_tokenizers.ByteLevel.alphabet())
+    r = random.Random(4)
+    words = [*letters, *(" " + c for c in letters)]
+    words += [r.choice(["", " "]) + "".join(r.choice(letters if k % 2 else "etaoinsr") for _ in range(r.randint(2, 12))) for k in range(3000)]
+    want = [plain.encode(w, add_special_tokens=False).ids for w in words]
+    assert all(len(plain.pre_tokenizer.pre_tokenize_str(w)) == 1 for w in words)
+    monkeypatch.setattr(encoder, "tokenizer", None)
+    assert [encoder._ids(w) for w in words] == want
+
+
+def test_other_tokenizers_take_all_their_steps(tmp_path):
+    file = str(tmp_path / "lower.json")
+    other = Tokenizer(models.BPE({"a": 0, "b": 1, "Ġ": 2}, []))
+    other.normalizer, other.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.ByteLevel(add_prefix_space=False)
+    other.save(file)
+    encoder = token_files.Encoder(file)
+    assert encoder.model is None and np.frombuffer(encoder.encode("A bB"), encoder.kind).tolist() == [0, 2, 1, 1]
+
+
 def test_a_changed_tokenizer_file_is_read_again(tmp_path):
     file = tmp_path / "tokenizer.json"
     made = []

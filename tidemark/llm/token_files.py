@@ -57,6 +57,7 @@ _KEPT = "_tidemark_token_encoders"  # the entry of sys.modules that keeps a proc
 # A chunk ends before an ASCII blank, or after Latin letters before an ASCII character.  What both libraries
 # take for white space never ends one; U+001C to U+001F are white space in Python alone.
 _CHUNKS = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\x00-@\[-`{-\x7f])|\s*[^ \t\n\r]*[\S\x1c-\x1f]|\s+$")
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")  # one piece to the pre-tokenizer
 _CHUNK = 1 << 16  # numbers packed at once, a multiple of 8
 _COUNTS = np.array([bin(b).count("1") for b in range(256)], dtype=np.int64)
 
@@ -128,14 +129,23 @@ class EliasFano:
         return ((place - k) << self.width) | int(self._low(k, k + 1)[0])
 
 
+def _signs() -> dict[int, str]:
+    """The sign of each byte in a byte-level vocabulary: its own where that can be seen, else one above 255."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in seen)}
+
+
+_SIGNS = _signs()
+
+
 class _Known(dict):
     """Ids of chunks, as bytes; a chunk that isn't there is encoded, and remembered while there is room."""
 
-    def __init__(self, encode, kind: str):
-        self.encode, self.kind = encode, kind
+    def __init__(self, ids, kind: str):
+        self.ids, self.kind = ids, kind
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(chunk, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        ids = np.array(self.ids(chunk), dtype=self.kind).tobytes()
         if len(self) < KNOWN and len(chunk) <= KNOWN_CHARS:
             self[chunk] = ids
         return ids
@@ -145,16 +155,27 @@ class Encoder:
     """Token ids of texts by a file of the tokenizers library; made once a worker process.
 
     Texts are sequences of chunks; a chunk seen before is not given to the library again.
+    A chunk of letters is one piece to the byte-level pre-tokenizer, so it goes to the library's
+    model at once; the others take all its steps.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known = _Known(self.tokenizer.encode, self.kind)
+        cuts = self.tokenizer.pre_tokenizer
+        plain = isinstance(cuts, pre_tokenizers.ByteLevel) and cuts.use_regex and not cuts.add_prefix_space
+        self.model = self.tokenizer.model if plain and self.tokenizer.normalizer is None else None
+        self.known = _Known(self._ids, self.kind)
+
+    def _ids(self, chunk: str) -> list[int]:
+        if self.model and _WORD.fullmatch(chunk):
+            signs = chunk.encode().decode("latin-1").translate(_SIGNS)
+            return [token.id for token in self.model.tokenize(signs)]
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
     @classmethod
     def get(cls, path: str) -> "Encoder":
